@@ -1 +1 @@
-"""Spark-native data operators for health and neuroscience tables."""
+"""Operators for health and neuroscience event tables on Spark DataFrames."""
