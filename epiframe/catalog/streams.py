@@ -28,7 +28,7 @@ WITH f AS (SELECT *, coalesce(epoch(ts) - epoch(lag(ts) OVER w) >= 21600, true):
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM f)
 SELECT user_id, min(ts) AS session_start, max(ts) AS last_seen, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
 def sessions(t):
-    return naive(run_available(stream_sessions(stream(t), ["user_id"], "ts", "31 days", "6 hours"), "update", ["user_id", "session_start"]))
+    return naive(run_available(stream_sessions(stream(t), ["user_id"], "ts", "31 days", "6 hours"), "complete"))
 
 
 @query("str03_stream_dedupe", """

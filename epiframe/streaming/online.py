@@ -70,7 +70,8 @@ def run_available(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> Dat
     """Run a stream over what is there now and return its result as a table.
 
     Output goes to a folder beside the checkpoints, which all executors share.  In
-    ``update`` mode a row may be written again by a later batch; the last one counts.
+    ``update`` mode a row may be written again by a later batch and the last one counts; in
+    ``complete`` mode (session windows) the last batch holds the whole result.
     """
     spark = stream.sparkSession
     home = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -85,5 +86,8 @@ def run_available(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> Dat
     d = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{home}/out")
     if mode == "append":
         return d.drop("_batch")
+    if mode == "complete":
+        last = d.agg(F.max("_batch").alias("_last"))
+        return d.join(F.broadcast(last)).filter(F.col("_batch") == F.col("_last")).drop("_batch", "_last")
     rest = [c for c in stream.columns if c not in keys]
     return d.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
