@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import asof_join, hash_order
 from ..operators.timeseries import ffill_limit, skeleton
-from ..plans.ordered import near, range_pairs, scan, value_ranks
+from ..plans.ordered import near, quantiles, scan, value_ranks
 from .registry import query, rounded
 
 
@@ -201,7 +201,8 @@ SELECT band, count(*)::BIGINT AS n, round(quantile_cont(x, 0.5), 4) AS median, r
 def cut_quantile(t):
     q = F.col("l_quantity")
     d = t.lineitem.select(F.when(q < 10, "0-10").when(q < 25, "10-25").otherwise("25+").alias("band"), F.col("l_extendedprice").alias("x"))
-    return rounded(d.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.percentile("x", 0.5).alias("median"), F.percentile("x", 0.9).alias("p90")), 4)
+    n = d.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(n.join(quantiles(d, ["band"], "x", {"median": 0.5, "p90": 0.9}, width=2000.0), "band"), 4)
 
 
 @query("rel19_case_map", """

@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import small
-from ..plans.ordered import SLICE, axis, range_pairs, scan
+from ..plans.ordered import SLICE, axis, quantiles, scan
 from .joins import hash_order
 
 PIECES = 64
@@ -158,7 +157,8 @@ def label_shift_between(a: DataFrame, b: DataFrame, key: str, onset: str, moved_
     d = a.select(key, F.col(onset).alias("_a")).join(b.select(key, F.col(onset).alias("_b")), key, "full")
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     shift = F.when(both, F.col("_b") - F.col("_a"))
-    return d.agg(F.sum(F.when(both, 1).otherwise(0)).alias("n_both"), F.percentile(shift, 0.25).alias("shift_q25"),
-                 F.percentile(shift, 0.5).alias("shift_median"), F.percentile(shift, 0.75).alias("shift_q75"),
-                 F.avg((F.abs(shift) > moved_h).cast("double")).alias("share_moved"),
-                 F.avg((F.col("_a").isNull() != F.col("_b").isNull()).cast("double")).alias("flip_rate"))
+    d = d.withColumn("_shift", shift)
+    out = d.agg(F.sum(F.when(both, 1).otherwise(0)).alias("n_both"), F.avg((F.abs("_shift") > moved_h).cast("double")).alias("share_moved"),
+                F.avg((F.col("_a").isNull() != F.col("_b").isNull()).cast("double")).alias("flip_rate"))
+    q = quantiles(d, [], "_shift", {"shift_q25": 0.25, "shift_median": 0.5, "shift_q75": 0.75})
+    return out.join(F.broadcast(q))

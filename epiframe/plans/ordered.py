@@ -210,3 +210,57 @@ def range_pairs(left: DataFrame, right: DataFrame, key: Sequence[str], lo: str,
         cond = cond & (F.col(k) == F.col(f"_rk_{k}"))
     keep = [c for c in right.columns if c not in key]
     return l.join(r, cond, how).select(*left_cols, *keep)
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], width: float | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles per group without gathering a group's values.
+
+    Values are counted first, ranked through sliced scans, and each quantile picks its two
+    neighbouring order statistics.
+    """
+    ranks = value_ranks(df, by, value, width)
+    total = ranks.groupBy(*by).agg(F.sum("n").alias("_n"))
+    d = ranks.join(total, list(by)) if by else ranks.join(F.broadcast(total))
+    picks, outs = [], []
+    for name, p in probs.items():
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        for side, spot in (("lo", F.floor(at + 1e-9)), ("hi", F.ceil(at - 1e-9))):
+            hit = (F.col("below") <= spot) & (spot < F.col("below") + F.col("n"))
+            picks.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"_{name}_{side}"))
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        place = (F.col("_n") - 1) * F.lit(float(p))
+        outs.append((lo + (hi - lo) * (place - F.floor(place + 1e-9))).alias(name))
+    return d.groupBy(*by).agg(F.max("_n").alias("_n"), *picks).select(*by, *outs)
+
+
+def dense_rank(df: DataFrame, by: Sequence[str], x: str, out: str, width: float | None = None) -> DataFrame:
+    """One row per distinct (by, x) with its position from 0."""
+    d = df.select(*by, x).distinct()
+    return scan(d, by, x, {out: ("row_number", None)}, width).withColumn(out, F.col(out) - 1)
+
+
+def ordered_pairs(df: DataFrame, by: Sequence[str], x: str, y: str, first: Column, second: Column) -> DataFrame:
+    """Count row pairs with x_i < x_j by how y_i compares with y_j, without forming pairs.
+
+    Row i weighs ``first``, row j ``second``.  Gives per group ``below`` (y_i < y_j), ``equal``
+    and ``total``.  Two different x ranks first differ in exactly one bit, so every pair is
+    counted at one bit level: rows are grouped by their higher bits, and along y a running
+    sum of the rows with a 0 in that bit meets the rows with a 1.  Rows times log(n).
+    """
+    by = list(by)
+    cells = df.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), first.cast("double").alias("_f"), second.cast("double").alias("_s"))
+    cells = cells.dropna(subset=["_x", "_y"]).groupBy(*by, "_x", "_y").agg(F.sum("_f").alias("_f"), F.sum("_s").alias("_s"))
+    ranks = dense_rank(cells, by, "_x", "_rank")
+    top = ranks.agg(F.max("_rank")).first()[0] or 0
+    levels = F.array(*[F.lit(i) for i in range(max(1, int(top).bit_length()))])
+    on = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in by] + [F.col("_x") == F.col("_bx")]
+    d = cells.join(ranks.select(*[F.col(k).alias(f"_b_{k}") for k in by], F.col("_x").alias("_bx"), "_rank"), on)
+    d = d.select(*by, "_y", "_f", "_s", "_rank", F.explode(levels).alias("_level"))
+    one = F.expr("(shiftright(_rank, _level) & 1) = 1")
+    g = d.groupBy(*by, "_level", F.expr("shiftright(_rank, _level + 1)").alias("_head"), "_y").agg(
+        F.sum(F.when(~one, F.col("_f")).otherwise(0.0)).alias("_n0"), F.sum(F.when(one, F.col("_s")).otherwise(0.0)).alias("_n1"))
+    keys = [*by, "_level", "_head"]
+    run = scan(g, keys, "_y", {"_prev": ("prev_sum", "_n0")})
+    low = run.groupBy(*by).agg(F.sum(F.col("_n1") * F.coalesce("_prev", F.lit(0.0))).alias("below"), F.sum(F.col("_n1") * F.col("_n0")).alias("equal"))
+    whole = g.groupBy(*keys).agg(F.sum("_n0").alias("_a"), F.sum("_n1").alias("_b")).groupBy(*by).agg(F.sum(F.col("_a") * F.col("_b")).alias("total"))
+    return low.join(whole, by) if by else low.join(F.broadcast(whole))
