@@ -114,12 +114,12 @@ def _periods(t):
 WITH {ENT}, {OBS}, l AS (SELECT key, duration AS out_, CASE WHEN event = 1 THEN duration END AS ev, unnest(range(0, greatest(ceil(duration / 180)::BIGINT - 1, 0) + 1)) * 180.0::DOUBLE AS landmark FROM tte),
 m AS (SELECT * FROM l WHERE landmark < out_ AND (ev IS NULL OR ev > landmark))
 SELECT m.key, m.landmark, round(max_by(price, t), 4) AS last, round(min(price), 4) AS min, count(price)::BIGINT AS count, round(avg(price) FILTER (t >= landmark - 365), 4) AS recent_mean,
- CASE WHEN count(price) >= 2 THEN round(regr_slope(price, t), 3) + 0 END AS slope, landmark - max(t) AS since_last, min(coalesce(ev > landmark AND ev <= landmark + 360, false)::INT) AS y,
+ CASE WHEN count(price) >= 2 THEN round(regr_slope(price, t) * 29.530588::DOUBLE, 4) + 0 END AS monthly_slope, landmark - max(t) AS since_last, min(coalesce(ev > landmark AND ev <= landmark + 360, false)::INT) AS y,
  bool_or(NOT coalesce(ev > landmark AND ev <= landmark + 360, false) AND out_ < landmark + 360) AS censored FROM m LEFT JOIN obs ON obs.key = m.key AND t < landmark GROUP BY 1, 2""")
 def landmarks(t):
     d = tte(t).select("key", F.col("duration").alias("out"), F.when(F.col("event") == 1, F.col("duration")).alias("ev"))
     d = V.landmark_dataset(d, observations(t), "key", "out", "ev", "t", "price", 180.0, 360.0, 365.0, 1500.0)
-    return d.select("key", "landmark", *[F.round(c, 4).alias(c) for c in ("last", "min", "recent_mean")], "count", F.round("slope", 3).alias("slope"), "since_last", "y", "censored")
+    return d.select("key", "landmark", *[F.round(c, 4).alias(c) for c in ("last", "min", "recent_mean")], "count", F.round(F.col("slope") * 29.530588, 4).alias("monthly_slope"), "since_last", "y", "censored")
 
 
 @query("srv07_landmark_states", """

@@ -728,10 +728,9 @@ def negative_control_calibration(controls: DataFrame, estimates: DataFrame, x: s
     mu, lt = r[0], math.log(max(r[1] or 0.0, 1e-3))
     wm, wt = 3 * max(r[1] or 0.0, 0.05), 3.0
     for _ in range(rounds):
-        mus = np.linspace(mu - wm, mu + wm, points)
-        lts = np.linspace(lt - wt, lt + wt, points)
-        grid = F.array(*[F.struct(F.lit(float(a)).alias("m"), F.lit(float(b)).alias("l")) for a in mus for b in lts])
-        g = d.select("x", "s", F.inline(grid))
+        cell = F.explode(F.sequence(F.lit(0), F.lit(points * points - 1))).alias("i")
+        g = d.select("x", "s", cell).select("x", "s", (F.lit(mu - wm) + (F.col("i") % points) * (2 * wm / (points - 1))).alias("m"),
+                                            (F.lit(lt - wt) + F.floor(F.col("i") / points) * (2 * wt / (points - 1))).alias("l"))
         var = F.exp(2 * F.col("l")) + F.col("s") * F.col("s")
         best = g.groupBy("m", "l").agg(F.sum(F.log(var) + (F.col("x") - F.col("m")) * (F.col("x") - F.col("m")) / var).alias("c")).agg(F.min(F.struct("c", "m", "l")).alias("b")).first()["b"]
         mu, lt = best["m"], best["l"]
@@ -774,7 +773,8 @@ def cox_ph(df: DataFrame, time: str, event: str, x: Sequence[str], entry: str |
 
     beta, h = np.zeros(p), np.eye(p)
     for _ in range(steps):
-        r = table(beta).filter("dd > 0").withColumn("_f", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("dd").cast("bigint") - 1)) / F.col("dd"))
+        r = table(beta).filter("dd > 0").withColumn("_f", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("dd").cast("bigint") - 1)))
+        r = r.withColumn("_f", F.col("_f") / F.col("dd"))
         phi = {n: F.col(f"r_{n}") - F.col("_f") * F.col(f"d_{n}") for n in names}
         mean = [phi[f"s1_{i}"] / phi["s0"] for i in range(p)]
         row = r.agg(*[F.sum(F.when(F.col("_f") == 0, F.col(f"x_{i}")).otherwise(0.0) - mean[i]) for i in range(p)], *[F.sum(phi[f"s2_{i}_{j}"] / phi["s0"] - mean[i] * mean[j]) for i, j in prs]).first()

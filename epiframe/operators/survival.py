@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import Z975, gammainc
+from ..plans.lineage import cut
 from ..plans.ordered import add_slices, axis, near, ordered_pairs, scan
 from .joins import asof_join
 
@@ -44,6 +45,7 @@ def _times(df: DataFrame, by: Sequence[str], time: str, counts: dict[str, Column
     start = F.col(entry).cast("double") if entry else F.lit(0.0)
     ins = df.groupBy(*by, start.alias("_t")).agg(F.count("*").alias("_in"))
     line = ends.unionByName(ins, allowMissingColumns=True).groupBy(*by, "_t").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("_out", "_in", *counts)])
+    line = cut(line)      # one row per distinct time; every later step reads this table, not the input
     line = scan(add_slices(line, "_t", width), by, "_t", {"_before_in": ("prev_sum", "_in"), "_before_out": ("prev_sum", "_out")}, keep_slice=True)
     return line.withColumn("at_risk", F.coalesce("_before_in", F.lit(0)) - F.coalesce("_before_out", F.lit(0))).drop("_before_in", "_before_out", "_in", "_out")
 
@@ -78,16 +80,15 @@ def median_and_mean(km: DataFrame, by: Sequence[str], tau: float, width: float |
 def logrank(df: DataFrame, time: str, event: str, group: str, groups: Sequence, entry: str | None = None, width: float | None = None) -> DataFrame:
     """Observed and expected events per group and the k-sample chi-square (k - 1 degrees of freedom)."""
     k = len(groups)
-    parts = None
-    for i, g in enumerate(groups):
-        one = _times(df.filter(F.col(group) == g), [], time, {"d": F.col(event) == 1}, entry, width).select("_t", F.lit(i).alias("_g"), "d", "at_risk")
-        parts = one if parts is None else parts.unionByName(one)
+    code = F.coalesce(*[F.when(F.col(group) == g, F.lit(i)) for i, g in enumerate(groups)])
+    known = df.withColumn("_g", code).filter(F.col("_g").isNotNull())
+    parts = _times(known, ["_g"], time, {"d": F.col(event) == 1}, entry, width).select("_t", "_g", "d", "at_risk")
     # every group's number at risk is needed at every event time: take the next known count of the group
     deaths = parts.filter("d > 0").select("_t").distinct()
     frame = deaths.select("_t", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("_g"))
     line = parts.withColumn("_ask", F.lit(0)).unionByName(frame.withColumn("_ask", F.lit(1)), allowMissingColumns=True)
-    known = F.when(F.col("_ask") == 0, F.struct(F.col("_t").alias("t"), F.col("d").alias("d")))
-    line = scan(line.withColumn("_late", 1 - F.col("_ask")), ["_g"], "_t", {"_n": ("next", "at_risk"), "_near": ("next", known)}, width, ["_late"])
+    nearest = F.when(F.col("_ask") == 0, F.struct(F.col("_t").alias("t"), F.col("d").alias("d")))
+    line = scan(line.withColumn("_late", 1 - F.col("_ask")), ["_g"], "_t", {"_n": ("next", "at_risk"), "_near": ("next", nearest)}, width, ["_late"])
     ask = line.filter("_ask = 1").select("_t", "_g", F.coalesce("_n", F.lit(0)).alias("n"), F.when(F.col("_near.t") == F.col("_t"), F.col("_near.d")).otherwise(0).alias("d"))
     wide = ask.groupBy("_t").agg(*[F.sum(F.when(F.col("_g") == i, F.col("n"))).alias(f"n{i}") for i in range(k)], *[F.sum(F.when(F.col("_g") == i, F.col("d"))).alias(f"d{i}") for i in range(k)])
     n, d = sum((F.col(f"n{i}") for i in range(k)), F.lit(0)), sum((F.col(f"d{i}") for i in range(k)), F.lit(0))
