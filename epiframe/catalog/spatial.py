@@ -16,9 +16,9 @@ PTS = "p AS (SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS x, round(em
 
 @query("spt01_region_stats", f"""
 WITH {PTS}, g AS (SELECT label, count(v)::BIGINT AS n, avg(v) AS m, max(v) AS peak, avg(x) AS cx, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b FROM p WHERE label <> 0 GROUP BY 1 HAVING count(v) >= 5)
-SELECT label, n, round(m, 6) + 0 AS mean, round(peak, 6) AS peak, round(cx, 6) + 0 AS centre_x, round(med, 6) + 0 AS median, round(a, 6) + 0 AS p05, round(b, 6) + 0 AS p95, round((SELECT avg((v >= 0.5 * peak)::INT) FROM p WHERE p.label = g.label), 6) AS share_above FROM g""")
+SELECT label, n, round(m, 8) + 0 AS mean, round(peak, 8) AS peak, round(cx, 8) + 0 AS centre_x, round(med, 8) + 0 AS median, round(a, 8) + 0 AS p05, round(b, 8) + 0 AS p95, round((SELECT avg((v >= 0.5 * peak)::INT) FROM p WHERE p.label = g.label), 8) AS share_above FROM g""")
 def regions(t):
-    return rounded(P.region_stats(points(t), "label", "v", 5, 0, 0.5, ["x"]))
+    return rounded(P.region_stats(points(t), "label", "v", 5, 0, 0.5, ["x"]), 8)
 
 
 @query("spt01_weighted_percentile", f"""

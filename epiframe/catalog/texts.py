@@ -107,15 +107,15 @@ def coverage(t):
 
 
 @query("txt09_extract_mentions", r"""
-WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'https?://[a-z0-9.]+')) AS v FROM pages) SELECT page_id, upper(v) AS value, count(*)::BIGINT AS n FROM h GROUP BY 1, 2""")
+WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/[A-Za-z]+"')) AS v FROM pages) SELECT page_id, upper(v) AS value, count(*)::BIGINT AS n FROM h GROUP BY 1, 2""")
 def mentions(t):
-    return X.extract_mentions(t.pages, ["page_id"], "html", r"https?://[a-z0-9.]+", ["href", "link"], 160).drop("cue")
+    return X.extract_mentions(t.pages, ["page_id"], "html", r'href="/[A-Za-z]+"', ["<nav", "footer"], 160).drop("cue")
 
 
 @query("txt09_mention_cues")
 def cues(t):
-    own = F.regexp_extract("url", r"(https?://[a-z0-9.]+)", 1)
-    return X.extract_mentions(t.pages, ["page_id"], "html", r"https?://[a-z0-9.]+", ["href", "link"], 60, own)
+    own = F.regexp_extract("html", r'(href="/[A-Za-z]+")', 1)
+    return X.extract_mentions(t.pages, ["page_id"], "html", r'href="/[A-Za-z]+"', ["<nav", "footer"], 60, own)
 
 
 @query("txt10_text_features", r"""
