@@ -98,7 +98,7 @@ def ols(df: DataFrame, y: str, x: Sequence[str], by: Sequence[str] = (), w: str
 
     fit = m.mapInPandas(solve, schema)
     if robust:
-        j = df.join(F.broadcast(fit.select(*by, "beta")), list(by)) if by else df.join(F.broadcast(fit.select("beta")))
+        j = df.join(fit.select(*by, "beta"), list(by)) if by else df.join(F.broadcast(fit.select("beta")))
         res = F.col(y) - sum((F.col("beta")[i] * c for i, c in enumerate(cols[:k])), F.lit(0.0))
         wt = (F.col(w) if w else F.lit(1.0))
         meat = moments_by(j, by, cols[:k], wt * wt * res * res).select(*by, F.col("m").alias("meat"))

@@ -234,9 +234,9 @@ def eta_squared(df: DataFrame, outcome: str, factors: Sequence[str], pairs: bool
 def icc(df: DataFrame, subject: str, value: str, rater: str | None = None) -> DataFrame:
     """ICC(1) from a one-way table; with a rater also ICC(2,1), ICC(3,1), within-subject SD and MDC95 from a complete table."""
     d = df.filter(F.col(value).isNotNull())
-    s = d.groupBy(subject).agg(F.count("*").cast("double").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    t = s.agg(F.count("*").cast("double").alias("k"), F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"),
-              F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"), F.sum(F.col("n") * F.col("n")).alias("n2"))
+    s = d.groupBy(subject).agg(F.count("*").cast("double").alias("_in"), F.sum(value).alias("_is"), F.sum(F.col(value) * F.col(value)).alias("_iq"))
+    t = s.agg(F.count("*").cast("double").alias("k"), F.sum("_in").alias("N"), F.sum("_is").alias("S"), F.sum("_iq").alias("Q"),
+              F.sum(F.col("_is") * F.col("_is") / F.col("_in")).alias("B"), F.sum(F.col("_in") * F.col("_in")).alias("n2"))
     k, n, grand = F.col("k"), F.col("N"), F.col("S") * F.col("S") / F.col("N")
     msb, msw = (F.col("B") - grand) / (k - 1), (F.col("Q") - F.col("B")) / (n - k)
     between = F.greatest(F.lit(0.0), (msb - msw) / ((n - F.col("n2") / n) / (k - 1)))
@@ -244,7 +244,7 @@ def icc(df: DataFrame, subject: str, value: str, rater: str | None = None) -> Da
                    (1.96 * math.sqrt(2) * F.sqrt(msw)).alias("mdc95"), "k", "N", "B", "Q", "S")
     if rater is None:
         return one.select("n_subjects", "icc1", "within_sd", "mdc95")
-    c = d.groupBy(rater).agg(F.count("*").alias("n"), F.sum(value).alias("s")).agg(F.count("*").cast("double").alias("r"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("C"))
+    c = d.groupBy(rater).agg(F.count("*").alias("_in"), F.sum(value).alias("_is")).agg(F.count("*").cast("double").alias("r"), F.sum(F.col("_is") * F.col("_is") / F.col("_in")).alias("C"))
     j = one.join(F.broadcast(c))
     r, grand = F.col("r"), F.col("S") * F.col("S") / F.col("N")
     msr, msc = (F.col("B") - grand) / (F.col("k") - 1), (F.col("C") - grand) / (r - 1)
@@ -270,9 +270,9 @@ def bland_altman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), subject:
     ccc = 2 * F.col("_c") / (F.col("_va") + F.col("_vb") + (F.col("_ma") - F.col("_mb")) * (F.col("_ma") - F.col("_mb")))
     sd = F.col("sd")
     if subject is not None:
-        s = d.groupBy(*by, subject).agg(F.count("*").cast("double").alias("n"), F.sum(x - y).alias("s"), F.sum((x - y) * (x - y)).alias("q"))
-        t = s.groupBy(*by).agg(F.count("*").cast("double").alias("k"), F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"),
-                               F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"), F.sum(F.col("n") * F.col("n")).alias("n2"))
+        s = d.groupBy(*by, subject).agg(F.count("*").cast("double").alias("_in"), F.sum(x - y).alias("_is"), F.sum((x - y) * (x - y)).alias("_iq"))
+        t = s.groupBy(*by).agg(F.count("*").cast("double").alias("k"), F.sum("_in").alias("N"), F.sum("_is").alias("S"), F.sum("_iq").alias("Q"),
+                               F.sum(F.col("_is") * F.col("_is") / F.col("_in")).alias("B"), F.sum(F.col("_in") * F.col("_in")).alias("n2"))
         msb, msw = (F.col("B") - F.col("S") * F.col("S") / F.col("N")) / (F.col("k") - 1), (F.col("Q") - F.col("B")) / (F.col("N") - F.col("k"))
         n0 = (F.col("N") - F.col("n2") / F.col("N")) / (F.col("k") - 1)
         t = t.select(*by, F.sqrt(F.greatest((msb - msw) / n0, F.lit(0.0)) + msw).alias("_sd"))

@@ -61,7 +61,7 @@ def importance_sampling(traj: DataFrame, key: str, target: DataFrame, behaviour:
     Policies are (state, action, p) tables.  A running product is a running sum of logarithms.
     """
     pe, pb = target.withColumnRenamed("p", "_e"), behaviour.withColumnRenamed("p", "_b")
-    d = traj.join(F.broadcast(pe), ["state", "action"], "left").join(F.broadcast(pb), ["state", "action"], "left")
+    d = traj.join(pe, ["state", "action"], "left").join(pb, ["state", "action"], "left")
     rho = F.coalesce("_e", F.lit(0.0)) / F.greatest(F.coalesce("_b", F.lit(0.0)), F.lit(1e-12))
     if clip is not None:
         rho = F.least(rho, F.lit(float(clip)))
@@ -81,8 +81,8 @@ def importance_sampling(traj: DataFrame, key: str, target: DataFrame, behaviour:
 def doubly_robust(traj: DataFrame, key: str, target: DataFrame, behaviour: DataFrame, q: DataFrame, gamma: float = 1.0) -> DataFrame:
     """Step-wise doubly robust value with a given (state, action, q) table."""
     v = target.join(q, ["state", "action"]).groupBy("state").agg(F.sum(F.col("p") * F.col("q")).alias("v"))
-    d = (traj.join(F.broadcast(target.withColumnRenamed("p", "_e")), ["state", "action"], "left").join(F.broadcast(behaviour.withColumnRenamed("p", "_b")), ["state", "action"], "left")
-         .join(F.broadcast(q), ["state", "action"], "left").join(F.broadcast(v), "state", "left").join(F.broadcast(v.select(F.col("state").alias("next_state"), F.col("v").alias("_vn"))), "next_state", "left"))
+    d = (traj.join(target.withColumnRenamed("p", "_e"), ["state", "action"], "left").join(behaviour.withColumnRenamed("p", "_b"), ["state", "action"], "left")
+         .join(q, ["state", "action"], "left").join(v, "state", "left").join(v.select(F.col("state").alias("next_state"), F.col("v").alias("_vn")), "next_state", "left"))
     rho = F.coalesce("_e", F.lit(0.0)) / F.greatest(F.coalesce("_b", F.lit(0.0)), F.lit(1e-12))
     d = scan(d.withColumn("_log", F.log(F.greatest(rho, F.lit(1e-300)))), [key], "t", {"_cum": ("sum", "_log")}, 4096)
     nxt = F.when(F.col("done"), 0.0).otherwise(F.col("_vn"))
