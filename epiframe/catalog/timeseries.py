@@ -97,10 +97,10 @@ def trailing(t):
 
 
 @query("tim06_window_features", f"""
-WITH {GRID} SELECT user_id, round(avg(v), 6) AS v__mean, round(min(v), 6) AS v__min, round(max(v), 6) AS v__max, round(max_by(v, step) FILTER (v IS NOT NULL), 6) AS v__last,
- count(v)::BIGINT AS v__count, round(1 - count(v) / count(*)::DOUBLE, 6) AS v__missing FROM grid WHERE step BETWEEN 5 AND 14 GROUP BY 1""")
+WITH {GRID} SELECT user_id, round(avg(v), 9) AS v__mean, round(min(v), 9) AS v__min, round(max(v), 9) AS v__max, round(max_by(v, step) FILTER (v IS NOT NULL), 9) AS v__last,
+ count(v)::BIGINT AS v__count, round(1 - count(v) / count(*)::DOUBLE, 9) AS v__missing FROM grid WHERE step BETWEEN 5 AND 14 GROUP BY 1""")
 def fixed_window(t):
-    return rounded(S.window_features(day_grid(t), ["user_id"], "step", ["v"], 5, 15))
+    return rounded(S.window_features(day_grid(t), ["user_id"], "step", ["v"], 5, 15), 9)
 
 
 @query("tim07_supervised_windows", f"""
