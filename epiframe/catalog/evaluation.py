@@ -172,11 +172,11 @@ def psi(t):
 
 @query("evl15_distribution_distance", f"""
 WITH {SQL}, c AS (SELECT x, count(*) FILTER (g = 'F')::DOUBLE AS r, count(*) FILTER (g = 'O')::DOUBLE AS c FROM d GROUP BY 1), f AS (SELECT x, abs(sum(r) OVER w / sum(r) OVER () - sum(c) OVER w / sum(c) OVER ()) AS gap, lead(x) OVER (ORDER BY x) AS nx FROM c WINDOW w AS (ORDER BY x))
-SELECT round(max(gap), 6) AS ks, round(sum(gap * (coalesce(nx, x) - x)), 4) AS wasserstein, 0.0::DOUBLE AS missing_diff FROM f""")
+SELECT round(max(gap), 6) AS ks, round(sum(gap * (coalesce(nx, x) - x)), 4) AS wasserstein, round(sum(2 * gap * gap * (coalesce(nx, x) - x)), 5) AS energy, 0.0::DOUBLE AS missing_diff FROM f""")
 def distance(t):
     d = scored(t)
     d = E.distribution_distance(d.filter("g = 'F'"), d.filter("g = 'O'"), "x")
-    return d.select(F.round("ks", 6).alias("ks"), F.round("wasserstein", 4).alias("wasserstein"), "missing_diff")
+    return d.select(F.round("ks", 6).alias("ks"), F.round("wasserstein", 4).alias("wasserstein"), F.round("energy", 5).alias("energy"), "missing_diff")
 
 
 @query("evl16_mmd")
@@ -234,6 +234,21 @@ def tolerance(t):
     return rounded(E.pooled_scores(d, 24.0 * 30))
 
 
+@query("evl18_matched_events")
+def matched(t):
+    x = axis(t.events, "ts")
+    ref = t.events.filter("event_type = 'error'").select("user_id", "event_id", x.alias("at"))
+    hyp = t.events.filter("event_type = 'click'").select("user_id", "event_id", x.alias("at"))
+    return E.match_events(ref, hyp, ["user_id"], "event_id", "at", 6 * 3600.0)
+
+
+@query("evl17_propensity_mse")
+def pmse(t):
+    from ..operators.models import propensity_mse
+    e = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    return rounded(propensity_mse(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), ["e0", "e1", "e2", "e3"]))
+
+
 @query("evl18_alarm_scores", """
 WITH al AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE AS a FROM events WHERE event_type = 'click'), ev AS (SELECT DISTINCT user_id, epoch_us(ts) / 1e6::DOUBLE AS e FROM events WHERE event_type = 'error'), h AS (SELECT al.user_id, a, e FROM al JOIN ev ON al.user_id = ev.user_id AND e BETWEEN a + 600 AND a + 600 + 43200)
 SELECT user_id, coalesce(n, 0)::BIGINT AS n_alarms, coalesce(m, 0)::BIGINT AS n_events, coalesce(g, 0)::BIGINT AS true_alarms, coalesce(c, 0)::BIGINT AS caught FROM (SELECT user_id, count(*) AS n FROM al GROUP BY 1) FULL JOIN (SELECT user_id, count(*) AS m FROM ev GROUP BY 1) USING (user_id)

@@ -240,6 +240,13 @@ def smd(t):
     return rounded(M.standardised_differences(d, "a", ["l_quantity", "l_discount"], "w"))
 
 
+@query("agg22_paired_effect", """
+SELECT l_returnflag, count(*)::BIGINT AS n, round(avg(d), 7) + 0 AS mean_difference, round(avg(d) / stddev_samp(d), 7) + 0 AS dz, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) + 0 AS t FROM (SELECT l_returnflag, l_discount - l_tax AS d FROM lineitem) GROUP BY 1""")
+def paired(t):
+    d = M.paired_effect(t.lineitem, "l_discount", "l_tax", ["l_returnflag"])
+    return d.select("l_returnflag", "n", F.round("mean_difference", 7).alias("mean_difference"), F.round("dz", 7).alias("dz"), F.round("t", 5).alias("t"))
+
+
 def brand_effects(t):
     d = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     return M.effect_size(d, ["p_brand", "p_type"], F.col("l_returnflag") == "R", "l_quantity").select("p_brand", "p_type", F.col("hedges_g").alias("y"), F.col("var_g").alias("v")).dropna()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import two_sided_p
 from ..plans.ordered import quantiles, range_pairs, scan, value_ranks
+from .joins import closest_pairs
 from .timeseries import merge_events, split_events
 
 
@@ -325,18 +326,19 @@ def psi(ref: DataFrame, cur: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 
 def distribution_distance(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
-    """Kolmogorov-Smirnov and Wasserstein distances from the two step functions on the union of values, and the missing share difference."""
+    """Kolmogorov-Smirnov, Wasserstein and energy distances from the two step functions on the union of values, and the missing share difference."""
     both = ref.select(F.col(col).cast("double").alias("x"), F.lit(0).alias("side")).union(cur.select(F.col(col).cast("double"), F.lit(1)))
     c = both.filter("x IS NOT NULL").groupBy("x").agg(F.sum(1 - F.col("side")).cast("double").alias("r"), F.sum("side").cast("double").alias("c"))
     t = c.agg(F.sum("r").alias("_tr"), F.sum("c").alias("_tc"))
     d = scan(c, [], "x", {"fr": ("sum", "r"), "fc": ("sum", "c"), "nx": ("lead", "x")}).join(F.broadcast(t))
     gap = F.abs(F.col("fr") / F.col("_tr") - F.col("fc") / F.col("_tc"))
     miss = both.agg((F.avg(F.when(F.col("side") == 1, F.col("x").isNull().cast("double"))) - F.avg(F.when(F.col("side") == 0, F.col("x").isNull().cast("double")))).alias("missing_diff"))
-    return d.agg(F.max(gap).alias("ks"), F.sum(gap * (F.coalesce("nx", F.col("x")) - F.col("x"))).alias("wasserstein")).join(F.broadcast(miss))
+    return d.agg(F.max(gap).alias("ks"), F.sum(gap * (F.coalesce("nx", F.col("x")) - F.col("x"))).alias("wasserstein"),
+                 F.sum(2 * gap * gap * (F.coalesce("nx", F.col("x")) - F.col("x"))).alias("energy")).join(F.broadcast(miss))
 
 
 def mmd(df: DataFrame, row_id: str, vec: str, side: Column, cap: int, seed: int = 0, gamma: float | None = None, n_perm: int = 0) -> DataFrame:
-    """Unbiased squared MMD with an RBF kernel on hash samples of at most ``cap`` rows per side (the reference also caps them).
+    """Unbiased squared MMD with an RBF kernel on hash samples of at most ``cap`` rows per side, as the statistic is defined here.
 
     The sample is 2 * cap rows by construction, so the kernel sums are one small Arrow group.
     """
@@ -436,6 +438,15 @@ def event_scores(ref: DataFrame, hyp: DataFrame, key: Sequence[str], start: str,
     return d.select(*key, "tp", (F.col("_x") + F.col("_f")).alias("fp"), "fn")
 
 
+def match_events(ref: DataFrame, hyp: DataFrame, key: Sequence[str], row_id: str, at: str, tolerance: float) -> DataFrame:
+    """One-to-one matches of reference and detected times within a tolerance, closest first; tp, fp and fn per record."""
+    both = (ref.select(*key, F.concat(F.lit("r"), F.col(row_id).cast("string")).alias("_id"), F.lit(1).alias("_arm"), F.col(at).cast("double").alias("_x"))
+            .unionByName(hyp.select(*key, F.concat(F.lit("h"), F.col(row_id).cast("string")).alias("_id"), F.lit(0).alias("_arm"), F.col(at).cast("double").alias("_x"))))
+    hit = closest_pairs(both, "_id", key, tolerance).groupBy(*key).agg(F.count("*").alias("tp"))
+    n = both.groupBy(*key).agg(F.sum("_arm").alias("_r"), F.sum(1 - F.col("_arm")).alias("_h")).join(hit, list(key), "left").fillna(0, ["tp"])
+    return n.select(*key, "tp", (F.col("_h") - F.col("tp")).alias("fp"), (F.col("_r") - F.col("tp")).alias("fn"))
+
+
 def pooled_scores(scores: DataFrame, hours: float) -> DataFrame:
     """Sensitivity, precision, F1 and false alarms per 24 h over all records of ``hours`` each."""
     g = scores.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.count("*").alias("n"))

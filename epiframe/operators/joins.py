@@ -407,21 +407,14 @@ def _tasks(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def caliper_match(df: DataFrame, row_id: str, treated: str, score: str, strata: Sequence[str] = (),
-                  caliper_sd: float = 0.2) -> DataFrame:
-    """1:1 nearest-neighbour matching on the logit of ``score`` without replacement within a caliper.
+def closest_pairs(free: DataFrame, row_id: str, strata: Sequence[str], limit: float) -> DataFrame:
+    """One-to-one pairs of rows of the two arms (``_arm`` 1 and 0) on the axis ``_x``, closest first, at most ``limit`` apart.
 
-    Closest pairs are taken first.  In each round every free row looks at its nearest
-    free neighbours of the other arm on the sorted score axis; rows that choose each
-    other are matched and leave.  Rounds end when no pair within the caliper is left,
-    which gives the greedy closest-first matching whatever the size of a stratum.
-    The caliper is ``caliper_sd`` population standard deviations of the logit.
+    In each round every free row looks at its nearest free neighbours of the other arm on the sorted axis; rows that
+    choose each other are paired and leave.  Rounds end when no pair within the limit is left, which gives the greedy
+    closest-first pairing whatever the size of a stratum.  Pairs come as (strata, t, c, d).
     """
-    p = F.col(score)
-    free = df.select(row_id, *strata, F.col(treated).cast("int").alias("_arm"), F.log(p / (1 - p)).alias("_x"))
-    free = cut(free.filter(F.col("_x").isNotNull()))
-    sd = free.agg(F.stddev_pop("_x")).first()[0] or 0.0
-    limit = caliper_sd * sd
+    free = cut(free)
     done = None
     while True:
         spot = F.struct(F.col("_x").alias("x"), F.col(row_id).alias("id"))
@@ -442,13 +435,24 @@ def caliper_match(df: DataFrame, row_id: str, treated: str, score: str, strata:
         t = wish.filter("_arm = 1").select(*strata, "t", "c", "d")
         c = wish.filter("_arm = 0").select("t", "c")
         mutual = cut(t.join(c, ["t", "c"], "left_semi"))
-        if mutual.isEmpty():
-            break
         done = mutual if done is None else done.unionByName(mutual)
+        if mutual.isEmpty():
+            return done
         used = mutual.select(F.explode(F.array("t", "c")).alias(row_id))
         free = cut(line.drop("_best").join(used, row_id, "left_anti"))
-    if done is None:
-        done = mutual
+
+
+def caliper_match(df: DataFrame, row_id: str, treated: str, score: str, strata: Sequence[str] = (),
+                  caliper_sd: float = 0.2) -> DataFrame:
+    """1:1 nearest-neighbour matching on the logit of ``score`` without replacement within a caliper, closest pairs first.
+
+    The caliper is ``caliper_sd`` population standard deviations of the logit.
+    """
+    p = F.col(score)
+    free = df.select(row_id, *strata, F.col(treated).cast("int").alias("_arm"), F.log(p / (1 - p)).alias("_x"))
+    free = cut(free.filter(F.col("_x").isNotNull()))
+    sd = free.agg(F.stddev_pop("_x")).first()[0] or 0.0
+    done = closest_pairs(free, row_id, strata, caliper_sd * sd)
     return done.select(*strata, F.col("t").alias("treated_id"), F.col("c").alias("control_id"), F.col("d").alias("distance"))
 
 

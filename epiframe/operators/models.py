@@ -271,6 +271,16 @@ def domain_weights(src: DataFrame, tgt: DataFrame, covars: Sequence[str], clip:
     return d.join(F.broadcast(m)).withColumn("weight", F.col("_w") / F.col("_mw")).drop("_w", "_mw")
 
 
+def propensity_mse(real: DataFrame, synthetic: DataFrame, covars: Sequence[str]) -> DataFrame:
+    """How well a logistic model tells synthetic from real rows: mean (p - share)^2, 0 when it cannot."""
+    both = real.select(*covars, F.lit(0).alias("_t")).union(synthetic.select(*covars, F.lit(1)))
+    cols = [F.lit(1.0), *[F.col(c) for c in covars]]
+    beta, _, _ = glm_fit(both, F.col("_t"), cols)
+    p = 1 / (1 + F.exp(-_dot(beta, cols)))
+    share = both.agg(F.avg("_t").alias("_c"))
+    return both.join(F.broadcast(share)).agg(F.count("*").alias("n"), F.first("_c").alias("share"), F.avg((p - F.col("_c")) * (p - F.col("_c"))).alias("pmse"))
+
+
 def effective_size(df: DataFrame, w: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), (F.sum(w) * F.sum(w) / F.sum(F.col(w) * F.col(w))).alias("ess"))
 

@@ -306,6 +306,14 @@ def effect_size(df: DataFrame, by: Sequence[str], group: Column, value: str) ->
                     F.when(ok, (a + b) * (a + b) / (a * a / (nx - 1) + b * b / (ny - 1))).alias("welch_df"))
 
 
+def paired_effect(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean of the differences a - b, its effect size over their SD, t statistic and two-sided p per stratum."""
+    d = F.col(a) - F.col(b)
+    g = df.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("_sd"))
+    stat = F.col("mean_difference") / (F.col("_sd") / F.sqrt("n"))
+    return g.select(*by, "n", "mean_difference", (F.col("mean_difference") / F.col("_sd")).alias("dz"), stat.alias("t"), t_p(stat, (F.col("n") - 1).cast("double")).alias("p"))
+
+
 def standardised_differences(df: DataFrame, treated: str, covars: Sequence[str], weight: str | None = None) -> DataFrame:
     """Difference of (weighted) means over the pooled SD, one row per covariate, from one aggregate row."""
     w = F.col(weight) if weight else F.lit(1.0)

@@ -239,6 +239,13 @@ def test_event_scoring(spark):
     assert np.allclose([t["tp"], t["fp"], t["fn"]], [0.6, 1.4, 0.4])
 
 
+def test_events_match_one_to_one_closest_first(spark):
+    ref = spark.createDataFrame([(1, 1, 10.0), (1, 2, 14.0), (2, 3, 5.0)], "k long, id long, at double")
+    hyp = spark.createDataFrame([(1, 1, 13.0), (1, 2, 100.0), (2, 3, 5.5), (2, 4, 5.2)], "k long, id long, at double")
+    got = evaluation.match_events(ref, hyp, ["k"], "id", "at", 3.5)
+    assert rows(got, "k", "tp", "fp", "fn") == [(1, 1, 1, 1), (2, 1, 1, 0)]
+
+
 def test_permutation_null_and_planted(spark):
     d = spark.createDataFrame([(i, int(i % 2), float(i % 2) * 5 + (i * 7 % 11), (i * 7919) % 13) for i in range(200)], "id long, l int, planted double, null long")
     assert evaluation.permutation_test(d, "id", "l", "planted", [], 39).first()["p"] <= 0.05
