@@ -69,8 +69,8 @@ def terms(t):
 @query("txt05_on_label")
 def labelled(t):
     d = t.documents.withColumn("k", F.col("source"))
-    m = X.extract_terms(d, ["k"], "text", dictionary(t), "synonym", "term", 2, ["no", "not"]).select("k", "term").distinct()
-    l = X.extract_terms(d.filter("doc_id % 3 = 0"), ["k"], "text", dictionary(t), "synonym", "term", 2, ["no", "not"]).select("k", F.col("term").alias("lt"), F.lit("exact").alias("kind")).distinct()
+    m = X.extract_terms(d, ["k", "doc_id"], "text", dictionary(t), "synonym", "term", 2, ["no", "not"]).select("k", "term").distinct()
+    l = X.extract_terms(d.filter("doc_id % 3 = 0"), ["k", "doc_id"], "text", dictionary(t), "synonym", "term", 2, ["no", "not"]).select("k", F.col("term").alias("lt"), F.lit("exact").alias("kind")).distinct()
     return X.on_label(m, ["k"], "term", l, "lt", "kind").groupBy("label_status").agg(F.count("*").alias("n"))
 
 
