@@ -24,9 +24,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def crc_remainder(doc_id: Column, divisor: int) -> Column:
+def crc_remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the identifier as text, modulo ``divisor``."""
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(divisor)).cast("int")
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(divisor)).cast("int")
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -96,10 +96,10 @@ def word_shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(run[a:b - width + 1]))
         elif b > a:
-            h = np.uint64(b - a)
+            h = np.array([b - a], np.uint64)
             for w in words[a:b]:
                 h = mix(h ^ w)
-            out.append(np.atleast_1d(h))
+            out.append(h)
         else:
             out.append(np.empty(0, np.uint64))
     return out

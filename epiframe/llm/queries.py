@@ -42,3 +42,29 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_
 def exact_dedup(spark, folder):
     from .exact_dedup import exact_groups
     return exact_groups(_table(spark, folder, "documents"), keep="max")
+
+
+@_register("op1_quality_rules")
+def quality_rules(spark, folder):
+    from . import quality
+    from .common import crc_remainder, cut
+    docs = _table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", crc_remainder("doc_id", 4) == 2)
+    rows = cut(quality.with_statistics(docs))
+    labels = _table(spark, folder, "labels").filter("quality IS NOT NULL").groupBy("doc_id").agg({"quality": "max"}).toDF("doc_id", "label")
+    model = quality.fit(rows.filter("NOT held_out").join(labels, "doc_id"), "label")
+    return rows.withColumn("score", model.score()).selectExpr("doc_id", "held_out", "score", "CAST(score >= 0.7D AS INT) AS predicted")
+
+
+@_register("op6_language_family")
+def language_family(spark, folder):
+    from . import langid
+    from .common import crc_remainder
+    docs = _table(spark, folder, "documents").withColumn("held_out", crc_remainder("doc_id", 3) == 1)
+    model = langid.fit(docs.filter("NOT held_out"), "text", "lang")
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_register("op5_minhash_tensor")
+def minhash_tensor(spark, folder):
+    from .minhash import near_duplicates
+    return near_duplicates(_table(spark, folder, "documents"), width=2)
