@@ -2,7 +2,9 @@
 
 Two collections of A and B bands are cut from one short signature; a table is keyed by a pair (band i of the first, band j of the
 second), so A x B tables cost A + B bands of hashing.  Documents with equal sets are one class from the start.  Inside a bucket
-the members are compared with leaders until the bucket holds one component; what is left after that is compared across components.
+all members are compared with its most central one.  Members that this leaves outside the centre's component are then compared
+with the whole bucket, in blocks inside tasks: a pair is looked at in the first table that it shares, and is passed on only if an
+upper bound of its overlap allows the similarity.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from .components import components
 
 #: Bands in each of the two collections and hashes in a band.  At a similarity of 0.8 a pair meets in a table with 0.9994.
 BANDS, ROWS = 8, 2
-#: Rounds of comparing with leaders.
-LEADER_ROUNDS = 3
+#: Cells of the counts that bound an overlap from above, and rows of a block.
+CELLS, BLOCK = 256, 1500
 
 
 def _bands(sets: list[np.ndarray], bands: int, rows: int) -> list[list[int]]:
@@ -41,8 +43,13 @@ def _bands(sets: list[np.ndarray], bands: int, rows: int) -> list[list[int]]:
     return out
 
 
+def _cells(s: np.ndarray) -> bytes:
+    """Shingles by hash cell; 255 stands for that many or more."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, d1, d2, bands): size of a document's shingle set, a 128-bit digest of the set, the band hashes."""
+    """(id, n, d1, d2, bands, cells): size of a document's shingle set, a 128-bit digest of the set, band hashes, counts by cell."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,8 +58,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, bands: int,
                 sets = word_shingles([x.lower() for x in texts], width)
                 d1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 d2 = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), pa.array(_bands(sets, bands, rows), pa.list_(pa.int64()))], names=["id", "n", "d1", "d2", "bands"])
-    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, bands array<long>")
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), pa.array(_bands(sets, bands, rows), pa.list_(pa.int64())), pa.array([_cells(s) for s in sets], pa.binary())], names=["id", "n", "d1", "d2", "bands", "cells"])
+    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, bands array<long>, cells binary")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
@@ -83,6 +90,73 @@ def _confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: i
     return joined.mapInArrow(check, f"a {kind}, b {kind}")
 
 
+def _across(rows: DataFrame, kind: str, bands: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and may be similar enough.
+
+    ``rows`` has key, t (number of the table), rep, n, own (component), inner (in the component of the bucket's centre).  Rows
+    outside the centre's component meet all rows of the bucket, block by block; no pair is made before it has passed the bound.
+    """
+    mixed = rows.groupBy("key").agg(F.count("*").alias("m"), F.count(F.when(~F.col("inner"), 1)).alias("x")).filter("x > 0 AND m > 2")
+    at = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+    some = rows.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil(F.col("x") / BLOCK).alias("xb")), "key")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
+    members = some.select("key", "t", "rep", "n", "own", "bands", "cells", F.lit(False).alias("outer"), at("mb").alias("i"), upto("xb").alias("j"))
+    others = some.filter("NOT inner").select("key", "t", "rep", "n", "own", "bands", "cells", F.lit(True).alias("outer"), upto("mb").alias("i"), at("xb").alias("j"))
+    placed = members.unionByName(others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(part: pa.Table) -> tuple[list, list]:
+        outer = np.array(part["outer"].to_pylist(), bool)
+        n, t = part["n"].to_numpy(), part["t"][0].as_py()
+        band = np.array(part["bands"].to_pylist(), np.int64).reshape(len(n), 2, bands)
+        cell = np.frombuffer(b"".join(part["cells"].to_pylist()), np.uint8).reshape(len(n), CELLS)
+        rep, own = np.array(part["rep"].to_pylist(), object), np.array(part["own"].to_pylist(), object)
+        full, a, b = (cell == 255).any(1), [], []
+        inside = np.flatnonzero(~outer)
+        for x in np.flatnonzero(outer):
+            y = inside[(own[inside] != own[x]).astype(bool)]
+            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+            same = band[y] == band[x]
+            first = same.argmax(2)
+            y = y[(first[:, 0] * bands + first[:, 1] == t) & same.any(2).all(1)]
+            most = np.minimum(cell[y], cell[x]).sum(1, dtype=np.int64)
+            most = np.where(full[y] | full[x], np.minimum(n[y], n[x]), most)
+            y = y[100 * most >= percent * (n[y] + n[x] - most)]
+            a.extend([rep[x]] * len(y))
+            b.extend(rep[y])
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def groups():
+            nonlocal held
+            for batch in batches:
+                k = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "i", "j")]
+                edge = [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in k], axis=0)) + 1).tolist(), batch.num_rows]
+                for s, e in zip(edge[:-1], edge[1:], strict=True):
+                    one = batch.slice(s, e - s)
+                    if held and any(held[-1].column(c)[0].as_py() != one.column(c)[0].as_py() for c in ("key", "i", "j")):
+                        yield pa.Table.from_batches(held)
+                        held = []
+                    if e > s:
+                        held.append(one)
+            if held:
+                yield pa.Table.from_batches(held)
+        of = None
+        out_a, out_b = [], []
+        for group in groups():
+            of = group.schema.field("rep").type
+            a, b = compare(group)
+            out_a += a
+            out_b += b
+            if len(out_a) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, of), pa.array(out_b, of)], names=["a", "b"])
+                out_a, out_b = [], []
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, of), pa.array(out_b, of)], names=["a", "b"])
+    return placed.mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -94,45 +168,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     signed = cut(signatures(docs, doc_id, text, width, bands, rows))
     real = signed.filter("n > 0 AND id IS NOT NULL")
-    classes = real.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    alike = real.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    classes = cut(classes.select("rep", "n", "bands"))
+    classes = real.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("cells").alias("cells"))
+    alike = real.select("id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    classes = cut(classes.drop("d1", "d2"))
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     numbers = F.sequence(F.lit(0), F.lit(bands * bands - 1))
-    first, second = (lambda t: F.floor(t / bands).cast("int")), (lambda t: (t % bands).cast("int"))
-    table = lambda t: F.xxhash64(t, F.element_at("bands", first(t) + 1), F.element_at("bands", second(t) + bands + 1))
-    keyed = classes.select("rep", "n", F.explode(F.transform(numbers, table)).alias("key"))
+    table = lambda t: F.xxhash64(t, F.element_at("bands", F.floor(t / bands).cast("int") + 1), F.element_at("bands", (t % bands).cast("int") + bands + 1))
+    keyed = classes.select("rep", "n", F.posexplode(F.transform(numbers, table)).alias("t", "key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("key")
     buckets = cut(keyed.join(shared, "key"))
-    size = lambda d: d.filter(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-
-    links, tested, of = None, None, None
-    for step in range(LEADER_ROUNDS + 1):
-        rows_now = buckets.withColumn("of", F.col("rep")) if of is None else buckets.join(of, "rep", "left").withColumn("of", F.coalesce("component", "rep")).drop("component")
-        if of is not None:
-            mixed = rows_now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("key")
-            rows_now = rows_now.join(mixed, "key")
-        if step < LEADER_ROUNDS:
-            order = F.col("rep") if step == 0 else F.xxhash64("rep", F.lit(step))
-            leaders = rows_now.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("m"), F.col("of").alias("own")), order).alias("l")).select("key", "l.*")
-            pairs = size(rows_now.join(leaders, "key").filter("own <> of")).select("a", F.col("rep").alias("b"))
-        else:
-            other = rows_now.select("key", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("of").alias("own"))
-            pairs = size(rows_now.join(other, "key").filter("own < of")).select("a", F.col("rep").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        count = pairs.count()
-        if not count:
-            if step < LEADER_ROUNDS and step:
-                continue
-            break
-        found = cut(_confirm(pairs, docs, doc_id, text, width, percent))
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        of = cut(components(links)).withColumnRenamed("node", "rep")
-    every = alike if links is None else alike.unionByName(links)
-    whole = components(every).withColumnRenamed("node", "id")
+    possible = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
+    central = buckets.join(sizes, "key").groupBy("rep").agg(F.sum("size").alias("central"))   # who shares most with most
+    leaders = cut(buckets.join(central, "rep").groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("m")), F.struct(-F.col("central"), F.col("rep"))).alias("l")).select("key", "l.*"))
+    pairs = buckets.join(leaders, "key").filter(f"rep <> a AND {possible}").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+    links = cut(_confirm(cut(pairs.distinct()), docs, doc_id, text, width, percent))
+
+    of = cut(components(links).withColumnRenamed("node", "rep"))
+    owned = buckets.join(of, "rep", "left").select("key", "t", "rep", "n", F.coalesce("component", "rep").alias("own"))
+    centres = leaders.join(of, F.col("a") == F.col("rep"), "left").select("key", F.coalesce("component", "a").alias("centre"))
+    owned = owned.join(centres, "key").withColumn("inner", F.col("own") == F.col("centre")).drop("centre")
+    more = cut(_across(owned.join(classes.select("rep", "bands", "cells"), "rep"), kind, bands, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = links.unionByName(_confirm(more, docs, doc_id, text, width, percent))
+    whole = components(alike.unionByName(links)).withColumnRenamed("node", "id")
     out = signed.join(whole, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
