@@ -68,3 +68,19 @@ def language_family(spark, folder):
 def minhash_tensor(spark, folder):
     from .minhash import near_duplicates
     return near_duplicates(_table(spark, folder, "documents"), width=2)
+
+
+@_register("op4_line_templates")
+def line_templates(spark, folder):
+    from .line_dedup import drop_recurring_lines
+    from pyspark.sql import functions as F
+    docs = drop_recurring_lines(_table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "lines_dropped", "chars_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+@_register("op9_length_buckets")
+def length_buckets(spark, folder):
+    from pyspark.sql import functions as F
+
+    from .packing import pack, word_count
+    return pack(_table(spark, folder, "documents"), word_count(F.col("text")))
