@@ -84,3 +84,13 @@ def length_buckets(spark, folder):
 
     from .packing import pack, word_count
     return pack(_table(spark, folder, "documents"), word_count(F.col("text")))
+
+
+@_register("op2_secret_forest")
+def secret_forest(spark, folder):
+    from pyspark.sql import functions as F
+
+    from . import secrets
+    docs = _table(spark, folder, "documents")
+    forest = secrets.fit(secrets.planted_findings(docs, path="source"))
+    return secrets.scan(docs.select("doc_id", "source", "text"), forest, path="source").select("doc_id", "n_candidates", "n_secrets", "spans", F.sha2("text", 256).alias("text_sha256"))
