@@ -94,3 +94,14 @@ def secret_forest(spark, folder):
     docs = _table(spark, folder, "documents")
     forest = secrets.fit(secrets.planted_findings(docs, path="source"))
     return secrets.scan(docs.select("doc_id", "source", "text"), forest, path="source").select("doc_id", "n_candidates", "n_secrets", "spans", F.sha2("text", 256).alias("text_sha256"))
+
+
+@_register("op8_chat_roles")
+def chat_roles(spark, folder):
+    from pyspark.sql import functions as F
+
+    from . import chat
+    seen = chat.observed(chat.transcript_lines(_table(spark, folder, "conversations")), "conv_id", "line_no", "line")
+    model = chat.fit(seen.filter(F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(3)) != 1), "role", "begins", "previous")
+    parsed = chat.rendered(chat.recover_roles(seen, model))
+    return parsed.select(F.col("conv").alias("conv_id"), "line_no", "role_pred", "turn_begin", "turn_no", "rendered", F.col("role").alias("role_true"), F.col("begins").alias("begin_true"))
