@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +32,16 @@ def crc_remainder(doc_id: str, divisor: int) -> Column:
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of ``batch`` with the bytes of ``column`` (null: empty); a slice holds one text or at most ``limit`` bytes."""
-    texts = [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
+    values = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()), b"")
+    sizes = pc.binary_length(values).to_pylist()
     start, held = 0, 0
-    for i, x in enumerate(texts):
-        if i > start and held + len(x) > limit:
-            yield batch.slice(start, i - start), texts[start:i]
+    for i, size in enumerate(sizes):
+        if i > start and held + size > limit:
+            yield batch.slice(start, i - start), values.slice(start, i - start).to_pylist()
             start, held = i, 0
-        held += len(x)
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start), values.slice(start).to_pylist()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
