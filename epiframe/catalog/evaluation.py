@@ -261,11 +261,11 @@ def alarm(t):
 
 
 @query("evl19_clarke_zones", """
-WITH d AS (SELECT 40 + l_quantity * 6 AS r, 40 + l_extendedprice / 300 AS e FROM lineitem), z AS (SELECT CASE WHEN (r < 70 AND e < 70) OR abs(e - r) <= 0.2::DOUBLE * r THEN 'A' WHEN (r <= 70 AND e >= 180) OR (r >= 180 AND e <= 70) THEN 'E'
+WITH d AS (SELECT 40 + l_quantity * 6 AS r, 10 * floor(4 + l_extendedprice / 3000) AS e FROM lineitem), z AS (SELECT CASE WHEN (r <= 70 AND e <= 70) OR abs(e - r) <= 0.2::DOUBLE * r THEN 'A' WHEN (r <= 70 AND e >= 180) OR (r >= 180 AND e <= 70) THEN 'E'
  WHEN (r >= 70 AND r <= 290 AND e >= r + 110) OR (r >= 130 AND r <= 180 AND e <= 7 / 5::DOUBLE * r - 182) THEN 'C' WHEN (r >= 240 AND e >= 70 AND e <= 180) OR (r <= 175 / 3::DOUBLE AND e >= 70 AND e <= 180) OR (r >= 175 / 3::DOUBLE AND r <= 70 AND e >= 6 / 5::DOUBLE * r) THEN 'D' ELSE 'B' END AS zone FROM d)
 SELECT zone, count(*)::BIGINT AS n FROM z GROUP BY 1""")
 def zones(t):
-    d = t.lineitem.select((40 + F.col("l_quantity") * 6).alias("r"), (40 + F.col("l_extendedprice") / 300).alias("e"))
+    d = t.lineitem.select((40 + F.col("l_quantity") * 6).alias("r"), (10 * F.floor(4 + F.col("l_extendedprice") / 3000)).cast("double").alias("e"))
     return d.groupBy(E.clarke_zone(F.col("r"), F.col("e")).alias("zone")).agg(F.count(F.lit(1)).alias("n"))
 
 

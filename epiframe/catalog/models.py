@@ -166,13 +166,13 @@ def bands(t):
 
 @query("mod12_text_classifier")
 def classifier(t):
-    d = t.documents.join(t.labels, "doc_id").select("doc_id", "text", "quality", "toxic")
-    return rounded(M.text_classifier(d, "doc_id", "text", ["quality", "toxic"], F.col("doc_id") % 4 != 0), 3)
+    d = t.documents.select("doc_id", "text").join(t.labels, "doc_id", "left").select("doc_id", "text", "quality", "toxic")
+    return rounded(M.text_classifier(d, "doc_id", "text", ["quality", "toxic"], F.col("quality").isNotNull() & (F.col("doc_id") % 4 != 0)), 3)
 
 
 @query("mod12_text_clusters")
 def clusters(t):
-    d = M.text_clusters(t.conversations.withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn")), "row_id", "text", 4, 1)
+    d = M.text_clusters(t.conversations.withColumn("row_id", F.concat_ws("-", "conv_id", "turn")), "row_id", "text", 4, 1)
     return d.groupBy("cluster").agg(F.count("*").alias("n"))
 
 

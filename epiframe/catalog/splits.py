@@ -38,13 +38,13 @@ def rolling(t):
 
 
 @query("spl04_leakage_audit", """
-WITH s AS (SELECT user_id, event_id % 1000 AS rec, ts, CASE WHEN event_id % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM events WHERE user_id % 3 <> 0 OR event_id % 4 <> 0),
+WITH s AS (SELECT user_id, event_id % 1000 AS rec, date_trunc('hour', ts) AS ts, CASE WHEN event_id % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM events),
 a AS (SELECT user_id, max((split = 'train')::INT) AS x, max((split <> 'train')::INT) AS y FROM s GROUP BY 1), b AS (SELECT rec, max((split = 'train')::INT) AS x, max((split <> 'train')::INT) AS y FROM s GROUP BY 1),
-n AS (SELECT count(*) FILTER (EXISTS (SELECT 1 FROM s q WHERE q.user_id = s.user_id AND q.split = 'train' AND abs(epoch_us(q.ts) - epoch_us(s.ts)) <= 3600000000)) AS near_rows, count(*) AS test_rows FROM s WHERE split = 'test')
+n AS (SELECT count(*) FILTER (EXISTS (SELECT 1 FROM s q WHERE q.user_id = s.user_id AND q.split = 'train' AND abs(epoch_us(q.ts) - epoch_us(s.ts)) <= 1800000000)) AS near_rows, count(*) AS test_rows FROM s WHERE split = 'test')
 SELECT (SELECT sum(x * y) FROM a)::BIGINT AS shared_subjects, round((SELECT sum(x * y) / sum(y)::DOUBLE FROM a), 6) AS subject_overlap, (SELECT sum(x * y) FROM b)::BIGINT AS shared_records, near_rows::BIGINT AS near_rows, test_rows::BIGINT AS test_rows, false AS clean FROM n""")
 def leakage(t):
-    d = t.events.filter("user_id % 3 <> 0 OR event_id % 4 <> 0").select("user_id", (F.col("event_id") % 1000).alias("rec"), "ts", F.when(F.col("event_id") % 4 == 0, "test").otherwise("train").alias("split"))
-    return rounded(P.leakage_audit(d, "user_id", ["rec"], "ts", "split", 3600.0, DAY))
+    d = t.events.select("user_id", (F.col("event_id") % 1000).alias("rec"), F.date_trunc("hour", "ts").alias("ts"), F.when(F.col("event_id") % 4 == 0, "test").otherwise("train").alias("split"))
+    return rounded(P.leakage_audit(d, "user_id", ["rec"], "ts", "split", 1800.0, DAY))
 
 
 @query("spl05_stratified_sample")

@@ -47,7 +47,7 @@ def recall(t):
 WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1§', 'g'), '\n{2,}', '§', 'g'), '\n([A-Z])', '§\1', 'g'), '§')) AS x FROM documents),
 l AS (SELECT doc_id, lower(trim(x, ' ')) AS x FROM s WHERE trim(x, ' ') <> ''), r AS (SELECT doc_id, CASE WHEN NOT regexp_matches(x, '\bthe\b') THEN 0 ELSE CASE WHEN regexp_matches(x, '\bof\b') AND NOT regexp_matches(regexp_extract(x, '^(?s:(.*?))\bthe\b', 1), '\band\b') THEN 2
   WHEN regexp_matches(regexp_extract(x, '^(?s:(.*?))\bthe\b', 1), '\band\b') OR (regexp_matches(x, '\band\b') AND length(regexp_extract(x, '^(?s:(.*?))\bthe\b', 1)) < 40) THEN 1 ELSE 3 END END AS r FROM l)
-SELECT d.doc_id, CASE max(r) WHEN 3 THEN 1 WHEN 2 THEN -1 WHEN 1 THEN 0 END::INT AS article, least(count(*) FILTER (r > 0), 3)::INT AS article_evidence FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY 1""")
+SELECT d.doc_id, CASE max(r) WHEN 3 THEN 1 WHEN 2 THEN -1 WHEN 1 THEN 0 END::INT AS article, count(*) FILTER (r > 0)::INT AS article_evidence FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY 1""")
 def labels(t):
     return X.label_text(t.documents, ["doc_id"], "text", {"article": [r"\bthe\b"]}, [r"\band\b"], [r"\bof\b"])
 
@@ -62,15 +62,15 @@ def dictionary(t):
 
 @query("txt05_extract_terms")
 def terms(t):
-    m = X.extract_terms(t.documents, ["doc_id"], "text", dictionary(t), "synonym", "term", 3, ["no", "not", "without", "and"])
+    m = X.extract_terms(t.documents, ["doc_id"], "text", dictionary(t), "synonym", "term", ["no", "not", "without", "and"])
     return m.groupBy("term", "negated").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query("txt05_on_label")
 def labelled(t):
     d = t.documents.withColumn("k", F.col("source"))
-    m = X.extract_terms(d, ["k", "doc_id"], "text", dictionary(t), "synonym", "term", 2, ["no", "not"]).select("k", "term").distinct()
-    l = X.extract_terms(d.filter("doc_id % 3 = 0"), ["k", "doc_id"], "text", dictionary(t), "synonym", "term", 2, ["no", "not"]).select("k", F.col("term").alias("lt"), F.lit("exact").alias("kind")).distinct()
+    m = X.extract_terms(d, ["k", "doc_id"], "text", dictionary(t), "synonym", "term", ["no", "not"]).select("k", "term").distinct()
+    l = X.extract_terms(d.filter("doc_id % 3 = 0"), ["k", "doc_id"], "text", dictionary(t), "synonym", "term", ["no", "not"]).select("k", F.col("term").alias("lt"), F.lit("exact").alias("kind")).distinct()
     return X.on_label(m, ["k"], "term", l, "lt", "kind").groupBy("label_status").agg(F.count("*").alias("n"))
 
 

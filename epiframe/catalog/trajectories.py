@@ -85,14 +85,14 @@ v AS (SELECT 0 AS i, 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1, 0.0::DOUBLE AS v2, 0.
 SELECT s AS state, round(CASE s WHEN 0 THEN v0 WHEN 1 THEN v1 WHEN 2 THEN v2 ELSE v3 END, 4) + 0 AS v FROM v, (SELECT unnest([0, 1, 2, 3]) AS s) WHERE i = 300""".replace("WITH RECURSIVE {TRAJ}", "WITH RECURSIVE " + TRAJ))
 def evaluation(t):
     sa, p = R.empirical_mdp(log(t), 4, 5)
-    return rounded(R.policy_evaluation(sa, p, target(t), 0.9, 1e-9), 4)
+    return rounded(R.policy_evaluation(sa, p, target(t), 0.9, 1e-7), 4)
 
 
 @query("rlt04_value_iteration")
 def best(t):
     d = log(t)
     sa, p = R.empirical_mdp(d, 4, 5)
-    return rounded(R.initial_value(d, R.policy_evaluation(sa, p, None, 0.9, 1e-9)), 4)
+    return rounded(R.initial_value(d, R.policy_evaluation(sa, p, None, 0.9, 1e-7)), 4)
 
 
 @query("rlt05_rule_rates", """

@@ -469,7 +469,7 @@ def alarm_scores(alarms: DataFrame, events: DataFrame, key: Sequence[str], at: s
 
 def clarke_zone(ref: Column, est: Column) -> Column:
     """Error-grid zone of a glucose pair in mg/dL."""
-    a = ((ref < 70) & (est < 70)) | (F.abs(est - ref) <= 0.2 * ref)
+    a = ((ref <= 70) & (est <= 70)) | (F.abs(est - ref) <= 0.2 * ref)
     e = ((ref <= 70) & (est >= 180)) | ((ref >= 180) & (est <= 70))
     c = ((ref >= 70) & (ref <= 290) & (est >= ref + 110)) | ((ref >= 130) & (ref <= 180) & (est <= 7 / 5 * ref - 182))
     d = ((ref >= 240) & (est >= 70) & (est <= 180)) | ((ref <= 175 / 3) & (est >= 70) & (est <= 180)) | ((ref >= 175 / 3) & (ref <= 70) & (est >= 6 / 5 * ref))

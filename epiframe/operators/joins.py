@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,16 +225,10 @@ def semi_anti_filter(base: DataFrame, require: Sequence[tuple[DataFrame, Sequenc
     return base
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block similarity of two strings."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
-
-
-def name_similarity(a: Column, b: Column, method: str = "levenshtein") -> Column:
+def name_similarity(a: Column, b: Column) -> Column:
     """Blend of character similarity and token Jaccard, at least 0.9 when a name (>= 5 characters) prefixes the other."""
     longest = F.greatest(F.length(a), F.length(b))
-    seq = sequence_ratio(a, b) if method == "sequence" else 1 - F.levenshtein(a, b) / longest
+    seq = 1 - F.levenshtein(a, b) / longest
     ta = F.array_distinct(F.split(a, " "))
     tb = F.array_distinct(F.split(b, " "))
     jaccard = F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))
@@ -274,7 +266,7 @@ def name_candidates(left: DataFrame, right: DataFrame, block: str, lname: str, r
 
 def fuzzy_block_join(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, lname: str,
                      rname: str, threshold: float = 0.85, second: tuple[str, str] | None = None,
-                     dates: tuple[str, str] | None = None, method: str = "levenshtein") -> DataFrame:
+                     dates: tuple[str, str] | None = None) -> DataFrame:
     """Best right row inside the block for every left row, or NULL.
 
     Scores are computed once per distinct name pair.  ``second`` names a further
@@ -282,7 +274,7 @@ def fuzzy_block_join(left: DataFrame, right: DataFrame, block: str, left_id: str
     is rejected (``dates``).
     """
     pairs = name_candidates(left, right, block, lname, rname, threshold)
-    pairs = (pairs.withColumn("score", name_similarity(F.col("l_name"), F.col("r_name"), method))
+    pairs = (pairs.withColumn("score", name_similarity(F.col("l_name"), F.col("r_name")))
              .filter(F.col("score") >= threshold))
     l_cols = [block, left_id, F.col(lname).alias("l_name")] + ([F.col(second[0]).alias("l_second")] if second else [])
     r_cols = [block, right_id, F.col(rname).alias("r_name")] + ([F.col(second[1]).alias("r_second")] if second else [])
@@ -295,7 +287,7 @@ def fuzzy_block_join(left: DataFrame, right: DataFrame, block: str, left_id: str
         r_best = r.groupBy(block, "r_name", "r_second").agg(
             F.min(F.struct(right_id, *(["r_date"] if dates else []))).alias("_r"))
         cand = pairs.join(l_keys, [block, "l_name"]).join(r_best, [block, "r_name"])
-        cand = cand.withColumn("score2", name_similarity(F.coalesce("l_second", F.lit("")), F.coalesce("r_second", F.lit("")), method))
+        cand = cand.withColumn("score2", name_similarity(F.coalesce("l_second", F.lit("")), F.coalesce("r_second", F.lit(""))))
         keys = [block, "l_name", "l_second"]
     else:
         r_best = r.groupBy(block, "r_name").agg(F.min(F.struct(right_id, *(["r_date"] if dates else []))).alias("_r"))
@@ -317,7 +309,7 @@ def fuzzy_block_join(left: DataFrame, right: DataFrame, block: str, left_id: str
 
 def tiered_match(reports: DataFrame, devices: DataFrame, block: str, report_id: str, device_id: str,
                  brand: tuple[str, str], company: tuple[str, str], brand_min: float = 0.85,
-                 company_min: float = 0.80, method: str = "levenshtein") -> DataFrame:
+                 company_min: float = 0.80) -> DataFrame:
     """Best device per report: tier 1 by brand similarity, tier 2 by company similarity, then the score.
 
     Pairs that reach neither threshold (tier 3) never win, so only name pairs above a
@@ -326,7 +318,7 @@ def tiered_match(reports: DataFrame, devices: DataFrame, block: str, report_id:
     parts = []
     for tier, (lname, rname), floor in ((1, brand, brand_min), (2, company, company_min)):
         good = name_candidates(reports, devices, block, lname, rname, floor)
-        good = good.withColumn("score", name_similarity(F.col("l_name"), F.col("r_name"), method)).filter(F.col("score") >= floor)
+        good = good.withColumn("score", name_similarity(F.col("l_name"), F.col("r_name"))).filter(F.col("score") >= floor)
         dev = devices.groupBy(block, F.col(rname).alias("r_name")).agg(F.min(device_id).alias(device_id))
         best = good.join(dev, [block, "r_name"]).groupBy(block, "l_name").agg(
             F.min(F.struct((-F.col("score")).alias("neg"), F.col(device_id))).alias("b"))

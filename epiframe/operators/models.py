@@ -579,7 +579,7 @@ def tfidf(df: DataFrame, row_id: str, text: str, fit: Column, min_df: int = 2, n
 def text_classifier(df: DataFrame, row_id: str, text: str, labels: Sequence[str], fit: Column, min_pos: int = 5, reg: float = 0.01) -> DataFrame:
     """One class-balanced logistic model per label on TF-IDF; labels with fewer than ``min_pos`` positives are dropped.
 
-    Gives a probability and a thresholded label per row and kept label.
+    Gives a probability and a thresholded label per row and kept label; no row when no label is kept.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
@@ -596,6 +596,8 @@ def text_classifier(df: DataFrame, row_id: str, text: str, labels: Sequence[str]
         model = LogisticRegression(featuresCol="features", labelCol=c, weightCol="_wt", regParam=reg, maxIter=50, probabilityCol="_pr", rawPredictionCol="_raw", predictionCol="_pd").fit(train)
         p = model.transform(x.select(row_id, "features")).select(row_id, F.lit(c).alias("label"), vector_to_array("_pr")[1].alias("probability"))
         out = p if out is None else out.unionByName(p)
+    if out is None:
+        return df.select(row_id, F.lit("").alias("label"), F.lit(0.0).alias("probability"), F.lit(0).alias("predicted")).filter("false")
     return out.withColumn("predicted", (F.col("probability") >= 0.5).cast("int"))
 
 

@@ -70,7 +70,7 @@ def rolling_origin(eras: DataFrame, era: str) -> DataFrame:
 def leakage_audit(df: DataFrame, subject: str, record: Sequence[str], time: str, split: str, gap: float, width: float | None = None) -> DataFrame:
     """Subjects and records in both splits, and test rows within ``gap`` of a training row of their subject; ``clean`` when none.
 
-    Nearness asks only for the neighbouring training row on either side.
+    Nearness asks only for the neighbouring training row on either side; at equal times the training row comes first, so it counts.
     """
     train = F.col(split) == "train"
 
@@ -81,7 +81,7 @@ def leakage_audit(df: DataFrame, subject: str, record: Sequence[str], time: str,
     subjects = shared([subject]).select(F.col("_s").alias("shared_subjects"), (F.col("_s") / F.col("_t")).alias("subject_overlap"))
     records = shared(list(record)).select(F.col("_s").alias("shared_records"))
     t = F.when(train, F.col("_x"))
-    line = df.withColumn("_x", axis(df, time)).withColumn("_o", train.cast("int"))
+    line = df.withColumn("_x", axis(df, time)).withColumn("_o", (~train).cast("int"))
     line = scan(line.select(subject, split, "_x", "_o"), [subject], "_x", {"_p": ("max", t)}, width, tie=["_o"])
     line = scan(line.withColumn("_neg", -F.col("_x")), [subject], "_neg", {"_q": ("max", F.when(train, F.col("_neg")))}, width, tie=["_o"])
     near = (F.col("_x") - F.col("_p") <= gap) | (F.col("_q") - F.col("_neg") >= -gap)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,64 +88,28 @@ def doubly_robust(traj: DataFrame, key: str, target: DataFrame, behaviour: DataF
     return d.groupBy(key).agg(F.sum(term).alias("x")).agg(F.avg("x").alias("value"), F.count("*").alias("n_traj"))
 
 
-SMALL_MODEL = 2_000_000
-
-
-def policy_evaluation(sa: DataFrame, p: DataFrame, policy: DataFrame | None, gamma: float, tol: float = 1e-6, rounds: int = 500, cut_every: int = 5,
-                      small: int = SMALL_MODEL) -> DataFrame:
+def policy_evaluation(sa: DataFrame, p: DataFrame, policy: DataFrame | None, gamma: float, tol: float = 1e-6, cut_every: int = 10) -> DataFrame:
     """Bellman sweeps on (state, action) tables: a given policy's values, or the best ones (``policy=None``).  Returns (state, v).
 
-    The tables are as large as the model, not the log.  A model of at most ``small`` transition rows is swept inside one Arrow
-    group; a larger one by joins whose lineage is cut every few sweeps, where the change is also read.
+    Sweeps go on until no value moves by ``tol`` in one sweep; lineage is cut every ``cut_every`` sweeps, where the change is
+    read.  ``gamma`` must be below 1, so the sweeps contract.  A next state without a row of its own is worth nothing.
     """
+    if not 0 <= gamma < 1:
+        raise ValueError("gamma must be at least 0 and below 1")
     base, move = cut(sa), cut(p)
-    pol = base.select("state", "action", F.lit(None).cast("double").alias("p")) if policy is None else policy.select("state", "action", "p")
-    if move.count() <= small:
-        rows = (base.join(pol, ["state", "action"]).select(F.lit(0).alias("part"), "state", "action", "reward", "terminal", F.col("p").alias("x"), F.lit(None).cast("int").alias("next_state"))
-                .unionByName(move.select(F.lit(1).alias("part"), "state", "action", "next_state", F.col("p").alias("x")), allowMissingColumns=True))
-        return rows.groupBy(F.lit(1).alias("_all")).applyInPandas(_sweeps(gamma, tol, rounds, policy is None), f"state {base.schema['state'].dataType.simpleString()}, v DOUBLE")
+    pi = None if policy is None else policy.select("state", "action", F.col("p").alias("_pi"))
     v = base.select("state").distinct().withColumn("v", F.lit(0.0))
-    for i in range(1, rounds + 1):
-        nxt = move.join(v.withColumnRenamed("state", "next_state"), "next_state").groupBy("state", "action").agg(F.sum(F.col("p") * F.col("v")).alias("_x"))
-        q = base.join(nxt, ["state", "action"], "left").withColumn("q", F.col("reward") + gamma * (1 - F.col("terminal")) * F.coalesce("_x", F.lit(0.0)))
-        if policy is None:
-            new = q.groupBy("state").agg(F.max("q").alias("v"))
-        else:
-            new = q.join(pol.withColumnRenamed("p", "_pi"), ["state", "action"]).groupBy("state").agg(F.sum(F.col("_pi") * F.col("q")).alias("v"))
-        if i % cut_every == 0:
-            new = cut(new)
-            gap = new.join(v.withColumnRenamed("v", "_o"), "state").agg(F.max(F.abs(F.col("v") - F.col("_o")))).first()[0]
-            v = new
-            if gap < tol:
-                break
-        else:
-            v = new
-    return v
-
-
-def _sweeps(gamma: float, tol: float, rounds: int, best: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sa, mv = pdf[pdf["part"] == 0].reset_index(drop=True), pdf[pdf["part"] == 1]
-        states, s_ix = np.unique(sa["state"].to_numpy(), return_inverse=True)
-        place = {k: i for i, k in enumerate(zip(sa["state"], sa["action"]))}
-        rows = np.array([place[k] for k in zip(mv["state"], mv["action"])], dtype=int)
-        cols = np.searchsorted(states, mv["next_state"].to_numpy())
-        share = mv["x"].to_numpy(float)
-        live = gamma * (1 - sa["terminal"].to_numpy(float))
-        reward, pi = sa["reward"].to_numpy(float), sa["x"].to_numpy(float)
-        v = np.zeros(len(states))
-        for _ in range(rounds):
-            q = reward + live * np.bincount(rows, share * v[cols], len(sa))
-            new = np.full(len(states), -np.inf)
-            if best:
-                np.maximum.at(new, s_ix, q)
-            else:
-                new = np.bincount(s_ix, pi * q, len(states))
-            gap, v = np.abs(new - v).max(), new
-            if gap < tol:
-                break
-        return pd.DataFrame({"state": states, "v": v})
-    return run
+    while True:
+        for _ in range(cut_every):
+            old = v
+            nxt = move.join(v.withColumnRenamed("state", "next_state"), "next_state").groupBy("state", "action").agg(F.sum(F.col("p") * F.col("v")).alias("_x"))
+            q = base.join(nxt, ["state", "action"], "left").withColumn("q", F.col("reward") + gamma * (1 - F.col("terminal")) * F.coalesce("_x", F.lit(0.0)))
+            v = q.groupBy("state").agg(F.max("q").alias("v")) if pi is None else q.join(pi, ["state", "action"]).groupBy("state").agg(F.sum(F.col("_pi") * F.col("q")).alias("v"))
+        both = cut(v.join(old.withColumnRenamed("v", "_o"), "state"))
+        v = both.select("state", "v")
+        gap = both.agg(F.max(F.abs(F.col("v") - F.col("_o")))).first()[0]
+        if gap is None or gap < tol:
+            return v
 
 
 def initial_value(traj: DataFrame, values: DataFrame) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Lineage cuts and size checks shared by the iterative operators."""
+"""Lineage cuts shared by the iterative operators."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -30,13 +29,3 @@ def cut(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when it holds at most ``limit`` rows, else leave the join to Catalyst.
-
-    The check reads at most ``limit + 1`` rows.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

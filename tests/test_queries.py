@@ -1,4 +1,4 @@
-"""Every query with a DuckDB twin agrees with it on the smallest tables."""
+"""Every query runs over the smallest tables and has rows; those with a DuckDB twin agree with it."""
 
 import pytest
 
@@ -9,8 +9,12 @@ from verify import compare
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_duckdb(spark, con, name):
-    note = compare(QUERIES[name](spark, FOLDER), con, ORACLES[name])
-    assert note in ("", "no rows on either side")
+    assert compare(QUERIES[name](spark, FOLDER), con, ORACLES[name]) == ""
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_has_rows(spark, name):
+    assert QUERIES[name](spark, FOLDER).collect()
 
 
 def test_flagship(spark):
