@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import written
 from ..plans.ordered import scan
 
 
@@ -88,7 +88,7 @@ def doubly_robust(traj: DataFrame, key: str, target: DataFrame, behaviour: DataF
     return d.groupBy(key).agg(F.sum(term).alias("x")).agg(F.avg("x").alias("value"), F.count("*").alias("n_traj"))
 
 
-def policy_evaluation(sa: DataFrame, p: DataFrame, policy: DataFrame | None, gamma: float, tol: float = 1e-6, cut_every: int = 10) -> DataFrame:
+def policy_evaluation(sa: DataFrame, p: DataFrame, policy: DataFrame | None, gamma: float, tol: float = 1e-6, cut_every: int = 8) -> DataFrame:
     """Bellman sweeps on (state, action) tables: a given policy's values, or the best ones (``policy=None``).  Returns (state, v).
 
     Sweeps go on until no value moves by ``tol`` in one sweep; lineage is cut every ``cut_every`` sweeps, where the change is
@@ -96,16 +96,21 @@ def policy_evaluation(sa: DataFrame, p: DataFrame, policy: DataFrame | None, gam
     """
     if not 0 <= gamma < 1:
         raise ValueError("gamma must be at least 0 and below 1")
-    base, move = cut(sa), cut(p)
-    pi = None if policy is None else policy.select("state", "action", F.col("p").alias("_pi"))
-    v = base.select("state").distinct().withColumn("v", F.lit(0.0))
+    base, move = written(sa), written(p)
+    pi = None if policy is None else written(policy.select("state", "action", F.col("p").alias("_pi")))
+
+    def sweep(v):
+        nxt = move.join(v.withColumnRenamed("state", "next_state"), "next_state").groupBy("state", "action").agg(F.sum(F.col("p") * F.col("v")).alias("_x"))
+        q = base.join(nxt, ["state", "action"], "left").withColumn("q", F.col("reward") + gamma * (1 - F.col("terminal")) * F.coalesce("_x", F.lit(0.0)))
+        return q.groupBy("state").agg(F.max("q").alias("v")) if pi is None else q.join(pi, ["state", "action"]).groupBy("state").agg(F.sum(F.col("_pi") * F.col("q")).alias("v"))
+
+    v = written(base.select("state").distinct().withColumn("v", F.lit(0.0)))
     while True:
+        old = v
         for _ in range(cut_every):
-            old = v
-            nxt = move.join(v.withColumnRenamed("state", "next_state"), "next_state").groupBy("state", "action").agg(F.sum(F.col("p") * F.col("v")).alias("_x"))
-            q = base.join(nxt, ["state", "action"], "left").withColumn("q", F.col("reward") + gamma * (1 - F.col("terminal")) * F.coalesce("_x", F.lit(0.0)))
-            v = q.groupBy("state").agg(F.max("q").alias("v")) if pi is None else q.join(pi, ["state", "action"]).groupBy("state").agg(F.sum(F.col("_pi") * F.col("q")).alias("v"))
-        both = cut(v.join(old.withColumnRenamed("v", "_o"), "state"))
+            old = sweep(old)
+        old = written(old)
+        both = written(sweep(old).join(old.withColumnRenamed("v", "_o"), "state"))
         v = both.select("state", "v")
         gap = both.agg(F.max(F.abs(F.col("v") - F.col("_o")))).first()[0]
         if gap is None or gap < tol:
