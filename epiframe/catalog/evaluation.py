@@ -181,7 +181,7 @@ def distance(t):
 
 @query("evl16_mmd")
 def kernel_distance(t):
-    return rounded(E.mmd(t.embeddings, "vec_id", "embedding", F.col("label") >= 5, 500, 1, n_perm=19))
+    return rounded(E.mmd(t.embeddings, "vec_id", "embedding", F.col("label") >= 5, 64, 512, 1, n_perm=99))
 
 
 @query("evl16_centroid_distance", """
@@ -245,8 +245,13 @@ def matched(t):
 @query("evl17_propensity_mse")
 def pmse(t):
     from ..operators.models import propensity_mse
-    e = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
-    return rounded(propensity_mse(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), ["e0", "e1", "e2", "e3"]))
+    return rounded(propensity_mse(t.embeddings.filter("vec_id % 2 = 0"), t.embeddings.filter("vec_id % 2 = 1"), "vec_id", "embedding"))
+
+
+@query("evl17_closest_record_report")
+def closest_report(t):
+    side = lambda k: t.embeddings.filter(f"vec_id % 4 = {k}")
+    return rounded(E.closest_record_report(t.embeddings.filter("vec_id % 2 = 0"), {"synthetic": side(1), "holdout": side(3)}, "vec_id", "embedding", 64), 4)
 
 
 @query("evl18_alarm_scores", """
@@ -292,3 +297,83 @@ SELECT p_brand, n_cells, round(m, 8) AS mean, round(w, 8) AS worst, round(gap, 8
 def board(t):
     d = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy("p_brand", "p_type").agg(F.avg("l_discount").alias("v"))
     return rounded(E.leaderboard(d, "p_brand", "p_type", "v"), 8)
+
+
+@query("evl06_screening_policies", f"""
+WITH {SQL}, h AS (SELECT unnest([0.2, 0.4, 0.6]::DOUBLE[]) AS threshold), s AS (SELECT threshold, avg(y) AS c, avg((p >= threshold)::INT) AS r, avg((p >= threshold AND y = 1)::INT) AS h FROM d, h GROUP BY 1)
+SELECT threshold, round(1000 * r, 5) AS referred_per_1000, round(1000 * h, 5) AS found_per_1000, round(1000 * (c - h), 5) + 0 AS missed_per_1000, round(1000 * (r * 4000 + 50 + (c - h) * 300), 4) AS cost_per_1000, CASE WHEN h > 0 THEN round((r * 4000 + 50 + (c - h) * 300) / h, 4) END AS cost_per_found FROM s""")
+def policies(t):
+    d = E.screening_policies(scored(t), "y", "p", [0.2, 0.4, 0.6], 4000.0, 50.0, 300.0)
+    return d.select("threshold", *[F.round(c, 5).alias(c) for c in ("referred_per_1000", "found_per_1000", "missed_per_1000")], *[F.round(c, 4).alias(c) for c in ("cost_per_1000", "cost_per_found")])
+
+
+@query("evl06_gray_zone", f"""
+WITH {SQL}, s AS (SELECT p, sum(y) AS a, count(*) - sum(y) AS b FROM d GROUP BY 1), c AS (SELECT p, sum(a) OVER w AS tp, sum(b) OVER w AS fp, sum(a) OVER () AS pp, sum(b) OVER () AS nn FROM s WINDOW w AS (ORDER BY p DESC)),
+z AS (SELECT coalesce(max(p) FILTER (tp >= (0.9 - 1e-12) * pp), min(p)) AS a, coalesce(min(p) FILTER (nn - fp >= (0.9 - 1e-12) * nn), max(p)) AS b FROM c)
+SELECT least(a, b) AS lo, greatest(a, b) AS hi, count(*)::BIGINT AS n, round(avg((p BETWEEN least(a, b) AND greatest(a, b))::INT), 6) AS inside FROM d, z GROUP BY 1, 2""")
+def gray(t):
+    return rounded(E.gray_zone(scored(t), "y", "p"))
+
+
+TERMS = ["tax", "discount", "quantity"]
+
+
+@query("evl10_shapley_gap", """
+WITH r AS (SELECT p_brand AS brand, l_linestatus AS g, l_extendedprice AS x, l_tax AS t, l_discount AS d, l_quantity AS q FROM lineitem JOIN part ON p_partkey = l_partkey),
+s AS (SELECT * FROM (SELECT unnest([0, 1]) AS tax), (SELECT unnest([0, 1]) AS discount), (SELECT unnest([0, 1]) AS quantity)),
+v AS (SELECT brand, tax, discount, quantity, avg(y) FILTER (g = 'F') - avg(y) FILTER (g = 'O') AS v FROM (SELECT *, x / (1 + tax * t) * (1 - discount * d) / (CASE quantity WHEN 1 THEN q ELSE 1 END) AS y FROM r, s) GROUP BY 1, 2, 3, 4),
+u AS (SELECT brand, unnest(['tax', 'discount', 'quantity']) AS term, tax, discount, quantity, v FROM v), f AS (SELECT *, CASE term WHEN 'tax' THEN tax WHEN 'discount' THEN discount ELSE quantity END AS own, tax + discount + quantity AS k FROM u),
+j AS (SELECT a.brand, a.term, a.k, a.v - b.v AS c, CASE a.k WHEN 1 THEN 1 / 6::DOUBLE ELSE 1 / 3::DOUBLE END AS w FROM f a JOIN f b ON a.brand = b.brand AND a.term = b.term AND a.own = 0 AND b.own = 1 AND b.k = a.k + 1 AND (a.tax = b.tax OR a.term = 'tax') AND (a.discount = b.discount OR a.term = 'discount') AND (a.quantity = b.quantity OR a.term = 'quantity'))
+SELECT j.brand, term, round(sum(w * c), 4) + 0 AS closed_mean, round(sqrt(greatest(sum(w * c * c) - pow(sum(w * c), 2), 0)), 2) AS closed_sd, round(sum(w * c) / any_value(v.v), 6) + 0 AS share_of_raw FROM j JOIN v ON v.brand = j.brand AND tax + discount + quantity = 0 GROUP BY 1, 2""")
+def shapley(t):
+    d = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    def price(m):
+        x = F.col("l_extendedprice") / (1 + F.col("l_tax")) if m & 1 else F.col("l_extendedprice")
+        x = x * (1 - F.col("l_discount")) if m & 2 else x
+        return x / F.col("l_quantity") if m & 4 else x
+    gap = lambda m: F.avg(F.when(F.col("l_linestatus") == "F", price(m))) - F.avg(F.when(F.col("l_linestatus") == "O", price(m)))
+    g = d.groupBy(F.col("p_brand").alias("brand")).agg(*[gap(m).alias(f"v{m}") for m in range(8)])
+    subsets = F.array(*[F.struct(*[F.lit(bool(m >> i & 1)).alias(c) for i, c in enumerate(TERMS)], F.col(f"v{m}").alias("v")) for m in range(8)])
+    s = E.shapley_gap(g.select("brand", F.inline(subsets)), TERMS, "v", ["brand"])
+    return s.select("brand", "term", (F.round("closed_mean", 4) + 0).alias("closed_mean"), F.round("closed_sd", 2).alias("closed_sd"), (F.round("share_of_raw", 6) + 0).alias("share_of_raw"))
+
+
+@query("evl19_ieee_grade", """
+WITH s AS (SELECT l_linestatus AS g, count(*)::BIGINT AS n, avg(abs(100 * l_discount + l_quantity / 5 - 10)) AS m FROM lineitem GROUP BY 1)
+SELECT g, n, round(m, 6) AS mad, CASE WHEN m <= 5 THEN 'A' WHEN m <= 6 THEN 'B' WHEN m <= 7 THEN 'C' ELSE 'D' END AS grade FROM s""")
+def ieee(t):
+    d = t.lineitem.select(F.col("l_linestatus").alias("g"), F.lit(10.0).alias("r"), (100 * F.col("l_discount") + F.col("l_quantity") / 5).alias("e"))
+    return rounded(E.ieee_grade(d, "r", "e", ["g"]))
+
+
+@query("evl20_deferral_curve", f"""
+WITH {SQL}, o AS (SELECT l_orderkey, max(y) AS y, round(avg(p), 6) AS p, round(avg(q), 6) AS u FROM d GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY u, l_orderkey) AS k, count(*) OVER () AS n FROM o), c AS (SELECT unnest([0.5, 0.8, 1.0]::DOUBLE[]) AS coverage),
+r AS (SELECT coverage, y, p, u FROM k, c WHERE k <= greatest(round_even(n * coverage, 0), 1)), a AS (SELECT *, rank() OVER (PARTITION BY coverage ORDER BY p) + (count(*) OVER (PARTITION BY coverage, p) - 1) / 2.0::DOUBLE AS rk FROM r)
+SELECT coverage, count(*)::BIGINT AS n_kept, round(avg(((p >= 0.5)::INT = y)::INT), 6) AS accuracy, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(u), 6) AS mean_uncertainty, round((sum(rk * y) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y)::DOUBLE * (count(*) - sum(y))), 6) AS auroc FROM a GROUP BY 1""")
+def deferral(t):
+    d = scored(t).groupBy("l_orderkey").agg(F.max("y").alias("y"), F.round(F.avg("p"), 6).alias("p"), F.round(F.avg("q"), 6).alias("u"))
+    return rounded(E.deferral_curve(d, "y", "p", "u", [0.5, 0.8, 1.0], "l_orderkey"))
+
+
+@query("evl20_exclusion_elasticity", """
+WITH s AS (SELECT l_returnflag, count(*)::BIGINT AS n, avg((l_quantity > 10)::INT) AS a, avg((l_quantity > 20)::INT) AS b, avg((l_quantity > 40)::INT) AS c FROM lineitem GROUP BY 1)
+SELECT l_returnflag, n, round(a, 6) AS excluded_0, round(b, 6) AS excluded_1, round(c, 6) AS excluded_2, round((c - a) / (2 * ln(2)), 6) AS elasticity, round(greatest(a, b, c) - least(a, b, c), 6) AS range FROM s""")
+def elasticity(t):
+    return rounded(E.exclusion_elasticity(t.lineitem, "l_quantity", [10, 20, 40], ["l_returnflag"]))
+
+
+@query("evl21_axis_summary", """
+WITH c AS (SELECT p_brand, p_type, avg(l_discount) AS v FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2), a AS (SELECT *, unnest(list_distinct(string_split(p_type, ' '))) AS axis FROM c), n AS (SELECT p_brand, count(*) AS n, sum(v) AS t FROM c GROUP BY 1), w AS (SELECT p_brand, axis, count(*) AS k, sum(v) AS s FROM a GROUP BY 1, 2)
+SELECT p_brand, axis, k::BIGINT AS n_with, (n - k)::BIGINT AS n_without, round(s / k, 8) AS mean_with, CASE WHEN n > k THEN round((t - s) / (n - k), 8) END AS mean_without FROM w JOIN n USING (p_brand)""")
+def axes(t):
+    d = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy("p_brand", "p_type").agg(F.avg("l_discount").alias("v"))
+    return rounded(E.axis_summary(d.withColumn("axes", F.split("p_type", " ")), "axes", "v", ["p_brand"]), 8)
+
+
+@query("evl21_shift_loss", """
+WITH c AS (SELECT p_type, round(avg(l_tax), 6) AS a, round(avg(l_discount), 6) AS b FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand, p_type), u AS (SELECT p_type AS stratum, a, b FROM c UNION ALL SELECT 'pooled', a, b FROM c),
+r AS (SELECT stratum, rank() OVER (PARTITION BY stratum ORDER BY a) + (count(*) OVER (PARTITION BY stratum, a) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY stratum ORDER BY b) + (count(*) OVER (PARTITION BY stratum, b) - 1) / 2.0::DOUBLE AS y FROM u)
+SELECT stratum, count(*)::BIGINT AS n_cells, CASE WHEN count(*) >= 3 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN round(corr(x, y), 5) + 0 END AS spearman_rho FROM r GROUP BY 1""")
+def shift_loss(t):
+    d = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy("p_brand", "p_type").agg(F.round(F.avg("l_tax"), 6).alias("a"), F.round(F.avg("l_discount"), 6).alias("b"))
+    return rounded(E.shift_loss_correlation(d, "a", "b", "p_type").drop("p"), 5)

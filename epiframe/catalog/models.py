@@ -26,11 +26,11 @@ def its(t):
 def panel(t):
     """Log monthly-quarter sales of suppliers; a third are never treated, the rest start in quarter 8 or 14."""
     step = ((F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1)
-    d = t.lineitem.groupBy("l_suppkey", step.alias("t")).agg(F.sum("l_quantity").alias("n")).filter("t < 26")
+    d = t.lineitem.groupBy("l_suppkey", step.alias("t")).agg(F.sum("l_quantity").alias("n"))
     return d.select("l_suppkey", "t", F.log1p("n").alias("y"), "n", F.when(F.col("l_suppkey") % 3 == 1, 8).when(F.col("l_suppkey") % 3 == 2, 14).alias("cohort"))
 
 
-PANEL = """p AS (SELECT l_suppkey, (extract(year FROM l_shipdate) - 1995) * 4 + extract(quarter FROM l_shipdate) - 1 AS t, ln(1 + sum(l_quantity)) AS y, CASE l_suppkey % 3 WHEN 1 THEN 8 WHEN 2 THEN 14 END AS c FROM lineitem GROUP BY 1, 2, 4 HAVING t < 26),
+PANEL = """p AS (SELECT l_suppkey, (extract(year FROM l_shipdate) - 1995) * 4 + extract(quarter FROM l_shipdate) - 1 AS t, ln(1 + sum(l_quantity)) AS y, CASE l_suppkey % 3 WHEN 1 THEN 8 WHEN 2 THEN 14 END AS c FROM lineitem GROUP BY 1, 2, 4),
 gh AS (SELECT g, h FROM (SELECT unnest([8, 14]) AS g), (SELECT unnest([0, 1, 2, 3]) AS h)), dd AS (SELECT gh.g, gh.h, a.c, a.y - b.y AS dy, a.t FROM gh JOIN p a ON a.t = g + h JOIN p b ON b.l_suppkey = a.l_suppkey AND b.t = g - 1),
 att AS (SELECT g, h, avg(dy) FILTER (c = g) - avg(dy) FILTER (c IS NULL OR c > t) AS att, count(*) FILTER (c = g) AS n FROM dd GROUP BY 1, 2)"""
 
@@ -131,21 +131,29 @@ def residuals(t):
     return rounded(d.groupBy("prio").agg(F.avg("price_res").alias("price_res"), F.stddev_samp("price_res").alias("spread")), 5)
 
 
-def vectors(t, n=4):
+def vectors(t, n=64):
     return t.embeddings.select("vec_id", "label", (F.col("vec_id") % 3).alias("batch"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
 
 
+DIMENSIONS = [f"e{i}" for i in range(64)]
+
+
+def adjusted(d):
+    """One row per vector and dimension."""
+    values = F.posexplode(F.array(*[F.round(F.col(f"{c}_adj"), 5) + F.lit(0.0) for c in DIMENSIONS])).alias("feature", "adjusted")
+    return d.select("vec_id", values)
+
+
 @query("mod10_combat_plain", """
-WITH v AS (SELECT vec_id, vec_id % 3 AS b, embedding[1]::DOUBLE AS x FROM embeddings), m AS (SELECT b, avg(x) AS mb, count(*)::DOUBLE AS n, var_pop(x) * count(*) AS ss FROM v GROUP BY 1), g AS (SELECT sum(n * mb) / sum(n) AS mu, sum(ss) / sum(n) AS vp FROM m)
-SELECT vec_id, round((x - mb) / sqrt(ss / (n - 1)) * sqrt(vp) + mu, 5) + 0 AS e0_adj FROM v JOIN m USING (b), g""")
+WITH v AS (SELECT vec_id, vec_id % 3 AS b, i, embedding[i]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)), m AS (SELECT b, i, avg(x) AS mb, count(*)::DOUBLE AS n, var_pop(x) * count(*) AS ss FROM v GROUP BY 1, 2), g AS (SELECT i, sum(n * mb) / sum(n) AS mu, sum(ss) / sum(n) AS vp FROM m GROUP BY 1)
+SELECT vec_id, (i - 1)::INT AS feature, round((x - mb) / sqrt(ss / (n - 1)) * sqrt(vp) + mu, 5) + 0 AS adjusted FROM v JOIN m USING (b, i) JOIN g USING (i)""")
 def combat_plain(t):
-    return rounded(M.combat(vectors(t, 1), "batch", ["e0"], eb=False).select("vec_id", "e0_adj"), 5)
+    return adjusted(M.combat(vectors(t), "batch", DIMENSIONS, eb=False))
 
 
 @query("mod10_combat_eb")
 def combat(t):
-    d = M.combat(vectors(t), "batch", ["e0", "e1", "e2"], ["e3"])
-    return rounded(d.select("vec_id", "e0_adj", "e1_adj", "e2_adj"), 5)
+    return adjusted(M.combat(vectors(t), "batch", DIMENSIONS, ["label"]))
 
 
 @query("mod11_normative")
@@ -179,7 +187,7 @@ def clusters(t):
 @query("mod13_kmeans_states")
 def state_ids(t):
     d = vectors(t)
-    return M.kmeans_states(d.filter("vec_id % 2 = 0"), d, ["e0", "e1", "e2", "e3"], 6, 1).groupBy("state").agg(F.count("*").alias("n"))
+    return M.kmeans_states(d.filter("vec_id % 2 = 0"), d, DIMENSIONS, 6, 1).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query("mod14_grouped_cv")

@@ -113,11 +113,10 @@ def unpivot(t):
 
 
 @query("rel10_explode", """
-SELECT lang, word, count(*)::BIGINT AS n FROM (SELECT lang, unnest(string_split(lower(text), ' ')) AS word FROM documents)
-WHERE length(word) = 3 GROUP BY 1, 2""")
+SELECT lang, word, count(*)::BIGINT AS n FROM (SELECT lang, unnest(string_split(lower(text), ' ')) AS word FROM documents) GROUP BY 1, 2""")
 def explode(t):
     d = t.documents.select("lang", F.explode(F.split(F.lower("text"), " ")).alias("word"))
-    return d.filter(F.length("word") == 3).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    return d.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("rel11_top_per_group", """

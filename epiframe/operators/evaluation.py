@@ -7,10 +7,13 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import two_sided_p
+from ..functions.stats import t_p, two_sided_p
+from ..plans.lineage import cut
 from ..plans.ordered import quantiles, range_pairs, scan, value_ranks
 from .joins import closest_pairs
 from .timeseries import merge_events, split_events
@@ -142,6 +145,27 @@ def operating_points(df: DataFrame, y: str, p: str, targets: Mapping[str, float]
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("target"), *[F.col(f"{k}.{c}").alias(c) for c in ("threshold", "sensitivity", "specificity", "ppv", "alert_rate")]) for k in targets])))
 
 
+def screening_policies(df: DataFrame, y: str, p: str, thresholds: Sequence[float], cost_test: float, cost_screen: float = 0.0, cost_missed: float = 0.0) -> DataFrame:
+    """Per threshold: referrals, cases found and missed per 1,000 screened, cost per 1,000 and cost per case found."""
+    on, case = lambda t: F.col(p) >= t, F.col(y) == 1
+    one = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).agg(F.avg(case.cast("double")).alias("_c"), *[e for i, t in enumerate(thresholds) for e in (F.avg(on(t).cast("double")).alias(f"r{i}"), F.avg((on(t) & case).cast("double")).alias(f"h{i}"))])
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"r{i}").alias("_r"), F.col(f"h{i}").alias("_h")) for i, t in enumerate(thresholds)])
+    d = one.select(F.col("_c"), F.inline(rows))
+    cost = 1000 * (F.col("_r") * cost_test + cost_screen + (F.col("_c") - F.col("_h")) * cost_missed)
+    return d.select("threshold", (1000 * F.col("_r")).alias("referred_per_1000"), (1000 * F.col("_h")).alias("found_per_1000"), (1000 * (F.col("_c") - F.col("_h"))).alias("missed_per_1000"),
+                    cost.alias("cost_per_1000"), F.when(F.col("_h") > 0, cost / (1000 * F.col("_h"))).alias("cost_per_found"))
+
+
+def gray_zone(df: DataFrame, y: str, score: str, sensitivity: float = 0.9, specificity: float = 0.9) -> DataFrame:
+    """The scores between the cut with that sensitivity and the cut with that specificity, and the share of rows inside."""
+    c = score_counts(df, y, score)
+    d = _from_top(c, []).join(F.broadcast(c.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))))
+    lo = F.coalesce(F.max(F.when(F.col("tp") >= (sensitivity - 1e-12) * F.col("P"), F.col("s"))), F.min("s"))
+    hi = F.coalesce(F.min(F.when(F.col("N") - F.col("fp") >= (specificity - 1e-12) * F.col("N"), F.col("s"))), F.max("s"))
+    b = d.agg(lo.alias("_a"), hi.alias("_b")).select(F.least("_a", "_b").alias("lo"), F.greatest("_a", "_b").alias("hi"))
+    return c.join(F.broadcast(b)).groupBy("lo", "hi").agg(F.sum("rows").alias("n"), (F.sum(F.when(F.col("s").between(F.col("lo"), F.col("hi")), F.col("rows")).otherwise(0)) / F.sum("rows")).alias("inside"))
+
+
 def subgroup_metrics(df: DataFrame, y: str, p: str, group: str, threshold: float, min_n: int = 1) -> DataFrame:
     """n, prevalence, TPR, FPR, PPV, alert rate and AUROC per subgroup."""
     on = F.col(p) >= threshold
@@ -215,14 +239,33 @@ def gap_decomposition(src: DataFrame, tgt: DataFrame, y: str, p: str, w_x: str,
     return one.select(F.col("s").alias("source"), F.col("t").alias("target"), (F.col("t") - F.col("s")).alias("gap"), cov.alias("covariate"), lab.alias("label"), (F.col("t") - F.col("xl")).alias("concept"))
 
 
+def shapley_gap(values: DataFrame, terms: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
+    """How much of a gap each correction closes, averaged over all orders in which corrections can be applied.
+
+    ``values`` has one row per (by, subset): a boolean column per term says whether it is applied, ``value`` is the gap that
+    remains.  Subsets meet their extension by one term on a bit mask; a missing subset leaves its orders out.
+    """
+    k = len(terms)
+    mask = sum((F.when(F.col(t), 1 << i).otherwise(0) for i, t in enumerate(terms)), F.lit(0))
+    v = values.select(*by, mask.alias("_m"), sum((F.col(t).cast("int") for t in terms), F.lit(0)).alias("_n"), F.col(value).cast("double").alias("_v"))
+    steps = v.select(*by, "_n", F.col("_v").alias("_before"), F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.when(F.col("_m").bitwiseAND(1 << i) == 0, F.col("_m") + (1 << i)).alias("_to")) for i, t in enumerate(terms)]))).filter("_to IS NOT NULL")
+    j = steps.join(v.select(*by, F.col("_m").alias("_to"), F.col("_v").alias("_after")), [*by, "_to"])
+    orders = F.element_at(F.array(*[F.lit(math.factorial(n) * math.factorial(k - n - 1) / math.factorial(k)) for n in range(k)]), F.col("_n") + 1)
+    closed = F.col("_before") - F.col("_after")
+    g = j.groupBy(*by, "term").agg((F.sum(orders * closed) / F.sum(orders)).alias("closed_mean"), (F.sum(orders * closed * closed) / F.sum(orders)).alias("_q"))
+    raw = v.filter("_m = 0").select(*by, F.col("_v").alias("_raw"))
+    d = g.join(raw, list(by), "left") if by else g.join(F.broadcast(raw))
+    return d.select(*by, "term", "closed_mean", F.sqrt(F.greatest(F.col("_q") - F.col("closed_mean") * F.col("closed_mean"), F.lit(0.0))).alias("closed_sd"), F.when(F.col("_raw") != 0, F.col("closed_mean") / F.col("_raw")).alias("share_of_raw"))
+
+
 # --- resampling -----------------------------------------------------------------------------------
 
 def poisson_weight(n: int, group: Sequence[str], seed: int) -> Column:
     """Reproducible Poisson(1) weight of a group in replicate ``rep``, by inverting a hash."""
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), *[F.col(g) for g in group]), F.lit(1 << 53)) / float(1 << 53)
-    out, cum, p = F.lit(8), 0.0, math.exp(-1)
+    out, cum, p = F.lit(18), 0.0, math.exp(-1)
     steps = []
-    for k in range(8):
+    for k in range(18):                                             # beyond 18 no hash of 53 bits is left
         cum += p
         steps.append((cum, k))
         p /= k + 1
@@ -337,37 +380,47 @@ def distribution_distance(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame
                  F.sum(2 * gap * gap * (F.coalesce("nx", F.col("x")) - F.col("x"))).alias("energy")).join(F.broadcast(miss))
 
 
-def mmd(df: DataFrame, row_id: str, vec: str, side: Column, cap: int, seed: int = 0, gamma: float | None = None, n_perm: int = 0) -> DataFrame:
-    """Unbiased squared MMD with an RBF kernel on hash samples of at most ``cap`` rows per side, as the statistic is defined here.
+def mmd(df: DataFrame, row_id: str, vec: str, side: Column, dim: int, features: int = 256, seed: int = 0, gamma: float | None = None, n_perm: int = 0) -> DataFrame:
+    """Unbiased squared MMD with an RBF kernel over all rows, by ``features`` random Fourier frequencies.
 
-    The sample is 2 * cap rows by construction, so the kernel sums are one small Arrow group.
+    The kernel becomes a product of cosine and sine features, so a task sends one vector of sums per replicate whatever
+    its rows; the error of the approximation falls with the root of ``features``.  ``gamma`` defaults to one over the mean
+    squared distance of two rows.  Replicates deal each row to a side by a hash of its identifier.  A side with fewer
+    than two rows gives NULL; rows with a NULL vector or side are left out.
     """
-    d = df.select(row_id, F.col(vec).alias("_v"), side.cast("int").alias("_s")).withColumn("_h", F.xxhash64(F.lit(seed), row_id))
-    parts = [d.filter(F.col("_s") == s).orderBy("_h", row_id).limit(cap) for s in (0, 1)]
-    both = parts[0].union(parts[1])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_s", "_h"])
-        x = np.vstack(pdf["_v"].to_numpy()).astype(float)
-        s = pdf["_s"].to_numpy()
-        d2 = np.maximum((x ** 2).sum(1)[:, None] + (x ** 2).sum(1)[None, :] - 2 * x @ x.T, 0)
-        off = d2[np.triu_indices(len(x), 1)]
-        g = gamma if gamma is not None else 1.0 / max(float(np.median(off[off > 0])), 1e-12)
-        k = np.exp(-g * d2)
-        np.fill_diagonal(k, 0.0)
-
-        def stat(lab):
-            a, b = lab == 0, lab == 1
-            m, n = a.sum(), b.sum()
-            return k[np.ix_(a, a)].sum() / (m * (m - 1)) + k[np.ix_(b, b)].sum() / (n * (n - 1)) - 2 * k[np.ix_(a, b)].mean()
-
-        seen = stat(s)
-        rng = np.random.default_rng(seed)
-        null = [stat(rng.permutation(s)) for _ in range(n_perm)]
-        p = (1 + sum(v >= seen for v in null)) / (1 + n_perm) if n_perm else None
-        return pd.DataFrame({"n": [len(x)], "gamma": [g], "mmd2": [seen], "p": [p]})
-
-    return both.groupBy(F.lit(1).alias("_all")).applyInPandas(run, "n BIGINT, gamma DOUBLE, mmd2 DOUBLE, p DOUBLE")
+    d = df.select(F.xxhash64(F.lit(seed), row_id).alias("_h"), F.col(vec).alias("_v"), side.cast("int").alias("_s")).filter("_v IS NOT NULL AND _s IS NOT NULL")
+    spread = sum((F.var_samp(F.col("_v")[i].cast("double")) for i in range(dim)), F.lit(0.0))
+    width = F.lit(float(gamma)) if gamma is not None else F.when(spread > 0, 0.5 / spread).otherwise(1.0)
+    one = d.agg(F.count("*").alias("n"), F.avg("_s").alias("share"), width.alias("gamma"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = np.random.default_rng(seed).standard_normal((dim, features))
+        salts = np.random.default_rng(seed + 1).integers(1, 1 << 63, n_perm, dtype=np.uint64)
+        sums, sizes, whole = np.zeros((n_perm + 1, 2 * features)), np.zeros(n_perm + 1), np.zeros(2 * features)
+        for b in batches:
+            if not len(b):
+                continue
+            z = np.vstack(b["_v"].to_numpy()).astype(float) @ w * np.sqrt(2 * b["gamma"].iloc[0])
+            f = np.hstack([np.cos(z), np.sin(z)]) / np.sqrt(features)
+            x = (b["_h"].to_numpy().view(np.uint64)[None, :] ^ salts[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            dealt = (x >> np.uint64(11)) / float(1 << 53) < b["share"].iloc[0]
+            on = np.vstack([b["_s"].to_numpy()[None, :] == 1, dealt]).astype(float)
+            sums, sizes, whole = sums + on @ f, sizes + on.sum(1), whole + f.sum(0)
+        yield pd.DataFrame({"rep": np.arange(-1, n_perm + 1), "m": np.r_[0.0, sizes], "v": [whole.tolist(), *sums.tolist()]})
+
+    parts = d.join(F.broadcast(one)).mapInPandas(run, "rep INT, m DOUBLE, v ARRAY<DOUBLE>")
+    g = parts.groupBy("rep").agg(F.sum("m").alias("m"), vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+    r = g.filter("rep >= 0").join(F.broadcast(g.filter("rep = -1").select(F.col("v").alias("t")))).join(F.broadcast(one))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    r = r.withColumn("u", F.zip_with("t", "v", lambda x, y: x - y)).withColumn("k", F.col("n") - F.col("m"))
+    m, k = F.col("m"), F.col("k")
+    value = F.when((m > 1) & (k > 1), (dot("v", "v") - m) / (m * (m - 1)) + (dot("u", "u") - k) / (k * (k - 1)) - 2 * dot("v", "u") / (m * k))
+    r = r.select("rep", "n", "gamma", value.alias("e"))
+    seen = r.filter("rep = 0").select("n", "gamma", F.col("e").alias("mmd2"))
+    high = r.join(F.broadcast(seen.select("mmd2"))).agg(F.sum(((F.col("rep") > 0) & (F.col("e") >= F.col("mmd2"))).cast("int")).alias("_k"))
+    p = (1 + F.coalesce("_k", F.lit(0))) / F.lit(1.0 + n_perm) if n_perm else F.lit(None).cast("double")
+    return seen.join(F.broadcast(high)).select("n", "gamma", "mmd2", F.when(F.col("mmd2").isNotNull(), p).alias("p"))
 
 
 def centroid_distance(df: DataFrame, vec: str, side: Column, dim: int) -> DataFrame:
@@ -405,6 +458,28 @@ def closest_record(train: DataFrame, synthetic: DataFrame, row_id: str, vec: str
     return near.groupBy(row_id).agg(F.min(F.struct("distance", "nearest")).alias("_m")).select(row_id, "_m.nearest", "_m.distance")
 
 
+def standardise(df: DataFrame, reference: DataFrame, vec: str, dim: int) -> DataFrame:
+    """``vec`` by the reference rows' mean and population SD of each dimension (constant dimensions are only centred)."""
+    x = lambda i: F.col(vec)[i].cast("double")
+    sd = lambda i: F.when(F.stddev_pop(x(i)) > 0, F.stddev_pop(x(i))).otherwise(1.0)
+    m = reference.agg(F.array(*[F.avg(x(i)) for i in range(dim)]).alias("_m"), F.array(*[sd(i) for i in range(dim)]).alias("_d"))
+    centred = F.zip_with(F.zip_with(vec, "_m", lambda a, b: a.cast("double") - b), "_d", lambda a, b: a / b)
+    return df.join(F.broadcast(m)).withColumn(vec, centred).drop("_m", "_d")
+
+
+def closest_record_report(train: DataFrame, others: dict[str, DataFrame], row_id: str, vec: str, dim: int) -> DataFrame:
+    """Rows, 5 % point and median of the distance to the closest training row, for each named table (synthetic, holdout).
+
+    Distances are Euclidean after standardising by the training rows; a synthetic table that lies nearer than the
+    holdout has learnt training rows by heart.
+    """
+    fixed, near = standardise(train, train, vec, dim), None
+    for name, table in others.items():
+        one = closest_record(fixed, standardise(table, train, vec, dim), row_id, vec, dim).select(F.lit(name).alias("side"), "distance")
+        near = one if near is None else near.unionByName(one)
+    return quantiles(cut(near), ["side"], "distance", {"p5": 0.05, "median": 0.5})
+
+
 # --- event scoring ---------------------------------------------------------------------------------
 
 def _overlaps(ref: DataFrame, hyp: DataFrame, key: Sequence[str], width: float) -> DataFrame:
@@ -488,6 +563,14 @@ def bhs_grade(df: DataFrame, ref: str, est: str, by: Sequence[str] = ()) -> Data
     return g.withColumn("grade", letter).withColumn("aami_pass", (F.abs("mean_error") <= 5) & (F.col("sd_error") <= 8))
 
 
+def ieee_grade(df: DataFrame, ref: str, est: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean absolute difference and its letter."""
+    # Upper limits of the mean absolute difference for grades A, B and C.
+    a, b, c = 5, 6, 7
+    g = df.groupBy(*by).agg(F.count(F.col(est) - F.col(ref)).alias("n"), F.avg(F.abs(F.col(est) - F.col(ref))).alias("mad"))
+    return g.withColumn("grade", F.when(F.col("mad") <= a, "A").when(F.col("mad") <= b, "B").when(F.col("mad") <= c, "C").when(F.col("mad").isNotNull(), "D"))
+
+
 def alarm_cost(df: DataFrame, ref: str, est: str, low: float, cost: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Low-value alarm sensitivity and specificity, and the mean cost of zones from a table."""
     r, p = F.col(ref) < low, F.col(est) < low
@@ -505,8 +588,58 @@ def triage_curve(df: DataFrame, score: str, flag: str, fractions: Sequence[float
     return one.select(F.inline(F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.ceil(F.col("_n") * f - 1e-9).alias("reviewed"), (F.col(f"h{i}") / F.col("_p")).alias("recall")) for i, f in enumerate(fractions)])))
 
 
+def deferral_curve(df: DataFrame, y: str, p: str, uncertainty: str, coverages: Sequence[float], row_id: str) -> DataFrame:
+    """Accuracy, Brier score, AUROC and mean uncertainty of the most certain rows, per share of rows that are not deferred.
+
+    Rows are counted per (first coverage that holds them, label, score); only those counts are copied to the wider coverages.
+    """
+    levels = sorted(coverages)
+    ok = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull() & F.col(uncertainty).isNotNull()).select(row_id, F.col(y).cast("int").alias("_y"), F.col(p).cast("double").alias("_p"), F.col(uncertainty).cast("double").alias("_u"))
+    d = scan(ok, [], "_u", {"_rk": ("row_number", None)}, None, [row_id]).join(F.broadcast(ok.agg(F.count("*").alias("_n"))))
+    kept = lambda c: F.greatest(F.rint(F.col("_n") * c), F.lit(1.0))
+    level = F.lit(None).cast("int")
+    for i in range(len(levels) - 1, -1, -1):
+        level = F.when(F.col("_rk") <= kept(levels[i]), i).otherwise(level)
+    c = d.groupBy(level.alias("_l"), "_y", "_p").agg(F.count("*").alias("_k"), F.sum("_u").alias("_su")).filter("_l IS NOT NULL")
+    c = c.withColumn("coverage", F.explode(F.slice(F.array(*[F.lit(float(x)) for x in levels]), F.col("_l") + 1, F.lit(len(levels)))))
+    k, e = F.col("_k"), F.col("_p") - F.col("_y")
+    g = c.groupBy("coverage").agg(F.sum("_k").alias("n_kept"), (F.sum(k * ((F.col("_p") >= 0.5).cast("int") == F.col("_y")).cast("int")) / F.sum("_k")).alias("accuracy"), (F.sum(k * e * e) / F.sum("_k")).alias("brier"), (F.sum("_su") / F.sum("_k")).alias("mean_uncertainty"))
+    return g.join(auroc(c, "_y", "_p", ["coverage"], "_k").select("coverage", "auroc"), "coverage")
+
+
+def exclusion_elasticity(df: DataFrame, value: str, thresholds: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Share of rows above each threshold per group, its slope on the logarithm of the threshold, and its range."""
+    logs = np.log(np.asarray(thresholds, float))
+    logs = logs - logs.mean()
+    total = float(logs @ logs)
+    g = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), *[F.avg((F.col(value) > t).cast("double")).alias(f"excluded_{i}") for i, t in enumerate(thresholds)])
+    shares = [F.col(f"excluded_{i}") for i in range(len(thresholds))]
+    slope = sum((float(w) / total * c for w, c in zip(logs, shares)), F.lit(0.0)) if total > 0 else F.lit(None).cast("double")
+    return g.withColumn("elasticity", slope).withColumn("range", F.array_max(F.array(*shares)) - F.array_min(F.array(*shares)))
+
+
 def leaderboard(results: DataFrame, model: str, cell: str, value: str) -> DataFrame:
     """One row per model: mean over cells, worst cell, gap between best and worst cell, and rank by mean."""
     g = results.groupBy(model).agg(F.count("*").alias("n_cells"), F.avg(value).alias("mean"), F.min(value).alias("worst"), (F.max(value) - F.min(value)).alias("gap"))
     d = scan(g.withColumn("_neg", -F.col("mean")), [], "_neg", {"rank": ("row_number", None)}, None, [model])
     return d.drop("_neg")
+
+
+def axis_summary(results: DataFrame, axes: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean value of the result rows tagged with an axis and of those without, per group; ``axes`` is an array of tags."""
+    r = results.filter(F.col(value).isNotNull())
+    tagged = r.select(*by, F.explode(F.array_distinct(axes)).alias("axis"), value).groupBy(*by, "axis").agg(F.count("*").alias("n_with"), F.sum(value).alias("_s"))
+    d = _both(tagged, r.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(value).alias("_t")), by)
+    rest = F.col("_n") - F.col("n_with")
+    return d.select(*by, "axis", "n_with", rest.alias("n_without"), (F.col("_s") / F.col("n_with")).alias("mean_with"), F.when(rest > 0, (F.col("_t") - F.col("_s")) / rest).alias("mean_without"))
+
+
+def shift_loss_correlation(results: DataFrame, diagnostic: str, loss: str, stratum: str) -> DataFrame:
+    """Spearman correlation of a shift diagnostic with a loss, pooled and per stratum; NULL below three cells or without spread."""
+    d = results.filter(F.col(diagnostic).isNotNull() & F.col(loss).isNotNull()).select(F.col(stratum).cast("string").alias("stratum"), F.col(diagnostic).cast("double").alias("_a"), F.col(loss).cast("double").alias("_b"))
+    d = d.unionByName(d.withColumn("stratum", F.lit("pooled")))
+    for c in ("_a", "_b"):
+        d = d.join(value_ranks(d, ["stratum"], c).select("stratum", c, F.col("rank").alias(f"{c}r")), ["stratum", c])
+    g = d.groupBy("stratum").agg(F.count("*").alias("n_cells"), F.when((F.count("*") >= 3) & (F.stddev_pop("_ar") > 0) & (F.stddev_pop("_br") > 0), F.corr("_ar", "_br")).alias("spearman_rho"))
+    t = F.col("spearman_rho") * F.sqrt((F.col("n_cells") - 2) / F.greatest(1 - F.col("spearman_rho") * F.col("spearman_rho"), F.lit(1e-300)))
+    return g.withColumn("p", t_p(t, (F.col("n_cells") - 2).cast("double")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import Z975, gammainc, norm_cdf, t_two_sided, two_sided_p
+from ..plans.lineage import cut
 from ..plans.ordered import quantiles, scan
 from .evaluation import poisson_weight
 
@@ -271,14 +272,34 @@ def domain_weights(src: DataFrame, tgt: DataFrame, covars: Sequence[str], clip:
     return d.join(F.broadcast(m)).withColumn("weight", F.col("_w") / F.col("_mw")).drop("_w", "_mw")
 
 
-def propensity_mse(real: DataFrame, synthetic: DataFrame, covars: Sequence[str]) -> DataFrame:
-    """How well a logistic model tells synthetic from real rows: mean (p - share)^2, 0 when it cannot."""
-    both = real.select(*covars, F.lit(0).alias("_t")).union(synthetic.select(*covars, F.lit(1)))
-    cols = [F.lit(1.0), *[F.col(c) for c in covars]]
-    beta, _, _ = glm_fit(both, F.col("_t"), cols)
-    p = 1 / (1 + F.exp(-_dot(beta, cols)))
+def propensity_mse(real: DataFrame, synthetic: DataFrame, row_id: str, vec: str, folds: int = 5, seed: int = 0) -> DataFrame:
+    """How well a logistic model tells synthetic from real rows: mean (p - share)^2, its expectation under equality, their ratio.
+
+    Every row is scored by the fit of the other folds, with the vectors standardised by those; folds come from a hash of the
+    side and the identifier.  ``null_expected`` is for the number of model parameters; a ratio near one says "indistinguishable".
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    side = lambda df, y: df.select(array_to_vector(F.transform(vec, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))).alias("_x"), F.lit(float(y)).alias("_t"), F.pmod(F.xxhash64(F.lit(seed), F.lit(y), row_id), F.lit(folds)).alias("_f"))
+    both = side(real, 0).unionByName(side(synthetic, 1)).persist()
+    n = both.agg(F.count("*"), F.max(F.size(vector_to_array("_x")))).first()
+    scored = None
+    for k in range(folds if n[0] else 0):
+        train = both.filter(F.col("_f") != k)
+        scale = StandardScaler(withMean=True, withStd=True, inputCol="_x", outputCol="_z").fit(train)
+        # the unit penalty on the coefficients, as a share of the rows
+        fit = LogisticRegression(featuresCol="_z", labelCol="_t", probabilityCol="_p", maxIter=100, regParam=1.0 / n[0], standardization=False).fit(scale.transform(train))
+        one = fit.transform(scale.transform(both.filter(F.col("_f") == k))).select("_t", vector_to_array("_p")[1].alias("_p"))
+        scored = one if scored is None else scored.unionByName(one)
+    if scored is None:
+        scored = both.select("_t", F.lit(0.0).alias("_p"))
     share = both.agg(F.avg("_t").alias("_c"))
-    return both.join(F.broadcast(share)).agg(F.count("*").alias("n"), F.first("_c").alias("share"), F.avg((p - F.col("_c")) * (p - F.col("_c"))).alias("pmse"))
+    g = scored.join(F.broadcast(share)).agg(F.count("*").alias("n"), F.first("_c").alias("share"), F.avg((F.col("_p") - F.col("_c")) * (F.col("_p") - F.col("_c"))).alias("pmse"))
+    null = F.lit(float(n[1] or 0)) * (1 - F.col("share")) * (1 - F.col("share")) * F.col("share") / F.col("n")
+    out = cut(g.withColumn("null_expected", F.when(F.col("n") > 0, null)).withColumn("ratio", F.when(F.col("null_expected") > 0, F.col("pmse") / F.col("null_expected"))))
+    both.unpersist()
+    return out
 
 
 def effective_size(df: DataFrame, w: str, by: Sequence[str] = ()) -> DataFrame:
@@ -614,18 +635,16 @@ def kmeans_states(train: DataFrame, apply: DataFrame, features: Sequence[str], k
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
-    med = None
-    for f in features:
-        one = quantiles(train, [], f, {f"_m_{f}": 0.5})
-        med = one if med is None else med.join(F.broadcast(one))
+    long = train.select(F.inline(F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_x")) for f in features])))
+    # one row, one entry a feature
+    med = cut(quantiles(long, ["_f"], "_x", {"_m": 0.5}).agg(F.map_from_entries(F.collect_list(F.struct("_f", "_m"))).alias("_med")))
 
     def filled(df):
-        d = df.join(F.broadcast(med))
-        return d.select(*df.columns, *[F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}")).alias(f"_f_{f}") for f in features])
+        return df.join(F.broadcast(med)).select(*df.columns, *[F.coalesce(F.col(f).cast("double"), F.col("_med")[f]).alias(f"_f_{f}") for f in features])
 
     pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"_f_{f}" for f in features], outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_z", withMean=True),
                             KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="state")])
-    return pipe.fit(filled(train)).transform(filled(apply)).select(*apply.columns, "state")
+    return pipe.fit(cut(filled(train).select(*[f"_f_{f}" for f in features]))).transform(filled(apply)).select(*apply.columns, "state")
 
 
 # --- ridge from Gram matrices ------------------------------------------------------------------------

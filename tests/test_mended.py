@@ -60,3 +60,53 @@ def test_depth_of_a_cycle_is_an_error(spark):
 def test_evidence_is_counted_in_full(spark):
     df = spark.createDataFrame([(1, "A nodule. A nodule. A nodule. A nodule. A nodule.")], "id int, t string")
     assert text.label_text(df, ["id"], "t", {"nodule": ["nodule"]}).first().nodule_evidence == 5
+
+
+def test_kernel_distance_covers_all_rows(spark):
+    rng = np.random.RandomState(5)
+    x = np.vstack([rng.randn(150, 3), rng.randn(170, 3) + 0.8])
+    side = np.r_[np.zeros(150), np.ones(170)]
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(s)) for i, (r, s) in enumerate(zip(x, side))] + [(999, None, 1)], "i int, v array<double>, s int")
+    k = np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(k, 0)
+    a, b = side == 0, side == 1
+    want = k[np.ix_(a, a)].sum() / (150 * 149) + k[np.ix_(b, b)].sum() / (170 * 169) - 2 * k[np.ix_(a, b)].mean()
+    got = evaluation.mmd(df, "i", "v", F.col("s"), 3, 4096, 1, 0.3, 39).first()
+    assert got.n == 320 and abs(got.mmd2 - want) < 0.02 and got.p == 1 / 40
+    same = evaluation.mmd(df, "i", "v", F.col("i") % 2, 3, 1024, 1, None, 39).first()
+    assert abs(same.gamma - 1 / (2 * x.var(0, ddof=1).sum())) < 1e-9 and same.p > 0.05
+    assert evaluation.mmd(df.filter("i = 3"), "i", "v", F.col("s"), 3, 8, n_perm=3).first().mmd2 is None
+
+
+def test_synthetic_rows_told_from_real(spark):
+    rng = np.random.RandomState(6)
+    rows = [(i, [float(v) for v in rng.randn(3) + (i >= 400) * 1.0]) for i in range(800)]
+    df = spark.createDataFrame(rows, "i int, v array<double>")
+    apart = models.propensity_mse(df.filter("i < 400"), df.filter("i >= 400"), "i", "v").first()
+    alike = models.propensity_mse(df.filter("i < 200"), df.filter("i >= 200 AND i < 400"), "i", "v").first()
+    assert apart.n == 800 and apart.share == 0.5 and abs(apart.null_expected - 3 * 0.125 / 800) < 1e-12
+    assert apart.ratio > 20 and alike.ratio < 5
+
+
+def test_closest_records_against_holdout(spark):
+    rng = np.random.RandomState(7)
+    x = rng.randn(90, 4) * [1, 5, 0.1, 0]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, v array<double>")
+    got = {r.side: (r.p5, r["median"]) for r in evaluation.closest_record_report(df.filter("i < 50"), {"s": df.filter("i >= 50 AND i < 70"), "h": df.filter("i >= 70")}, "i", "v", 4).collect()}
+    sd = x[:50].std(0)
+    z = (x - x[:50].mean(0)) / np.where(sd > 0, sd, 1)
+    for name, rows in (("s", z[50:70]), ("h", z[70:])):
+        d = np.sqrt(((rows[:, None] - z[None, :50]) ** 2).sum(-1)).min(1)
+        assert np.allclose(got[name], np.percentile(d, [5, 50]))
+
+
+def test_rank_correlation_of_shift_and_loss(spark):
+    df = spark.createDataFrame([("m", 1.0, 2.0), ("m", 2.0, 1.0), ("m", 3.0, 4.0), ("m", 4.0, 3.0), ("n", 1.0, 1.0)], "g string, a double, b double")
+    got = {r.stratum: r for r in evaluation.shift_loss_correlation(df, "a", "b", "g").collect()}
+    assert abs(got["m"].spearman_rho - 0.6) < 1e-12 and abs(got["m"].p - 0.4) < 1e-9 and got["n"].spearman_rho is None
+
+
+def test_shapley_of_two_corrections(spark):
+    df = spark.createDataFrame([(False, False, 10.0), (True, False, 6.0), (False, True, 9.0), (True, True, 1.0)], "a boolean, b boolean, v double")
+    got = {r.term: r for r in evaluation.shapley_gap(df, ["a", "b"], "v").collect()}
+    assert (got["a"].closed_mean, got["a"].closed_sd, got["a"].share_of_raw) == (6.0, 2.0, 0.6) and got["b"].closed_mean == 3.0
