@@ -110,3 +110,23 @@ def test_shapley_of_two_corrections(spark):
     df = spark.createDataFrame([(False, False, 10.0), (True, False, 6.0), (False, True, 9.0), (True, True, 1.0)], "a boolean, b boolean, v double")
     got = {r.term: r for r in evaluation.shapley_gap(df, ["a", "b"], "v").collect()}
     assert (got["a"].closed_mean, got["a"].closed_sd, got["a"].share_of_raw) == (6.0, 2.0, 0.6) and got["b"].closed_mean == 3.0
+
+
+def test_scan_crosses_section_borders_and_skips_headers(spark):
+    df = spark.createDataFrame([(1, "HEAD call 555-123-4567 a@b.org\nNOTE: 555-123-4567 10.0.0.1\nNOTE: on"), (2, "10.0.0.1 NOTE:"), (3, ""), (4, None)], "id int, t string")
+    def got(header, category, pattern):
+        d = text.pii_counts(df, ["id"], "t", header, {category: pattern})
+        return sorted((r.id, r.section, r.n, r.chars) for r in d.collect())
+    assert got("(NOTE):", "phone", text.IDENTIFIERS["phone"]) == [(1, "note", 1, 12), (1, "other", 1, 12)]
+    assert got("(NOTE):", "over", r"0\.0\.1\s+NOTE") == [(1, "note", 1, 10), (2, "other", 1, 10)]
+    assert got("(NOTE):", "head", "OTE: [5o]") == []
+
+
+def test_planted_identifiers_are_counted(spark):
+    fakes = text.fake_identifiers()
+    df = spark.createDataFrame([(1, "One. Two. Three"), (2, "a@b.org"), (3, ""), (4, None)], "id int, t string")
+    out = text.plant(df, "id", "t", fakes, 2, 7).cache()
+    assert all(set(r.planted.values()) == {2} and len(r.planted) == len(fakes) for r in out.collect())
+    assert out.filter("id = 1").first().t.count(". ") >= 2 and all(w in out.filter("id = 1").first().t for w in ("One", "Two", "Three"))
+    got = {r.category: r for r in text.detector_recall(df, out, "id", "t", {k: text.IDENTIFIERS[k] for k in fakes}).collect()}
+    assert all(r.n_planted == 8 and 0 < r.n_found <= 8 for r in got.values()) and got["email"].n_found == 8 and got["email"].observed_rate == 0.25
