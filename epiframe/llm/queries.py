@@ -92,7 +92,7 @@ def secret_forest(spark, folder):
 
     from . import secrets
     docs = _table(spark, folder, "documents")
-    forest = secrets.fit(secrets.planted_findings(docs, path="source"))
+    forest = secrets.fit(secrets.planted_findings(docs, path="source"), secrets.corpus_language(docs))
     return secrets.scan(docs.select("doc_id", "source", "text"), forest, path="source").select("doc_id", "n_candidates", "n_secrets", "spans", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import cut, pieces
 
 SHORTEST, CONTEXT = 16, 64
 MASK = b"[SECRET]"
 #: Documents from which labelled findings are made.
 SAMPLE = 3000
+#: Least share of all words that a dictionary word has, and different words that a task holds before it passes its counts on.
+WORD_SHARE, HELD_WORDS = 1e-5, 200_000
 CUES = ("token", "secret", "key", "password", "passwd", "pwd", "auth", "credential", "bearer", "apikey", "access", "private")
 BENIGN = ("commit", "sha", "checksum", "hash", "digest", "md5", "sha1", "sha256", "etag", "revision", "uuid", "id", "version", "build", "url", "href")
 FEATURES = ("length", "entropy", "digits", "capitals", "lower", "signs", "class_changes", "surprise", "hex", "run", "dictionary", "longest_word", "slashes", "dots", "assigned", "quoted", "cue_before", "benign_before",
@@ -60,7 +62,7 @@ def candidates(data: bytes) -> list[tuple[int, int]]:
 
 @dataclass
 class Language:
-    """What ordinary text looks like: words and character pairs, from a bounded sample."""
+    """What ordinary text looks like: frequent words and character pairs."""
 
     words: frozenset = frozenset()
     pairs: np.ndarray = field(default_factory=lambda: np.full((27, 27), math.log(1 / 27)))
@@ -71,13 +73,44 @@ def _letters(data: bytes) -> np.ndarray:
     return np.where((x < 1) | (x > 26), 0, x)
 
 
-def learn_language(texts: list[bytes], least: int = 3) -> Language:
-    words, pairs = Counter(), np.ones((27, 27))
-    for t in texts:
-        words.update(w.lower() for w in _WORD.findall(t) if 3 <= len(w) <= 24)
-        x = _letters(t)
-        np.add.at(pairs, (x[:-1], x[1:]), 1)
-    return Language(frozenset(w for w, n in words.items() if n >= least), np.log(pairs / pairs.sum(1, keepdims=True)))
+def corpus_language(docs: DataFrame, text: str = "text", share: float = WORD_SHARE) -> Language:
+    """Dictionary and character pairs of all whole texts.
+
+    Candidates are blanked before anything is counted, so that no secret becomes a word, however often it is copied.  A dictionary
+    word makes up at least ``share`` of all words and stands at least three times; that bounds the dictionary by 1 / ``share``
+    words at every size of the corpus.  Null and empty texts count nothing; without any text there is no word and every pair is
+    equally likely.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = Counter(), np.zeros(27 * 27, np.int64)
+
+        def rows() -> pa.RecordBatch:
+            some = np.flatnonzero(pairs)
+            columns = [*words, *[None] * len(some)], [*[None] * len(words), *some.tolist()], [*words.values(), *pairs[some].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["word", "pair", "n"])
+        for batch in batches:
+            for _, texts in pieces(batch, "text"):
+                for body in texts:
+                    plain = bytearray(body.lower())
+                    for s, e in candidates(body):
+                        plain[s:e] = b" " * (e - s)
+                    words.update(w for w in (m.group() for m in _WORD.finditer(plain)) if 3 <= len(w) <= 24)
+                    x = _letters(bytes(plain))
+                    pairs += np.bincount(x[:-1] * 27 + x[1:], minlength=27 * 27)
+                if len(words) > HELD_WORDS:
+                    yield rows()
+                    words.clear()
+                    pairs[:] = 0
+        yield rows()
+    counted = docs.select(F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL").mapInArrow(count, "word binary, pair int, n long")
+    totals = cut(counted.groupBy("word", "pair").agg(F.sum("n").alias("n")))
+    every = totals.filter("word IS NOT NULL").agg(F.sum("n")).first()[0] or 0
+    pairs = np.ones(27 * 27)
+    for r in totals.filter("pair IS NOT NULL").collect():           # 729 at most
+        pairs[r.pair] += r.n
+    pairs = pairs.reshape(27, 27)
+    words = totals.filter(F.col("word").isNotNull() & (F.col("n") >= F.lit(max(3.0, share * every)))).collect()
+    return Language(frozenset(bytes(r.word) for r in words), np.log(pairs / pairs.sum(1, keepdims=True)))
 
 
 def features(data: bytes, s: int, e: int, path: str, language: Language) -> list[float]:
@@ -187,20 +220,17 @@ def _arrays(root) -> tuple[np.ndarray, ...]:
     return np.array(c[0], np.int64), np.array(c[1]), np.array(c[2], np.int64), np.array(c[3], np.int64), np.array(c[4])
 
 
-def fit(findings: DataFrame, trees: int = 20, depth: int = 7, words_from: int = 3000) -> Forest:
+def fit(findings: DataFrame, language: Language | None = None, trees: int = 20, depth: int = 7) -> Forest:
     """Fit on labelled findings (body, begin, stop, path, label); null labels are left out.
 
-    The dictionary and the character pairs come from at most ``words_from`` of the bodies labelled 0.  Without findings of both
-    labels the forest is empty and nothing is a secret.
+    ``language`` is that of the corpus (``corpus_language``); without it, it is counted over the bodies labelled 0.  Without
+    findings of both labels the forest is empty and nothing is a secret.
     """
-    rows = findings.filter("label IS NOT NULL")
-    from .common import cut
-    rows = cut(rows)
+    rows = cut(findings.filter("label IS NOT NULL"))
     kinds = [r[0] for r in rows.select("label").distinct().collect()]
     if len(kinds) < 2:
         return Forest()
-    sample = rows.filter("label = 0").orderBy(F.xxhash64("body")).select("body", "begin", "stop").limit(words_from).collect()
-    language = learn_language([bytes(r.body[:r.begin]) for r in sample])
+    language = language or corpus_language(rows.filter("label = 0"), "body")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 """Quality rules, language identification, secrets and transcripts: held-out accuracy, brute force, odd rows."""
 
+import math
 import random
 import re
 import zlib
@@ -84,6 +85,24 @@ def test_secrets_in_odd_rows(spark):
     assert secrets.scan(df.filter("false"), forest).collect() == []
 
 
+def test_language_counts_all_texts_but_candidates(spark):
+    key = "AbcdefAbcdef0123456789"
+    texts = [None, "", "one two Two\u00e9 two", f"token {key} two", "rare word " + "word " * 5000, "x" * 30 + " three three three"] * 2 + [f"key {key}"] * 50
+    df = spark.createDataFrame([(t, 0) for t in texts], "text string, word int").repartition(3)
+    got = secrets.corpus_language(df, share=1e-3)
+    plain = [re.sub(rb"[0-9a-zA-Z+/_=.-]{16,}", lambda m: b" " * len(m.group()), t.encode()).lower() for t in texts if t]
+    words = [w for t in plain for w in re.findall(rb"[a-z\x80-\xff]+", t) if 3 <= len(w) <= 24]
+    assert got.words == {w for w in words if words.count(w) >= max(3, len(words) / 1000)} == {b"word", b"key"}
+    pairs = np.ones((27, 27))
+    for t in plain:
+        x = [c - 96 if 97 <= c <= 122 else 0 for c in t]
+        for a, b in zip(x, x[1:]):
+            pairs[a, b] += 1
+    assert np.allclose(got.pairs, np.log(pairs / pairs.sum(1, keepdims=True)))
+    none = secrets.corpus_language(df.filter("false"))
+    assert none.words == frozenset() and np.allclose(none.pairs, math.log(1 / 27))
+
+
 def test_forest_arrays_equal_the_library(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
