@@ -1,10 +1,13 @@
 """SRC: scans, records, versions and unions."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators.splits import group_split
+from ..plans.lineage import checkpoint_dir
 from ..sources.records import (concat_harmonized, dedupe_latest, explode_pairs, flatten_devices, flatten_reports, latest_row,
-                               parse_jsonl, read_corpus, read_table)
+                               parse_jsonl, read_corpus, read_manifest, read_table, write_manifest, write_table)
 from .registry import query, rounded
 
 
@@ -104,6 +107,34 @@ def manifest_rows(t):
     return d.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.min("user_id").alias("first_user"))
 
 
+@query("src07_manifest_read_back", """
+WITH s AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 < 7 THEN 'train' WHEN o_custkey % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM orders)
+SELECT split, count(DISTINCT o_orderkey)::BIGINT AS n_orders, count(l_orderkey)::BIGINT AS n_lines, round(sum(l_quantity), 2) AS quantity
+FROM s LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def manifest_read_back(t):
+    at = F.col("o_custkey") % 10
+    split = F.when(at < 7, "train").when(at < 8, "val").otherwise("test")
+    path = f"{checkpoint_dir(t.spark)}/manifest-{uuid.uuid4().hex}"
+    write_manifest(t.orders.select("o_orderkey", split.alias("split")), path, ["o_orderkey"])
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+    d = read_manifest(t.spark, path, "o_orderkey BIGINT").join(lines, "o_orderkey", "left")
+    return rounded(d.groupBy("split").agg(F.count(F.lit(1)).alias("n_orders"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"), F.sum("q").alias("quantity")), 2)
+
+
+@query("rel26_write_read", """
+SELECT form, o_orderpriority, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total, min(o_orderdate) AS first_date
+FROM orders, (VALUES ('parquet'), ('csv'), ('tsv')) f(form) WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1, 2""")
+def write_read(t):
+    folder = f"{checkpoint_dir(t.spark)}/rel26-{uuid.uuid4().hex}"
+    schema = "o_orderkey BIGINT, o_orderdate TIMESTAMP, o_orderpriority STRING, o_totalprice DOUBLE"
+    back = []
+    for form in ("parquet", "csv", "tsv"):
+        write_table(t.orders.select("o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice"), f"{folder}/orders.{form}", form)
+        back.append(read_table(t.spark, f"{folder}/orders.{form}", schema, where=F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp")).withColumn("form", F.lit(form)))
+    d = back[0].unionByName(back[1]).unionByName(back[2])
+    return rounded(d.groupBy("form", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"), F.min("o_orderdate").alias("first_date")), 2)
+
+
 @query("src08_concat_harmonized", """
 SELECT source, count(*)::BIGINT AS n, round(sum(age), 2) AS age FROM (
  SELECT 'customer' AS source, c_acctbal AS age FROM customer WHERE c_acctbal >= 0 UNION ALL

@@ -35,6 +35,15 @@ def read_table(spark: SparkSession, path, schema: str | T.StructType, columns: S
     return nan_to_null(df.select(*columns) if columns else df)
 
 
+def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """Write parquet, or gzipped csv / tsv with a header, so that ``read_table`` reads the same rows; nothing is overwritten."""
+    writer = df.write.mode("errorifexists")
+    if form == "parquet":
+        writer.parquet(path)
+    else:
+        writer.option("header", True).option("sep", "\t" if form == "tsv" else ",").option("compression", "gzip").csv(path)
+
+
 def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
     """Delimited files whose header may lack or reorder columns: read as strings by name, cast, missing ones NULL."""
     raw = spark.read.option("header", True).option("sep", sep).csv(path)
@@ -145,6 +154,11 @@ def write_manifest(df: DataFrame, path: str, ids: Sequence[str], split: str = "s
     df.select(*ids, split).write.mode("errorifexists").partitionBy(split).parquet(path)
 
 
+def read_manifest(spark: SparkSession, path: str, ids: str, split: str = "split") -> DataFrame:
+    """A manifest written by ``write_manifest``; ``ids`` declares its columns, a filter on ``split`` reads only that folder."""
+    return spark.read.schema(f"{ids}, {split} STRING").parquet(path)
+
+
 def concat_harmonized(frames: Sequence[DataFrame], schema: Mapping[str, str], required: Sequence[str]) -> DataFrame:
     """Union of adapter outputs under one schema; columns a frame lacks are NULL, rows without the required values drop out."""
     missing = [c for c in required if any(c not in f.columns for f in frames)]
