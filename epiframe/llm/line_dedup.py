@@ -15,8 +15,9 @@ from .common import cut
 
 #: Leading tokens of a leaf, stretches of a line, tokens that a line needs to be compared by stretches.
 DEPTH, STRETCHES, LEAST_TOKENS = 3, 5, 10
-#: Different texts over which a template has to recur.
+#: Different texts over which a template has to recur; lines of LONG_TOKENS and more recur from LONG_DOCS texts on.
 MIN_DOCS = 3
+LONG_TOKENS, LONG_DOCS = 20, 2
 
 
 def _tokens(line: Column) -> Column:
@@ -25,18 +26,18 @@ def _tokens(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, text: str) -> DataFrame:
-    """One row for each line with a token of each text: digest of the text, position, leaf, line key, hashes of its stretches."""
+    """One row for each line with a token of each text: digest of the text, position, tokens, leaf, line key, hashes of its stretches."""
     body = F.col(f"`{text}`")
     lines = docs.filter(body.isNotNull()).select(F.xxhash64(body).alias("d1"), F.hash(body).alias("d2"), F.posexplode(F.split(body, "\n")).alias("pos", "line"))
     lines = lines.select("d1", "d2", "pos", _tokens(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
     stretch = lambda i: F.xxhash64(F.slice("w", F.floor(F.col("n") * i / STRETCHES).cast("int") + 1, F.floor(F.col("n") * (i + 1) / STRETCHES).cast("int") - F.floor(F.col("n") * i / STRETCHES).cast("int")))
-    return lines.select("d1", "d2", "pos", F.xxhash64("n", F.slice("w", 1, DEPTH)).alias("leaf"), F.xxhash64("n", "w").alias("key"),
+    return lines.select("d1", "d2", "pos", "n", F.xxhash64("n", F.slice("w", 1, DEPTH)).alias("leaf"), F.xxhash64("n", "w").alias("key"),
                         F.when(F.col("n") >= LEAST_TOKENS, F.array(*[stretch(i) for i in range(STRETCHES)])).alias("parts"))
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """(key, d1, d2, template, first): each line of each text with its template; first is the line's first place in that text."""
-    by_text = lines.groupBy("leaf", "key", "d1", "d2").agg(F.min("pos").alias("first"), F.first("parts").alias("parts"))
+    """(key, d1, d2, n, template, first): each line of each text with its template; first is the line's first place in that text."""
+    by_text = lines.groupBy("leaf", "key", "d1", "d2").agg(F.min("pos").alias("first"), F.first("n").alias("n"), F.first("parts").alias("parts"))
     by_text = cut(by_text)
     keys = by_text.groupBy("leaf", "key").agg(F.count("*").alias("docs"), F.first("parts").alias("parts"))
     seeds = keys.filter("parts IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("kinds"), F.max_by(F.struct("key", "parts"), F.struct("docs", "key")).alias("seed")).filter("kinds > 1")
@@ -45,30 +46,31 @@ def templates(lines: DataFrame) -> DataFrame:
     return by_text.drop("parts").join(under, ["leaf", "key"], "left").withColumn("template", F.coalesce("template", "key"))
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
     """(d1, d2, drop): for each text, by digest, the positions of its lines that go."""
     lines = cut(line_table(docs, text))
-    lined = cut(templates(lines).select("leaf", "key", "d1", "d2", "template", "first"))
-    texts = lined.select("leaf", "template", "d1", "d2", "first").groupBy("leaf", "template", "d1", "d2").agg(F.min("first").alias("first"))
+    lined = cut(templates(lines).select("leaf", "key", "d1", "d2", "n", "template", "first"))
+    texts = lined.groupBy("leaf", "template", "n", "d1", "d2").agg(F.min("first").alias("first"))
     #: equal texts count once, so a copied document does not make its lines recur
-    common = texts.groupBy("leaf", "template").agg(F.count("*").alias("texts"), F.min(F.struct("d1", "d2", "first")).alias("owner")).filter(F.col("texts") >= min_docs)
-    keys = lined.select("leaf", "key", "template").distinct().join(common.drop("texts"), ["leaf", "template"]).select("leaf", "key", "owner")
+    need = F.when(F.col("n") >= LONG_TOKENS, long_docs).otherwise(min_docs)
+    common = texts.groupBy("leaf", "template", "n").agg(F.count("*").alias("texts"), F.min(F.struct("d1", "d2", "first")).alias("owner")).filter(F.col("texts") >= need)
+    keys = lined.select("leaf", "key", "template").distinct().join(common.drop("texts", "n"), ["leaf", "template"]).select("leaf", "key", "owner")
     gone = lines.select("leaf", "key", "d1", "d2", "pos").join(keys, ["leaf", "key"])
     gone = gone.filter(~((F.col("d1") == F.col("owner.d1")) & (F.col("d2") == F.col("owner.d2")) & (F.col("pos") == F.col("owner.first"))))
     return gone.groupBy("d1", "d2").agg(F.collect_set("pos").alias("drop"))        # as many as the text has lines, whatever its copies
 
 
-def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
     """``docs`` with a cleaned text and the columns lines_dropped and chars_dropped (columns of these names are replaced).
 
-    A template recurs when it stands in at least ``min_docs`` different texts.  All its lines go but one: the first in the text
+    A template recurs when it stands in at least ``min_docs`` different texts, one of ``LONG_TOKENS`` tokens and more in ``long_docs``.  All its lines go but one: the first in the text
     that owns it (smallest digest), so nothing that the corpus says is lost.  Equal texts share their fate.  Lines are cut at
     ``\\n``; lines without a token stay.  A null text stays null with 0 dropped lines, an empty text stays empty; other columns,
     repeated rows and null identifiers pass through.
     """
     docs = docs.drop("lines_dropped", "chars_dropped")
     names, body = docs.columns, F.col(f"`{text}`")
-    gone = recurring_lines(docs, text, min_docs).withColumnsRenamed({"d1": "_d1", "d2": "_d2", "drop": "_drop"})
+    gone = recurring_lines(docs, text, min_docs, long_docs).withColumnsRenamed({"d1": "_d1", "d2": "_d2", "drop": "_drop"})
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(body).alias("_own1"), F.hash(body).alias("_own2"))
     joined = keyed.join(gone.hint("shuffle_hash"), (F.col("_own1") == F.col("_d1")) & (F.col("_own2") == F.col("_d2")) & body.isNotNull(), "left")
     kept = F.array_join(F.filter(F.split(body, "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")

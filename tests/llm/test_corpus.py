@@ -93,6 +93,16 @@ def test_recurring_lines_go_but_for_the_first(spark):
     assert line_dedup.drop_recurring_lines(df.filter("false")).collect() == []
 
 
+def test_long_lines_recur_from_two_texts_on(spark):
+    passage = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}" for i in range(60))
+    short = "a short line of two texts"
+    texts = [f"own first words\n{passage}\n{short}", f"{short}\nother words here\n{passage}", f"{passage} tail\n{passage} more tail"]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sorted(got[i].lines_dropped for i in (0, 1)) == [0, 1] and got[2].lines_dropped == 0
+    assert sum(passage in got[i].text.split("\n") for i in (0, 1)) == 1
+    assert all(short in got[i].text for i in (0, 1))
+
+
 def test_line_templates_run_without_python(spark):
     from epiframe.llm.queries import QUERIES
     plan = QUERIES["op4_line_templates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
