@@ -1,9 +1,9 @@
 """Line de-duplication by a log-template tree, with DataFrame functions only.
 
-The tree has a fixed depth: token count, then the leading tokens, with tokens that hold a digit generalised to ``<*>``.  In a leaf
-the most widespread line is the seed of a template; lines that agree with it in all but one of five stretches of tokens fall under
-its template, the stretch in which they differ being a variable field.  Other lines are templates of their own.  Templates
-that recur across documents are dropped but for their first occurrence.
+The tree has a fixed depth: token count, then the leading tokens, with tokens that hold a digit generalised to ``<*>``.  Below a
+leaf a line has one key for each of five stretches of tokens, of all tokens but that stretch: lines that share a key are a
+template, and the stretch left out is its variable field.  Short and long lines have a key of all tokens too.  A line belongs to
+the template that stands in most texts.  Templates that recur across documents are dropped but for their first occurrence.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from .common import cut
 
 #: Leading tokens of a leaf, stretches of a line, tokens that a line needs to be compared by stretches.
 DEPTH, STRETCHES, LEAST_TOKENS = 3, 5, 10
-#: Different texts over which a template has to recur; lines of LONG_TOKENS and more recur from LONG_DOCS texts on.
+#: Different texts over which a template has to recur; lines of LONG_TOKENS and more, equal but for digits, recur from LONG_DOCS texts on.
 MIN_DOCS = 3
 LONG_TOKENS, LONG_DOCS = 20, 2
 
@@ -26,45 +26,46 @@ def _tokens(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, text: str) -> DataFrame:
-    """One row for each line with a token of each text: digest of the text, position, tokens, leaf, line key, hashes of its stretches."""
+    """One row for each line with a token of each text: digest of the text, position, tokens, leaf, keys: one for each stretch left out, then one of all tokens."""
     body = F.col(f"`{text}`")
     lines = docs.filter(body.isNotNull()).select(F.xxhash64(body).alias("d1"), F.hash(body).alias("d2"), F.posexplode(F.split(body, "\n")).alias("pos", "line"))
     lines = lines.select("d1", "d2", "pos", _tokens(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
     stretch = lambda i: F.xxhash64(F.slice("w", F.floor(F.col("n") * i / STRETCHES).cast("int") + 1, F.floor(F.col("n") * (i + 1) / STRETCHES).cast("int") - F.floor(F.col("n") * i / STRETCHES).cast("int")))
-    return lines.select("d1", "d2", "pos", "n", F.xxhash64("n", F.slice("w", 1, DEPTH)).alias("leaf"), F.xxhash64("n", "w").alias("key"),
-                        F.when(F.col("n") >= LEAST_TOKENS, F.array(*[stretch(i) for i in range(STRETCHES)])).alias("parts"))
-
-
-def templates(lines: DataFrame) -> DataFrame:
-    """(key, d1, d2, n, template, first): each line of each text with its template; first is the line's first place in that text."""
-    by_text = lines.groupBy("leaf", "key", "d1", "d2").agg(F.min("pos").alias("first"), F.first("n").alias("n"), F.first("parts").alias("parts"))
-    by_text = cut(by_text)
-    keys = by_text.groupBy("leaf", "key").agg(F.count("*").alias("docs"), F.first("parts").alias("parts"))
-    seeds = keys.filter("parts IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("kinds"), F.max_by(F.struct("key", "parts"), F.struct("docs", "key")).alias("seed")).filter("kinds > 1")
-    equal = F.aggregate(F.zip_with("parts", "seed.parts", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    under = keys.filter("parts IS NOT NULL").join(seeds, "leaf").filter(equal >= STRETCHES - 1).select("leaf", "key", F.col("seed.key").alias("template"))
-    return by_text.drop("parts").join(under, ["leaf", "key"], "left").withColumn("template", F.coalesce("template", "key"))
+    lines = lines.select("d1", "d2", "pos", "n", F.slice("w", 1, DEPTH).alias("lead"), F.xxhash64("n", "w").alias("whole"), F.when(F.col("n") >= LEAST_TOKENS, F.array(*[stretch(i) for i in range(STRETCHES)])).alias("parts"))
+    but = lambda i: F.xxhash64("n", "lead", F.lit(i), *[F.col("parts")[j] for j in range(STRETCHES) if j != i])
+    return lines.select("d1", "d2", "pos", "n", F.hash("lead").alias("leaf"), F.when(F.col("parts").isNotNull(), F.array(*[but(i) for i in range(STRETCHES)])).alias("keys"), "whole")
 
 
 def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
     """(d1, d2, drop): for each text, by digest, the positions of its lines that go."""
     lines = cut(line_table(docs, text))
-    lined = cut(templates(lines).select("leaf", "key", "d1", "d2", "n", "template", "first"))
-    texts = lined.groupBy("leaf", "template", "n", "d1", "d2").agg(F.min("first").alias("first"))
+    #: a line of medium length needs no key of all tokens: three equal ones share all other keys
+    whole = F.struct(F.col("whole").alias("key"), F.lit(True).alias("same"))
+    field = F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(False).alias("same")))
+    keys = F.when(F.col("keys").isNull(), F.array(whole)).when(F.col("n") >= LONG_TOKENS, F.concat(field, F.array(whole))).otherwise(field)
+    each = lines.select("d1", "d2", "pos", "n", "leaf", F.inline(keys))
+    if min(min_docs, long_docs) > 1:
+        #: keys of two different texts at least are few; only their lines are looked at further
+        shared = each.groupBy("key").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).filter("a < b").select("key")
+        each = each.join(cut(shared), "key")
+    hits = cut(each.distinct())
     #: equal texts count once, so a copied document does not make its lines recur
-    need = F.when(F.col("n") >= LONG_TOKENS, long_docs).otherwise(min_docs)
-    common = texts.groupBy("leaf", "template", "n").agg(F.count("*").alias("texts"), F.min(F.struct("d1", "d2", "first")).alias("owner")).filter(F.col("texts") >= need)
-    keys = lined.select("leaf", "key", "template").distinct().join(common.drop("texts", "n"), ["leaf", "template"]).select("leaf", "key", "owner")
-    gone = lines.select("leaf", "key", "d1", "d2", "pos").join(keys, ["leaf", "key"])
-    gone = gone.filter(~((F.col("d1") == F.col("owner.d1")) & (F.col("d2") == F.col("owner.d2")) & (F.col("pos") == F.col("owner.first"))))
+    texts = hits.groupBy("key", "leaf", "n", "same", "d1", "d2").agg(F.min("pos").alias("first"))
+    need = F.when(F.col("same") & (F.col("n") >= LONG_TOKENS), long_docs).otherwise(min_docs)
+    common = texts.groupBy("key", "leaf", "n", "same").agg(F.count("*").alias("texts"), F.min(F.struct("d1", "d2", F.col("first").alias("pos"))).alias("owner")).filter(F.col("texts") >= need)
+    placed = hits.join(cut(common), ["key", "leaf", "n", "same"]).groupBy("d1", "d2", "pos").agg(F.max(F.struct("texts", "key", "owner")).alias("best"))
+    placed = cut(placed.select("d1", "d2", "pos", "best.owner"))
+    #: the owner of a template stays, whatever other template it belongs to, so each line that goes has one that stands for it
+    gone = placed.join(placed.select("owner.*").distinct(), ["d1", "d2", "pos"], "left_anti")
     return gone.groupBy("d1", "d2").agg(F.collect_set("pos").alias("drop"))        # as many as the text has lines, whatever its copies
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
     """``docs`` with a cleaned text and the columns lines_dropped and chars_dropped (columns of these names are replaced).
 
-    A template recurs when it stands in at least ``min_docs`` different texts, one of ``LONG_TOKENS`` tokens and more in ``long_docs``.  All its lines go but one: the first in the text
-    that owns it (smallest digest), so nothing that the corpus says is lost.  Equal texts share their fate.  Lines are cut at
+    A template recurs when it stands in at least ``min_docs`` different texts, and a line of ``LONG_TOKENS`` tokens and
+    more, equal but for digits, when it stands in ``long_docs``.  All its lines go but one, the first in the text that owns it
+    (smallest digest): what is lost are the values of a template's field.  Equal texts share their fate.  Lines are cut at
     ``\\n``; lines without a token stay.  A null text stays null with 0 dropped lines, an empty text stays empty; other columns,
     repeated rows and null identifiers pass through.
     """

@@ -103,6 +103,16 @@ def test_long_lines_recur_from_two_texts_on(spark):
     assert all(short in got[i].text for i in (0, 1))
 
 
+def test_every_template_of_a_leaf_is_found(spark):
+    fields = ["amber", "birch", "cedar", "delta", "ebony", "fjord", "grape"]
+    kinds = ["the server said that user {} came in by the front door", "the server said some old files of {} were moved away today", "the server said nothing more about the {} plan until the evening"]
+    texts = [f"{kinds[k].format(f)}\nown words {f} {'xyz'[k]}" for k in range(3) for f in fields] + ["the server said one thing that is unlike all of these"]
+    got = line_dedup.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    lines = [line for r in got for line in r.text.split("\n")]
+    assert [sum(line.startswith(k.split("{")[0]) for line in lines) for k in kinds] == [1, 1, 1]
+    assert sum("own words" in line for line in lines) == 21 and texts[-1] in lines
+
+
 def test_line_templates_run_without_python(spark):
     from epiframe.llm.queries import QUERIES
     plan = QUERIES["op4_line_templates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
