@@ -113,6 +113,15 @@ def test_every_template_of_a_leaf_is_found(spark):
     assert sum("own words" in line for line in lines) == 21 and texts[-1] in lines
 
 
+def test_rows_of_numbers_are_no_template(spark):
+    tables = ["\n".join(f"{t}{r} {r * 7 + t} {100 * t + r}" for r in range(5)) + f"\n{1990 + t}\nB{t} 4\n" + " ".join(str(x * t) for x in range(24)) + "\n7 0 0 0 0 0 0 0 0 0 0 " + str(t) for t in range(1, 5)]
+    notices = [f"page {t} of the annual report\n2001 2002 2003" for t in range(1, 5)]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(list(enumerate(tables + notices)), "doc_id long, text string")).collect()}
+    assert [got[i].text for i in range(4)] == tables
+    left = [line for i in range(4, 8) for line in got[i].text.split("\n")]
+    assert sum(line.startswith("page") for line in left) == 1 and left.count("2001 2002 2003") == 1
+
+
 def test_line_templates_run_without_python(spark):
     from epiframe.llm.queries import QUERIES
     plan = QUERIES["op4_line_templates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
