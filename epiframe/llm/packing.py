@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS, BUDGET = 16, 65_536
-#: Distinct lengths that the dynamic program sees; beyond this many, lengths are rounded up to steps (padding counts the rounding).
-LENGTHS = 16_384
 #: Rows of a slice in which positions are counted.
 SLICE = 20_000
 
@@ -62,11 +60,9 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     return sorted(out)
 
 
-def length_histogram(rows: DataFrame, length: str, steps: int = LENGTHS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct lengths (rounded up to steps of max / ``steps`` where there are more values) and their rows: at most ``steps`` pairs."""
-    longest = rows.agg(F.max(length)).first()[0] or 0
-    step = max(1, -(-longest // steps))
-    got = rows.groupBy((F.ceil(F.col(length) / step) * step).cast("long").alias("v")).count().orderBy("v").collect()
+def length_histogram(rows: DataFrame, length: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct lengths and their rows.  Their sum is at most that of all lengths, so n tokens have at most sqrt(2 n) + 1 of them."""
+    got = rows.groupBy(F.col(length).alias("v")).count().orderBy("v").collect()
     return np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.int64)
 
 

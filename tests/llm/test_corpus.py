@@ -159,6 +159,13 @@ def test_packing(spark, monkeypatch):
     assert sorted(r[0] for r in text.select(packing.word_count(F.col("text"))).collect()) == [0, 0, 0, 3]
 
 
+def test_one_very_long_text_leaves_the_bounds_of_the_others(spark):
+    from pyspark.sql import functions as F
+    n = [10] * 40 + [11] * 30 + [200] * 20 + [205] * 10 + [5_000_000]
+    got = packing.pack(spark.createDataFrame(list(enumerate(n)), "doc_id long, size long"), F.col("size"), buckets=5).collect()
+    assert {r.bucket_length for r in got} == set(n) and sum(r.padding for r in got) == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
