@@ -130,16 +130,23 @@ class Codec:
     def merge(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens behind each other, and where each begins."""
         sizes = np.array([len(x) for x in parts], np.int64)
-        ends = np.cumsum(sizes)
-        buf = np.frombuffer(b"".join(parts), np.uint8)
-        n = len(buf)
         whole = np.array([self.rank.get(x, -1) for x in parts], np.int32)
-        token = self.byte[buf]
+        token, alive = self.merged(self.byte[np.frombuffer(b"".join(parts), np.uint8)], sizes, whole < 0)
+        first = np.cumsum(sizes) - sizes
+        single = whole >= 0
+        token[first[single]] = whole[single]
+        alive &= ~np.repeat(single, sizes)
+        alive[first[single]] = True
+        return token[alive], np.concatenate([[0], np.cumsum(np.add.reduceat(alive, first, dtype=np.int64))]) if len(token) else np.zeros(1, np.int64)
+
+    def merged(self, token: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``token`` (sequences of ``sizes`` behind each other) after all merges inside the ``wanted`` ones, and which places still begin a token."""
+        n, ends = len(token), np.cumsum(sizes)
         after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[ends - sizes] = -1
         now = np.full(n, _NONE, np.int32)          # rank of the pair that begins here
-        open_ = (after >= 0) & np.repeat(whole < 0, sizes)
+        open_ = (after >= 0) & np.repeat(wanted, sizes)
         at = np.flatnonzero(open_).astype(np.int32)
         now[at] = self._ranks(token[at], token[after[at]])
         alive = np.ones(n, bool)
@@ -167,12 +174,7 @@ class Codec:
                 ranks = self._ranks(token[places], token[after[places]])
                 now[places] = ranks
                 queue.push_all(ranks, places)
-        first = ends - sizes
-        single = whole >= 0
-        token[first[single]] = whole[single]
-        alive &= ~np.repeat(single, sizes)
-        alive[first[single]] = True
-        return token[alive], np.concatenate([[0], np.cumsum(np.add.reduceat(alive, first, dtype=np.int64))]) if n else np.zeros(1, np.int64)
+        return token, alive
 
     @staticmethod
     def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:

@@ -105,3 +105,32 @@ def chat_roles(spark, folder):
     model = chat.fit(seen.filter(F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(3)) != 1), "role", "begins", "previous")
     parsed = chat.rendered(chat.recover_roles(seen, model))
     return parsed.select(F.col("conv").alias("conv_id"), "line_no", "role_pred", "turn_begin", "turn_no", "rendered", F.col("role").alias("role_true"), F.col("begins").alias("begin_true"))
+
+
+@_register("op13_sentencepiece")
+def sentencepiece(spark, folder):
+    from .spiece import round_trip
+    return round_trip(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_register("op12_token_alignment")
+def token_alignment(spark, folder):
+    from .alignment import alignment_counts
+    return alignment_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_register("op11_hard_negatives", """
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS lab, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.uid AS aid, a.vec_id AS anchor_id, b.uid, b.vec_id, a.lab = b.lab AS same, CAST(list_sum(list_transform(list_zip(a.c, b.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.uid <> b.uid),
+p AS (SELECT aid, anchor_id, uid AS pid, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id NULLS LAST, uid) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.aid, pid ORDER BY score DESC, vec_id NULLS LAST, uid) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.aid = s.aid AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""")
+def hard_negatives(spark, folder):
+    from pyspark.sql import functions as F
+
+    from .hard_negatives import hard_negatives
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, folder, "embeddings"), label=label)
