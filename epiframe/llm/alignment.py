@@ -24,8 +24,10 @@ from . import spiece
 from .bpe import Codec
 from .common import cut, pieces
 
-#: Bytes of text that are aligned at once.
-BATCH_BYTES = 4 << 20
+#: Bytes of text that are encoded at once, and tokens that are aligned at once (or one text).
+BATCH_BYTES, SLICE_TOKENS = 4 << 20, 300_000
+#: Bytes of a row group of the written links: what a writer holds in memory.
+ROW_GROUP = 16 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -96,16 +98,9 @@ def jump(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
         target = doubled
 
 
-def align(first: Codec, second: spiece.PieceCodec, texts: list[bytes]) -> Aligned:
-    """Tokens and groups of whole texts, with a space before each; none for texts that are empty or that the tokens do not spell."""
-    told = [x.decode("utf-8", "replace") for x in texts]
-    a, at_a = first.encode_batch([" " + x for x in told])
-    b, at_b, _, _ = second.encode_batch(told)
-    spelled = zip(texts, Codec._spelled(first, a, at_a, first.bytes_of, first.bytes_at), Codec._spelled(second, b, at_b, second.bytes_of, second.bytes_at), strict=True)
-    good = np.array([bool(x) and u == (whole := b" " + x) and v == whole for x, u, v in spelled], bool)
-    if not good.all():
-        (a, at_a), (b, at_b) = ((ids[np.repeat(good, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at) * good)])) for ids, at in ((a, at_a), (b, at_b)))
-    ends_a, ends_b = (np.cumsum(np.diff(c.bytes_at)[ids]) for c, ids in ((first, a), (second, b)))
+def align(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> Aligned:
+    """Groups of tokens that spell the same texts; ``sizes_a`` and ``sizes_b`` are the bytes of each id."""
+    ends_a, ends_b = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
     n = len(a)
     target = jump(ends_a, ends_b)
     last_b = np.flatnonzero(target[n:] == np.arange(n, n + len(b)))
@@ -115,6 +110,23 @@ def align(first: Codec, second: spiece.PieceCodec, texts: list[bytes]) -> Aligne
     return Aligned(a, at_a, b, at_b, group[:n], group[n:], np.searchsorted(ends_a, ends_b[last_b]), last_b)
 
 
+def align_texts(first: Codec, second: spiece.PieceCodec, texts: list[bytes]) -> Iterator[tuple[slice, Aligned]]:
+    """Tokens and groups of whole texts, with a space before each, a slice of the texts at a time; none for texts that are empty or that the tokens do not spell."""
+    told = [x.decode("utf-8", "replace") for x in texts]
+    a, at_a = first.encode_batch([" " + x for x in told])
+    b, at_b = second.ids_batch(told)
+    spelled = zip(texts, Codec._spelled(first, a, at_a, first.bytes_of, first.bytes_at), Codec._spelled(second, b, at_b, second.bytes_of, second.bytes_at), strict=True)
+    good = np.array([bool(x) and u == (whole := b" " + x) and v == whole for x, u, v in spelled], bool)
+    if not good.all():
+        (a, at_a), (b, at_b) = ((ids[np.repeat(good, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at) * good)])) for ids, at in ((a, at_a), (b, at_b)))
+    sizes_a, sizes_b = (np.diff(c.bytes_at).astype(np.int64) for c in (first, second))
+    both, i = at_a + at_b, 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(both, both[i] + SLICE_TOKENS, "right")) - 1)
+        yield slice(i, j), align(a[at_a[i]:at_a[j]], at_a[i:j + 1] - at_a[i], b[at_b[i]:at_b[j]], at_b[i:j + 1] - at_b[i], sizes_a, sizes_b)
+        i = j
+
+
 class _Spelling:
     """Decimal ids of both sides with the sign that follows them: comma, bar after the last of the first side, semicolon after the last of the second."""
 
@@ -155,11 +167,11 @@ def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, doc
         for batch in batches:
             for part, texts in pieces(batch, "text", BATCH_BYTES):
                 first, second, _ = codecs(path_a, pattern, path_b)
-                x = align(first, second, texts)
-                base = x.groups_at()[:-1]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(x.at_a, x.a, pa.int32()), _lists(x.at_b, x.b, pa.int32()),
-                                                  _lists(x.at_a, x.group_a - np.repeat(base, np.diff(x.at_a)), pa.int32()), _lists(x.at_b, x.group_b - np.repeat(base, np.diff(x.at_b)), pa.int32())],
-                                                 names=["doc_id", "a_ids", "b_ids", "a_groups", "b_groups"])
+                for rows, x in align_texts(first, second, texts):
+                    base = x.groups_at()[:-1]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id")[rows], _lists(x.at_a, x.a, pa.int32()), _lists(x.at_b, x.b, pa.int32()),
+                                                      _lists(x.at_a, x.group_a - np.repeat(base, np.diff(x.at_a)), pa.int32()), _lists(x.at_b, x.group_b - np.repeat(base, np.diff(x.at_b)), pa.int32())],
+                                                     names=["doc_id", "a_ids", "b_ids", "a_groups", "b_groups"])
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, a_ids array<int>, b_ids array<int>, a_groups array<int>, b_groups array<int>")
 
 
@@ -171,18 +183,20 @@ def linked_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, do
     Odd rows as in ``align_documents``.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
+    first, second, _ = codecs(path_a, pattern, path_b)
+    number, link = (pa.int32(), "int") if (len(first.bytes_at) - 1) * (len(second.bytes_at) - 1) < 1 << 31 else (pa.int64(), "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch, "text", BATCH_BYTES):
                 first, second, spelling = codecs(path_a, pattern, path_b)
-                x = align(first, second, texts)
-                at = x.groups_at()
-                told = [hashlib.sha256(view).hexdigest() if len(view) else "" for view in spelling.texts(x)]
-                links = x.a[x.last_a].astype(np.int64) * spelling.m + x.b[x.last_b]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.diff(n), pa.int64()) for n in (x.at_a, x.at_b, at)), pa.array(told, pa.string()), _lists(at, links, pa.int64())],
-                                                 names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>")
+                for rows, x in align_texts(first, second, texts):
+                    at = x.groups_at()
+                    told = [hashlib.sha256(view).hexdigest() if len(view) else "" for view in spelling.texts(x)]
+                    links = x.a[x.last_a].astype(np.int64) * spelling.m + x.b[x.last_b]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id")[rows], *(pa.array(np.diff(n), pa.int64()) for n in (x.at_a, x.at_b, at)), pa.array(told, pa.string()), _lists(at, links, number)],
+                                                     names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links array<{link}>")
 
 
 def link_counts(linked: DataFrame, b_size: int) -> DataFrame:
@@ -217,6 +231,6 @@ def scored(linked: DataFrame, counts: DataFrame) -> DataFrame:
 
 def alignment_counts(docs: DataFrame, path_a: str, pattern: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups_sha256, n_links, n_best (links whose pair is its b_id's commonest in the corpus) and count_sum (over the counts of its links)."""
-    linked = cut(linked_documents(docs, path_a, pattern, path_b, doc_id, text))
+    linked = cut(linked_documents(docs, path_a, pattern, path_b, doc_id, text), **{"parquet.block.size": ROW_GROUP})
     _, second, _ = codecs(path_a, pattern, path_b)
     return scored(linked, link_counts(linked, len(second.names)))

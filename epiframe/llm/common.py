@@ -18,10 +18,10 @@ PIECE_BYTES = 1 << 20
 GOLD = 0x9E3779B97F4A7C15
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: its lineage ends, its columns can be pruned."""
+def cut(df: DataFrame, **options: int) -> DataFrame:
+    """Write ``df`` (with further Parquet options) to the shared checkpoint folder and read it back: its lineage ends, its columns can be pruned."""
     path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -163,7 +163,9 @@ class PieceCodec:
             if len(n) > 1:
                 by_score.setdefault(self.score[n], []).append(n)
         tied = [n for group in by_score.values() if len(group) > 1 for n in group]
-        self.tied = re.compile("|".join(re.escape(n) for n in sorted(tied, key=len) if not any(o != n and o in n for o in tied))) if tied else None
+        least = [n for n in tied if not any(o != n and o in n for o in tied)]
+        # in units as they stand in the source, where the sign for a space may still be one
+        self.tied = re.compile("|".join(re.escape(n).replace(SPACE, f"[ {SPACE}{_ADDED}]") for n in least)) if least else None
 
     def _forget(self) -> None:
         self.seen, self.flat, self.ends, self.offset = _Seen(), np.empty(0, np.int32), np.empty(0, np.int64), np.zeros(1, np.int64)
@@ -230,6 +232,7 @@ class PieceCodec:
 
     def _learn(self, units: list[str]) -> None:
         """Ids and ends (bytes of the source from where the unit begins) of new units."""
+        told, texts = [], []
         if self.map.units or self.squeeze:
             told = [self.normalise(u.lstrip(_ADDED), u[:1] == _ADDED) for u in units]
             texts = [t for t, _ in told]
@@ -239,12 +242,12 @@ class PieceCodec:
             begin = np.array([x for _, p in told for x in p[:-1]], np.int64)
             width = np.array([len(u.lstrip(_ADDED).encode("utf-8", "surrogatepass")) for u in units], np.int64)
         else:
-            code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.int32).copy()
             sizes = np.array([len(u) for u in units], np.int64)
-            bytes_ = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+            bytes_ = (np.int8(1) + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)).astype(np.int8)
             bytes_[code == ord(_ADDED)] = 0
             code[(code == 32) | (code == ord(_ADDED))] = ord(SPACE)
-            total = np.concatenate([[0], np.cumsum(bytes_)])
+            total = np.concatenate([[0], np.cumsum(bytes_, dtype=np.int64)])
             stop = np.cumsum(sizes)
             width = last = total[stop] - total[stop - sizes]
             begin = total[:-1] - np.repeat(total[stop - sizes], sizes)
@@ -254,10 +257,8 @@ class PieceCodec:
         symbol = np.where(self.char_of[at] == code, at + self.first_char, self.other).astype(np.int32)
         wanted = np.ones(len(sizes), bool)
         if self.tied is not None:
-            for k, u in enumerate(units):
-                plain = u.replace(" ", SPACE).replace(_ADDED, SPACE) if not self.map.units and not self.squeeze else told[k][0]
-                if self.tied.search(plain):
-                    wanted[k] = False
+            search = self.tied.search
+            wanted[[k for k, u in enumerate(texts if told else units) if search(u)]] = False
         symbol, alive = self.queue.merged(symbol, sizes, wanted) if len(symbol) else (symbol, np.zeros(0, bool))
         for k in np.flatnonzero(~wanted).tolist():
             first = int(stop[k] - sizes[k])
@@ -309,23 +310,31 @@ class PieceCodec:
             return [text]
         return self.find(text)
 
-    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts behind each other, where each text begins among them, and begin and end of each piece in bytes of its source."""
+    def _index(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the units of all texts behind each other, and where each text begins; new units are learnt."""
         if len(self.seen) > REMEMBERED:
             self._forget()
         seen = self.seen.__getitem__
-        index = [np.fromiter(map(seen, self._units(x)), np.int64) for x in texts]
+        index = [np.fromiter(map(seen, self._units(x)), np.int32) for x in texts]
         self._catch_up()
         if self.loose.any():
-            index = [np.fromiter(map(seen, self._units(x, True)), np.int64) if self.loose[i[1:], 0].any() or self.loose[i[:-1], 1].any() else i for x, i in zip(texts, index, strict=True)]
+            index = [np.fromiter(map(seen, self._units(x, True)), np.int32) if self.loose[i[1:], 0].any() or self.loose[i[:-1], 1].any() else i for x, i in zip(texts, index, strict=True)]
             self._catch_up()
-        each = np.concatenate([*index, np.empty(0, np.int64)]).astype(np.int64)
-        many = np.concatenate([[0], np.cumsum([len(x) for x in index], dtype=np.int64)])
+        return np.concatenate([*index, np.empty(0, np.int32)]), np.concatenate([[0], np.cumsum([len(x) for x in index], dtype=np.int64)])
+
+    def ids_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind each other, and where each text begins among them."""
+        each, many = self._index(texts)
+        ids, at = ragged(self.flat, self.offset, each)
+        return ids, at[many]
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts behind each other, where each text begins among them, and begin and end of each piece in bytes of its source."""
+        each, many = self._index(texts)
         ids, at = ragged(self.flat, self.offset, each)
         ends, _ = ragged(self.ends, self.offset, each)
         total = np.concatenate([[0], np.cumsum(self.source[each])])
-        base = total[:-1] - np.repeat(total[many[:-1]], np.diff(many))
-        ends = ends + np.repeat(base, np.diff(at))
+        ends += np.repeat(total[:-1] - np.repeat(total[many[:-1]], np.diff(many)), np.diff(at))
         text_at = at[many]
         begins = np.concatenate([[0], ends[:-1]])
         some = np.flatnonzero(np.diff(text_at) > 0)
@@ -338,7 +347,7 @@ class PieceCodec:
             self._learn(list(self.seen)[known:])
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_batch([text])[0].tolist()
+        return self.ids_batch([text])[0].tolist()
 
     def decode_batch(self, ids: np.ndarray, at: np.ndarray) -> Iterator[memoryview]:
         """UTF-8 of each text's ids: the added space goes, bytes that form no character become U+FFFD each."""
