@@ -24,8 +24,8 @@ from . import spiece
 from .bpe import Codec
 from .common import cut, pieces
 
-#: Bytes of text that are encoded at once, and tokens that are aligned at once (or one text).
-BATCH_BYTES, SLICE_TOKENS = 4 << 20, 300_000
+#: Bytes of text that are encoded at once, tokens that are aligned at once (or one text), and units that either codec remembers between batches.
+BATCH_BYTES, SLICE_TOKENS, REMEMBERED = 4 << 20, 200_000, 200_000
 #: Bytes of a row group of the written links: what a writer holds in memory.
 ROW_GROUP = 16 << 20
 
@@ -112,6 +112,9 @@ def align(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size
 
 def align_texts(first: Codec, second: spiece.PieceCodec, texts: list[bytes]) -> Iterator[tuple[slice, Aligned]]:
     """Tokens and groups of whole texts, with a space before each, a slice of the texts at a time; none for texts that are empty or that the tokens do not spell."""
+    for codec in (first, second):
+        if len(codec.seen) > REMEMBERED:
+            codec._forget()
     told = [x.decode("utf-8", "replace") for x in texts]
     a, at_a = first.encode_batch([" " + x for x in told])
     b, at_b = second.ids_batch(told)
