@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,6 +159,17 @@ def _lists(at: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArra
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
 
 
+def _numbers(at: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Rows of a ragged array of numbers as bytes."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype("<i8")), pa.py_buffer(values.astype("<i8"))]).cast(pa.binary())
+
+
+def _told(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and where each row begins among them."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), "<i8"), np.concatenate([[0], np.cumsum(sizes // 8)])
+
+
 def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and, of every whole text, arrays a_ids, b_ids, a_groups and b_groups (the group of each token, from 0).
 
@@ -181,13 +193,11 @@ def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, doc
 def linked_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups_sha256 and links of every text.
 
-    ``links`` holds a_id * (size of the second vocabulary) + b_id for the two tokens that end a group: tokens have bytes, so exactly one token of
-    each side ends there.  ``groups_sha256`` is the digest of ``a1,a2|b1;a3|b2,b3``, an empty string where there are no tokens.
+    ``links`` holds a_id * (size of the second vocabulary) + b_id for the two tokens that end a group, as 8-byte little-endian numbers behind each
+    other: tokens have bytes, so exactly one token of each side ends there.  ``groups_sha256`` is the digest of ``a1,a2|b1;a3|b2,b3``, an empty string where there are no tokens.
     Odd rows as in ``align_documents``.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    first, second, _ = codecs(path_a, pattern, path_b)
-    number, link = (pa.int32(), "int") if (len(first.bytes_at) - 1) * (len(second.bytes_at) - 1) < 1 << 31 else (pa.int64(), "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,9 +207,9 @@ def linked_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, do
                     at = x.groups_at()
                     told = [hashlib.sha256(view).hexdigest() if len(view) else "" for view in spelling.texts(x)]
                     links = x.a[x.last_a].astype(np.int64) * spelling.m + x.b[x.last_b]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id")[rows], *(pa.array(np.diff(n), pa.int64()) for n in (x.at_a, x.at_b, at)), pa.array(told, pa.string()), _lists(at, links, number)],
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id")[rows], *(pa.array(np.diff(n), pa.int64()) for n in (x.at_a, x.at_b, at)), pa.array(told, pa.string()), _numbers(at, links)],
                                                      names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links array<{link}>")
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links binary")
 
 
 def link_counts(linked: DataFrame, b_size: int) -> DataFrame:
@@ -208,7 +218,11 @@ def link_counts(linked: DataFrame, b_size: int) -> DataFrame:
     Two tokens that end together end in the same bytes, so one is a suffix of the other: the table has at most as many rows as the tokens of both
     vocabularies have bytes, whatever the corpus.
     """
-    counts = linked.select(F.explode("links").alias("link")).groupBy("link").agg(F.count("*").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _ in pieces(batch, "links", 8 * BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.unique(_told(part.column(0))[0], return_counts=True)], names=["link", "n"])
+    counts = linked.select("links").mapInArrow(run, "link long, n long").groupBy("link").agg(F.sum("n").alias("n"))
     highest = counts.groupBy((F.col("link") % b_size).alias("b")).agg(F.max("n").alias("top"))
     return counts.join(highest, F.col("link") % b_size == F.col("b")).select("link", "n", (F.col("n") == F.col("top")).alias("best"))
 
@@ -223,12 +237,11 @@ def scored(linked: DataFrame, counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n, best = table.value
         for batch in batches:
-            lists = batch.column(len(names))
-            links = lists.flatten().to_numpy()
-            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            place = np.searchsorted(key, links)
-            sums = [np.diff(np.concatenate([[0], np.cumsum(x[place], dtype=np.int64)])[at]) if len(key) else np.zeros(len(at) - 1, np.int64) for x in (best, n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(at), pa.int64()), *(pa.array(x, pa.int64()) for x in sums)], names=[*names, "n_links", "n_best", "count_sum"])
+            for part, _ in pieces(batch, "links", 8 * BATCH_BYTES):
+                links, at = _told(part.column(len(names)))
+                place = np.searchsorted(key, links)
+                sums = [np.diff(np.concatenate([[0], np.cumsum(x[place], dtype=np.int64)])[at]) if len(key) else np.zeros(len(at) - 1, np.int64) for x in (best, n)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(at), pa.int64()), *(pa.array(x, pa.int64()) for x in sums)], names=[*names, "n_links", "n_best", "count_sum"])
     return linked.select(*[F.col(f"`{c}`") for c in names], "links").mapInArrow(run, ", ".join([*kinds, "n_links long", "n_best long", "count_sum long"]))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,7 +118,7 @@ class _Cell:
 
     def __init__(self, anchors: pa.Table, rows: pa.Table):
         self.anchors = anchors
-        self.rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[("vec_id", "ascending"), ("uid", "ascending")], null_placement="at_end"))
+        self.rows = rows.take(pc.sort_indices(rows, sort_keys=[("vec_id", "ascending"), ("uid", "ascending")], null_placement="at_end"))
         self.a, self.c = _matrix(anchors.column("parts")), _matrix(self.rows.column("parts"))
         width = max(self.a.shape[1], self.c.shape[1])
         self.a, self.c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (self.a, self.c))
