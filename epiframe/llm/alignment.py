@@ -16,7 +16,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,15 +158,25 @@ def _lists(at: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArra
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
 
 
-def _numbers(at: np.ndarray, values: np.ndarray) -> pa.Array:
+def _width(first: Codec, second: spiece.PieceCodec) -> int:
+    """Bytes of a link's number."""
+    return 4 if (len(first.bytes_at) - 1) * (len(second.bytes_at) - 1) < 1 << 31 else 8
+
+
+def _numbers(at: np.ndarray, values: np.ndarray, width: int) -> pa.Array:
     """Rows of a ragged array of numbers as bytes."""
-    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype("<i8")), pa.py_buffer(values.astype("<i8"))]).cast(pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype("<i4")), pa.py_buffer(values.astype(f"<i{width}"))])
 
 
-def _told(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all rows, and where each row begins among them."""
-    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.frombuffer(b"".join(column.to_pylist()), "<i8"), np.concatenate([[0], np.cumsum(sizes // 8)])
+def _links(batch: pa.RecordBatch, width: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Some rows at a time: which, the numbers of their last column, and where each row begins among them."""
+    column = batch.column(batch.num_columns - 1)
+    at = np.frombuffer(column.buffers()[1], "<i4")[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    body, i = np.frombuffer(column.buffers()[2] or b"", np.uint8), 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + width * SLICE_TOKENS, "right")) - 1)
+        yield slice(i, j), body[at[i]:at[j]].view(f"<i{width}"), (at[i:j + 1] - at[i]) // width
+        i = j
 
 
 def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,8 +202,8 @@ def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, doc
 def linked_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups_sha256 and links of every text.
 
-    ``links`` holds a_id * (size of the second vocabulary) + b_id for the two tokens that end a group, as 8-byte little-endian numbers behind each
-    other: tokens have bytes, so exactly one token of each side ends there.  ``groups_sha256`` is the digest of ``a1,a2|b1;a3|b2,b3``, an empty string where there are no tokens.
+    ``links`` holds a_id * (size of the second vocabulary) + b_id for the two tokens that end a group, as little-endian numbers (of 4 bytes where
+    all fit, else 8) behind each other: tokens have bytes, so exactly one token of each side ends there.  ``groups_sha256`` is the digest of ``a1,a2|b1;a3|b2,b3``, an empty string where there are no tokens.
     Odd rows as in ``align_documents``.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -207,12 +216,12 @@ def linked_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, do
                     at = x.groups_at()
                     told = [hashlib.sha256(view).hexdigest() if len(view) else "" for view in spelling.texts(x)]
                     links = x.a[x.last_a].astype(np.int64) * spelling.m + x.b[x.last_b]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id")[rows], *(pa.array(np.diff(n), pa.int64()) for n in (x.at_a, x.at_b, at)), pa.array(told, pa.string()), _numbers(at, links)],
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id")[rows], *(pa.array(np.diff(n), pa.int64()) for n in (x.at_a, x.at_b, at)), pa.array(told, pa.string()), _numbers(at, links, _width(first, second))],
                                                      names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links binary")
 
 
-def link_counts(linked: DataFrame, b_size: int) -> DataFrame:
+def link_counts(linked: DataFrame, b_size: int, width: int) -> DataFrame:
     """link, n (how many links of the corpus it holds) and best (n is the highest of its b_id, ties included).
 
     Two tokens that end together end in the same bytes, so one is a suffix of the other: the table has at most as many rows as the tokens of both
@@ -220,14 +229,14 @@ def link_counts(linked: DataFrame, b_size: int) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _ in pieces(batch, "links", 8 * BATCH_BYTES):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.unique(_told(part.column(0))[0], return_counts=True)], names=["link", "n"])
+            for _, links, _ in _links(batch, width):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.unique(links, return_counts=True)], names=["link", "n"])
     counts = linked.select("links").mapInArrow(run, "link long, n long").groupBy("link").agg(F.sum("n").alias("n"))
     highest = counts.groupBy((F.col("link") % b_size).alias("b")).agg(F.max("n").alias("top"))
     return counts.join(highest, F.col("link") % b_size == F.col("b")).select("link", "n", (F.col("n") == F.col("top")).alias("best"))
 
 
-def scored(linked: DataFrame, counts: DataFrame) -> DataFrame:
+def scored(linked: DataFrame, counts: DataFrame, width: int) -> DataFrame:
     """``linked`` with n_links, n_best and count_sum in place of its links; ``counts`` (see ``link_counts`` for its bound) goes to every task."""
     rows = counts.orderBy("link").toArrow()
     table = linked.sparkSession.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in ("link", "n", "best")))
@@ -237,16 +246,16 @@ def scored(linked: DataFrame, counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n, best = table.value
         for batch in batches:
-            for part, _ in pieces(batch, "links", 8 * BATCH_BYTES):
-                links, at = _told(part.column(len(names)))
+            for rows, links, at in _links(batch, width):
                 place = np.searchsorted(key, links)
                 sums = [np.diff(np.concatenate([[0], np.cumsum(x[place], dtype=np.int64)])[at]) if len(key) else np.zeros(len(at) - 1, np.int64) for x in (best, n)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(at), pa.int64()), *(pa.array(x, pa.int64()) for x in sums)], names=[*names, "n_links", "n_best", "count_sum"])
+                yield pa.RecordBatch.from_arrays([*(x[rows] for x in batch.columns[:-1]), pa.array(np.diff(at), pa.int64()), *(pa.array(x, pa.int64()) for x in sums)], names=[*names, "n_links", "n_best", "count_sum"])
     return linked.select(*[F.col(f"`{c}`") for c in names], "links").mapInArrow(run, ", ".join([*kinds, "n_links long", "n_best long", "count_sum long"]))
 
 
 def alignment_counts(docs: DataFrame, path_a: str, pattern: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups_sha256, n_links, n_best (links whose pair is its b_id's commonest in the corpus) and count_sum (over the counts of its links)."""
     linked = cut(linked_documents(docs, path_a, pattern, path_b, doc_id, text), **{"parquet.block.size": ROW_GROUP})
-    _, second, _ = codecs(path_a, pattern, path_b)
-    return scored(linked, link_counts(linked, len(second.names)))
+    first, second, _ = codecs(path_a, pattern, path_b)
+    width = _width(first, second)
+    return scored(linked, link_counts(linked, len(second.names), width), width)
