@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import setjoin as S
 from ..operators import text as X
 from ..plans.ordered import scan
 from .registry import query, rounded
@@ -37,9 +38,8 @@ def sentence_counts(t):
 
 @query("txt03_plant_and_recall")
 def recall(t):
-    fakes = X.fake_identifiers()
     d = t.documents.select("doc_id", "text")
-    return rounded(X.detector_recall(d, X.plant(d, "doc_id", "text", fakes, 1, 5), "doc_id", "text", {k: X.IDENTIFIERS[k] for k in fakes}))
+    return rounded(X.detector_recall(d, X.plant(d, "doc_id", "text", seed=5), "doc_id", "text", X.IDENTIFIERS))
 
 
 @query("txt04_label_text", r"""
@@ -82,12 +82,23 @@ def versions(t):
 
 
 @query("txt07_shingle_similarity")
-def similar(t):
+def similarity(t):
     d = t.documents.select("doc_id", "source", "text")
     p = scan(d.select("source", "doc_id"), ["source"], "doc_id", {"other": ("lead", "doc_id")}, 200.0).filter("other IS NOT NULL").select("doc_id", "other")
     return rounded(X.shingle_similarity(p, "doc_id", "other", d, "doc_id", "text", 3))
 
 
+@query("txt07_similar_documents", r"""
+WITH w AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS s FROM w),
+m AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS class_rows FROM s), c AS (SELECT class_id, class_rows, s, len(s) AS n FROM m WHERE doc_id = class_id),
+e AS (SELECT class_id, n, class_rows, unnest(s) AS h FROM c), o AS (SELECT a.class_id, b.class_id AS other, a.n, b.n AS m, b.class_rows AS rows, count(*) AS o FROM e a JOIN e b ON a.h = b.h AND a.class_id <> b.class_id GROUP BY ALL),
+j AS (SELECT *, o / (n + m - o) AS jac FROM o WHERE 5 * o >= 4 * (n + m - o)), l AS (SELECT class_id, sum(rows)::BIGINT AS links, arg_min(other, (-jac, other)) AS best_id, max(jac) AS best_similarity FROM j GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, class_id, class_rows, coalesce(links, 0)::BIGINT AS links, best_id, round(best_similarity, 6) AS best_similarity FROM m LEFT JOIN l USING (class_id)""")
+def similar_documents(t):
+    return rounded(S.similar_documents(t.documents.select("doc_id", "text"), "doc_id", "text"))
+
+
 GRAMS = r"""w AS (SELECT item_id, [x FOR x IN string_split_regex(lower(text), '[^\p{L}\p{N}]+') IF length(x) >= 3] AS w FROM benchmark), g AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(w) AS term FROM w UNION ALL SELECT item_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM w) GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM g GROUP BY 1), k AS (SELECT item_id, g.term, (1 + ln(c)) * ln(((SELECT count(*) FROM benchmark) + 1) / (df + 0.5::DOUBLE)) AS x FROM g JOIN df USING (term) WHERE c >= 2 OR NOT contains(g.term, ' ')),
 top AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(x, 9) DESC, term) <= 10)"""

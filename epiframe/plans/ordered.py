@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lineage import written
+
 SLICE = "_slice"
 DAY = 86_400.0
 
@@ -55,16 +56,12 @@ def add_slices(df: DataFrame, order: str, width: float | None = None, n: int | N
         return df.withColumn(SLICE, F.floor(t / F.lit(float(width))).cast("bigint"))
     spark = df.sparkSession
     n = n or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    got = df.agg(F.percentile_approx(t, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    borders = sorted(set(got))
-    if not borders:
-        return df.withColumn(SLICE, F.lit(0).cast("bigint"))
-    cut = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="_axis", outputCol="_bucket",
-                     handleInvalid="keep")
-    return (cut.transform(df.withColumn("_axis", t))
-            .withColumn(SLICE, F.col("_bucket").cast("bigint")).drop("_axis", "_bucket"))
-
-
+    steps = [1 << i for i in range((n - 1).bit_length() - 1, -1, -1)] or [1]
+    # one sketch of the column, a scalar subquery of the same plan: nothing runs before the action, and equal subqueries run once
+    borders = df.select(F.percentile_approx(t, [i / n for i in range(1, n)], 20 * n)).scalar()
+    # a missing border compares as NULL, so the search stays left of it; so does a NULL order value, in the first slice
+    place = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: at + F.when(F.get(F.col("_borders"), at + s - 1) <= F.col("_axis"), s).otherwise(0))
+    return df.withColumn("_borders", borders).withColumn("_axis", t).withColumn(SLICE, place.cast("bigint")).drop("_borders", "_axis")
 
 
 def scan(df: DataFrame, key: Sequence[str], order: str, running: Mapping[str, tuple], width: float | None = None,
@@ -250,12 +247,12 @@ def ordered_pairs(df: DataFrame, by: Sequence[str], x: str, y: str, first: Colum
     by = list(by)
     cells = df.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), first.cast("double").alias("_f"), second.cast("double").alias("_s"))
     cells = cells.dropna(subset=["_x", "_y"]).groupBy(*by, "_x", "_y").agg(F.sum("_f").alias("_f"), F.sum("_s").alias("_s"))
+    cells = written(cells)         # ranks, levels and sums all read them: the input is read once
     ranks = dense_rank(cells, by, "_x", "_rank")
-    top = ranks.agg(F.max("_rank")).first()[0] or 0
-    levels = F.array(*[F.lit(i) for i in range(max(1, int(top).bit_length()))])
+    bits = ranks.select(F.length(F.bin(F.coalesce(F.max("_rank"), F.lit(0)))).alias("_bits")).scalar()
     on = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in by] + [F.col("_x") == F.col("_bx")]
     d = cells.join(ranks.select(*[F.col(k).alias(f"_b_{k}") for k in by], F.col("_x").alias("_bx"), "_rank"), on)
-    d = d.select(*by, "_y", "_f", "_s", "_rank", F.explode(levels).alias("_level"))
+    d = d.withColumn("_bits", bits).select(*by, "_y", "_f", "_s", "_rank", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)).alias("_level"))
     one = F.expr("(shiftright(_rank, _level) & 1) = 1")
     g = d.groupBy(*by, "_level", F.expr("shiftright(_rank, _level + 1)").alias("_head"), "_y").agg(
         F.sum(F.when(~one, F.col("_f")).otherwise(0.0)).alias("_n0"), F.sum(F.when(one, F.col("_s")).otherwise(0.0)).alias("_n1"))

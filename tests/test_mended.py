@@ -123,10 +123,13 @@ def test_scan_crosses_section_borders_and_skips_headers(spark):
 
 
 def test_planted_identifiers_are_counted(spark):
-    fakes = text.fake_identifiers()
-    df = spark.createDataFrame([(1, "One. Two. Three"), (2, "a@b.org"), (3, ""), (4, None)], "id int, t string")
-    out = text.plant(df, "id", "t", fakes, 2, 7).cache()
-    assert all(set(r.planted.values()) == {2} and len(r.planted) == len(fakes) for r in out.collect())
-    assert out.filter("id = 1").first().t.count(". ") >= 2 and all(w in out.filter("id = 1").first().t for w in ("One", "Two", "Three"))
-    got = {r.category: r for r in text.detector_recall(df, out, "id", "t", {k: text.IDENTIFIERS[k] for k in fakes}).collect()}
-    assert all(r.n_planted == 8 and 0 < r.n_found <= 8 for r in got.values()) and got["email"].n_found == 8 and got["email"].observed_rate == 0.25
+    df = spark.createDataFrame([(1, "One.\nTwo.\n\nThree"), (2, "a@b.org"), (3, ""), (4, None)], "id int, t string")
+    out = text.plant(df, "id", "t", each=2, seed=7).cache()
+    assert set(text.MADE_UP) == set(text.IDENTIFIERS)
+    assert all(set(r.planted.values()) == {2} and set(r.planted) == set(text.IDENTIFIERS) for r in out.collect())
+    first = out.filter("id = 1").first().t.split("\n")
+    assert len(first) == 4 and [line[:len(own)] for line, own in zip(first, ["One.", "Two.", "", "Three"], strict=True)] == ["One.", "Two.", "", "Three"]
+    got = {r.category: r for r in text.detector_recall(df, out, "id", "t", text.IDENTIFIERS).collect()}
+    assert all(r.n_planted == 8 and r.n_found == 8 for r in got.values()) and got["email"].observed_rate == 0.25
+    again = text.plant(df, "id", "t", each=2, seed=7)
+    assert out.select("id", "t").exceptAll(again.select("id", "t")).count() == 0 and out.select("t").exceptAll(text.plant(df, "id", "t", each=2, seed=8).select("t")).count() == 4
