@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans.lineage import checkpoint_dir
 
@@ -23,7 +23,7 @@ def stream_counts(events: DataFrame, key: Sequence[str], ts: str, watermark: str
 
 
 def stream_sessions(events: DataFrame, key: Sequence[str], ts: str, watermark: str, gap: str) -> DataFrame:
-    """Sessions per key that close after ``gap`` without a row."""
+    """Sessions per key that close after ``gap`` without a row.  In append mode a session leaves, and its state with it, when the watermark passes its end."""
     g = events.withWatermark(ts, watermark).groupBy(*key, F.session_window(ts, gap).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.max(ts).alias("last_seen"))
     return g.select(*key, F.col("w.start").alias("session_start"), "last_seen", "n")
@@ -34,36 +34,88 @@ def stream_dedupe(events: DataFrame, keys: Sequence[str], ts: str, watermark: st
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_cusum(counts: DataFrame, key: str, step: str, x: str, l0: float, multiplier: float, h: float) -> DataFrame:
-    """Poisson CUSUM per key across micro-batches; one row when a key first reaches ``h``.
+class _Cusum(StatefulProcessor):
+    """Open steps of a key (step -> sum) until the watermark closes them, then the statistic; the state of a key is its open steps and three numbers."""
+
+    def __init__(self, key: str, ts: str, x: str | None, step: int, k: float, h: float):
+        self.key, self.ts, self.x, self.step, self.k, self.h = key, ts, x, step, k, h
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "step long", "n double")
+        self.held = handle.getValueState("held", "s double, at long, done boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs()
+        if not (self.held.exists() and self.held.get()[2]):
+            for chunk in rows:
+                step = chunk[self.ts].astype("datetime64[ms]").astype("int64") // self.step
+                sums = (chunk[self.x] if self.x else step * 0 + 1.0).groupby(step).sum()
+                for at, n in sums.items():
+                    if (at + 1) * self.step > closed:
+                        old = self.open.getValue((int(at),))[0] if self.open.containsKey((int(at),)) else 0.0
+                        self.open.updateValue((int(at),), (old + float(n),))
+                        self.handle.registerTimer((int(at) + 1) * self.step)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs()
+        ready = sorted(at for (at,) in self.open.keys() if (at + 1) * self.step <= closed)
+        s, last, done = self.held.get() if self.held.exists() else (0.0, None, False)
+        for at in ready:
+            n = self.open.getValue((at,))[0]
+            self.open.removeKey((at,))
+            if done:
+                continue
+            quiet = 0 if last is None else at - last - 1
+            s, last = max(0.0, max(0.0, s - quiet * self.k) + n - self.k), at
+            if s >= self.h:
+                done = True
+                yield pd.DataFrame({self.key: [key[0]], "signal_step": [pd.Timestamp(at * self.step, unit="ms", tz="UTC")], "statistic": [s]})
+        if ready:
+            self.held.update((s, last, done))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_cusum(events: DataFrame, key: str, ts: str, watermark: str, step: float, l0: float, multiplier: float, h: float, x: str | None = None) -> DataFrame:
+    """Poisson CUSUM per key across micro-batches, over steps of ``step`` seconds; one row when a key first reaches ``h``: key, signal_step (its begin), statistic.
 
-    The state is the statistic, the next step and whether the key has signalled.  Counts that
-    arrive for a step before the state's are ignored, as a closed step cannot be reopened.
+    A step counts rows (or sums ``x``) until the watermark passes its end; a timer of event time then adds it to the statistic, steps in order
+    however rows arrive, steps without rows as zero.  Rows later than the watermark are dropped.  After its signal a key keeps one flag.
     """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     k = l0 * (multiplier - 1) / math.log(multiplier)
-    kind = counts.schema[key].dataType
-    out = T.StructType([T.StructField(key, kind), T.StructField("signal_step", T.LongType()), T.StructField("statistic", T.DoubleType())])
-    state = T.StructType([T.StructField("s", T.DoubleType()), T.StructField("step", T.LongType()), T.StructField("done", T.BooleanType())])
-
-    def run(group: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        s, at, done = held.get if held.exists else (0.0, -1, False)
-        if done:
-            return
-        # the rows of one key in one micro-batch: as many as the batch has closed steps
-        rows = pd.concat(chunks).groupby(step)[x].sum().sort_index()
-        for i, n in rows.items():
-            if i <= at:
-                continue
-            quiet = int(i) - at - 1 if at >= 0 else 0
-            s = max(0.0, max(0.0, s - quiet * k) + float(n) - k)
-            at = int(i)
-            if s >= h:
-                held.update((s, at, True))
-                yield pd.DataFrame({key: [group[0]], "signal_step": [at], "statistic": [s]})
-                return
-        held.update((s, at, False))
+    out = T.StructType([T.StructField(key, events.schema[key].dataType), T.StructField("signal_step", T.TimestampType()), T.StructField("statistic", T.DoubleType())])
+    rows = events.select(key, ts, *([x] if x else [])).withWatermark(ts, watermark)
+    return rows.groupBy(key).transformWithStateInPandas(_Cusum(key, ts, x, int(step * 1000), k, h), out, "Append", "EventTime")
+
 
-    return counts.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+def arrivals(df: DataFrame, ts: str, n: int, disorder: float, row_id: str) -> list[DataFrame]:
+    """``df`` in ``n`` slices as it might arrive: each row up to ``disorder`` seconds after its time, by a hash of its identifier."""
+    at = F.col(ts).cast("timestamp").cast("double") + F.pmod(F.xxhash64(row_id), F.lit(1 << 20)) * (float(disorder) / (1 << 20))
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    width = ((high or 0.0) - (low or 0.0)) / n or 1.0
+    place = F.least(F.floor((at - F.lit(low or 0.0)) / width), F.lit(n - 1))
+    return [df.filter(place == i) for i in range(n)]
+
+
+def run_arrivals(batches: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Feed ``batches`` one by one to the stream that ``build`` makes of them, each in a run of its own that goes on from the checkpoint of the last; the result as a table.
+
+    What a run emits lies in a folder beside the checkpoints, which all executors share.  In ``update`` mode the last row of each of ``keys`` counts.
+    """
+    spark = batches[0].sparkSession
+    home = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = None
+    for i, batch in enumerate(batches):
+        batch.write.parquet(f"{home}/in/a{i}")
+        if stream is None:
+            stream = build(spark.readStream.schema(batch.schema).option("recursiveFileLookup", "true").parquet(f"{home}/in"))
+        _run(stream, mode, home)
+    return _emitted(stream, mode, home, keys)
 
 
 def run_available(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -73,17 +125,23 @@ def run_available(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> Dat
     ``update`` mode a row may be written again by a later batch and the last one counts; in
     ``complete`` mode (session windows) the last batch holds the whole result.
     """
-    spark = stream.sparkSession
-    home = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    home = f"{checkpoint_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    _run(stream, mode, home)
+    return _emitted(stream, mode, home, keys)
 
+
+def _run(stream: DataFrame, mode: str, home: str) -> None:
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{home}/out/part={number}")
 
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state")
          .trigger(availableNow=True).foreachBatch(keep).start())
     q.awaitTermination()
+
+
+def _emitted(stream: DataFrame, mode: str, home: str, keys: Sequence[str]) -> DataFrame:
     schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
-    d = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{home}/out")
+    d = stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{home}/out")
     if mode == "append":
         return d.drop("_batch")
     if mode == "complete":
