@@ -315,6 +315,20 @@ def gray(t):
     return rounded(E.gray_zone(scored(t), "y", "p"))
 
 
+@query("evl06_gray_zone_limits")
+def gray_limits(t):
+    return rounded(E.gray_zone_limits(scored(t), "y", "p", n=200, seed=3))
+
+
+@query("evl06_matched_triage", f"""
+WITH {SQL}, r AS (SELECT *, (x > 50000)::INT AS rater, l_suppkey % 7 AS grp FROM d), k AS (SELECT count(*) FILTER (y = 0 AND rater = 1) AS k FROM r),
+n AS (SELECT p, row_number() OVER (ORDER BY p DESC) AS i FROM r WHERE y = 0), h AS (SELECT CASE WHEN k = 0 THEN (SELECT max(p) FROM n) + 1e-9 ELSE (SELECT p FROM n WHERE i = k) END AS threshold FROM k)
+SELECT grp, count(*)::BIGINT AS n_cases, threshold, round(avg(1 - rater), 6) AS rater_missed, round(avg((p < threshold)::INT), 6) AS model_missed FROM r, h WHERE y = 1 GROUP BY 1, 3""")
+def triage(t):
+    d = scored(t).withColumn("rater", (F.col("x") > 50000).cast("int")).withColumn("grp", F.col("l_suppkey") % 7)
+    return rounded(E.matched_triage(d, "y", "p", "rater", "grp"))
+
+
 TERMS = ["tax", "discount", "quantity"]
 
 

@@ -188,12 +188,11 @@ def caliper(t):
 
 
 @query("jon12_align_tables", """
-WITH a AS (SELECT l_suppkey, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 3 <> 0 GROUP BY 1),
-b AS (SELECT l_suppkey, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag = 'N' AND l_suppkey % 5 <> 0 GROUP BY 1)
-SELECT l_suppkey, coalesce(a.n, 0)::BIGINT AS n_a, coalesce(b.n, 0)::BIGINT AS n_b FROM a FULL JOIN b USING (l_suppkey)""")
+WITH a AS (SELECT l_partkey, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_partkey, count(*)::BIGINT AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1)
+SELECT l_partkey, coalesce(a.n, 0)::BIGINT AS n_a, coalesce(b.n, 0)::BIGINT AS n_b FROM a FULL JOIN b USING (l_partkey)""")
 def align(t):
-    n = lambda flag, k: t.lineitem.filter((F.col("l_returnflag") == flag) & (F.col("l_suppkey") % k != 0)).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    return J.align_tables(n("R", 3), n("N", 5), ["l_suppkey"], ["n"])
+    n = lambda flag: t.lineitem.filter(F.col("l_returnflag") == flag).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    return J.align_tables(n("R"), n("N"), ["l_partkey"], ["n"])
 
 
 @query("jon13_with_grid", """

@@ -178,6 +178,19 @@ def classifier(t):
     return rounded(M.text_classifier(d, "doc_id", "text", ["quality", "toxic"], F.col("quality").isNotNull() & (F.col("doc_id") % 4 != 0)), 3)
 
 
+@query("mod12_svd_classifier")
+def svd_classifier(t):
+    d = t.documents.select("doc_id", "text").join(t.labels, "doc_id", "left").select("doc_id", "text", "quality", "toxic")
+    return rounded(M.text_classifier(d, "doc_id", "text", ["quality", "toxic"], F.col("quality").isNotNull() & (F.col("doc_id") % 4 != 0), components=20), 3)
+
+
+@query("mod12_text_components")
+def components(t):
+    d, values, converged = M.text_components(t.benchmark, "item_id", "text", 5, n=1)
+    shares = F.array(*[F.lit(float(v)) for v in values])
+    return rounded(d.select("item_id", F.posexplode("scores").alias("component", "score"), shares.alias("_v"), F.lit(converged).alias("converged")).select("item_id", "component", "score", F.get("_v", F.col("component")).alias("value"), "converged"), 4)
+
+
 @query("mod12_text_clusters")
 def clusters(t):
     d = M.text_clusters(t.conversations.withColumn("row_id", F.concat_ws("-", "conv_id", "turn")), "row_id", "text", 4, 1)
@@ -208,6 +221,11 @@ def mediate(t):
     return rounded(M.mediation(lines(t), "z", "q", "price", ["d"], "l_suppkey", 100, 3), 4)
 
 
+@query("mod16_mediation_rows")
+def mediate_rows(t):
+    return rounded(M.mediation(lines(t), "z", "q", "price", ["d"], None, 100, 3), 4)
+
+
 @query("mod17_calibration")
 def negative_controls(t):
     from .summaries import brand_effects

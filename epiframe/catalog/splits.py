@@ -47,6 +47,23 @@ def leakage(t):
     return rounded(P.leakage_audit(d, "user_id", ["rec"], "ts", "split", 1800.0, DAY))
 
 
+# an order's price from its customer's other orders: random folds know the customer, customer folds do not
+@query("spl04_leakage_inflation", """
+WITH f AS (SELECT o_custkey AS c, o_totalprice AS y, true AS leaky, o_orderkey % 5 AS fold FROM orders UNION ALL SELECT o_custkey, o_totalprice, false, o_custkey % 5 FROM orders),
+p AS (SELECT *, (sum(y) OVER a - sum(y) OVER b) / nullif(count(*) OVER a - count(*) OVER b, 0) AS own, (sum(y) OVER u - sum(y) OVER v) / (count(*) OVER u - count(*) OVER v) AS rest
+  FROM f WINDOW a AS (PARTITION BY leaky, c), b AS (PARTITION BY leaky, c, fold), u AS (PARTITION BY leaky), v AS (PARTITION BY leaky, fold)),
+m AS (SELECT leaky, fold, avg(abs(y - coalesce(own, rest))) / 1000 AS metric FROM p GROUP BY 1, 2), g AS (SELECT avg(metric) FILTER (leaky) AS a, avg(metric) FILTER (NOT leaky) AS b FROM m)
+SELECT round(a - b, 4) AS absolute, round((a - b) / b, 6) AS relative, true AS covered FROM g""")
+def inflation(t):
+    o = t.orders.select(F.col("o_custkey").alias("c"), F.col("o_totalprice").alias("y"), F.inline(F.array(F.struct(F.lit(True).alias("leaky"), (F.col("o_orderkey") % 5).alias("fold")), F.struct(F.lit(False).alias("leaky"), (F.col("o_custkey") % 5).alias("fold")))))
+    sums = lambda name, *by: o.groupBy(*by).agg(F.sum("y").alias(f"s_{name}"), F.count("*").alias(f"n_{name}"))
+    d = o.join(sums("a", "leaky", "c"), ["leaky", "c"]).join(sums("b", "leaky", "c", "fold"), ["leaky", "c", "fold"]).join(F.broadcast(sums("u", "leaky")), ["leaky"]).join(F.broadcast(sums("v", "leaky", "fold")), ["leaky", "fold"])
+    mean = lambda all_, out: (F.col(f"s_{all_}") - F.col(f"s_{out}")) / F.nullif(F.col(f"n_{all_}") - F.col(f"n_{out}"), F.lit(0))
+    folds = d.groupBy("leaky", "fold").agg((F.avg(F.abs(F.col("y") - F.coalesce(mean("a", "b"), mean("u", "v")))) / 1000).alias("metric"))
+    g = P.leakage_inflation(folds, ["fold"], "metric", "leaky", 300, 5)
+    return g.select(F.round("absolute", 4).alias("absolute"), F.round("relative", 6).alias("relative"), F.col("absolute").between(F.col("low"), F.col("high")).alias("covered"))
+
+
 @query("spl05_stratified_sample")
 def sample(t):
     d = P.stratified_sample(t.part.select("p_partkey", "p_type"), "p_type", "p_partkey", None, 3)

@@ -8,11 +8,24 @@ from ..plans.ordered import scan
 from .registry import query, rounded
 
 
-@query("txt01_document_hits", r"""
-SELECT doc_id, len(regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.-]+\b'))::INT AS email, len(regexp_extract_all(text, '(?i)\b(?:https?://|www\.)[^ \t\n\x0B\f\r]+'))::INT AS url,
- len(regexp_extract_all(text, '\b[A-Z]{2}\s+\d{5}(?:-\d{4})?\b'))::INT AS zip FROM documents""")
+#: Patterns that look behind a match: regular expressions of SQL cannot say them.
+LOOKING = [k for k, p in X.IDENTIFIERS.items() if "(?<!" in p]
+TOLD = [k for k in X.IDENTIFIERS if k not in LOOKING]
+
+
+def _sql(pattern):
+    """The pattern for SQL: white space as six signs, quotes doubled."""
+    return pattern.replace(r"\S", r"[^ \t\n\x0B\f\r]").replace("'", "''")
+
+
+@query("txt01_document_hits", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{_sql(X.IDENTIFIERS[k])}'))::INT AS {k}" for k in TOLD) + " FROM documents")
 def hits(t):
-    return X.document_hits(t.documents, ["doc_id"], "text", {k: X.IDENTIFIERS[k] for k in ("email", "url", "zip")})
+    return X.document_hits(t.documents, ["doc_id"], "text", {k: X.IDENTIFIERS[k] for k in TOLD})
+
+
+@query("txt01_document_hits_looking")
+def looking(t):
+    return X.document_hits(t.documents, ["doc_id"], "text", {k: X.IDENTIFIERS[k] for k in LOOKING})
 
 
 HEADER = r"(?:^|\n)([A-Z]\p{L}+)\."

@@ -12,6 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import poisson
 from ..functions.stats import t_p, two_sided_p
 from ..plans.lineage import cut
 from ..plans.ordered import quantiles, range_pairs, scan, value_ranks
@@ -166,6 +167,54 @@ def gray_zone(df: DataFrame, y: str, score: str, sensitivity: float = 0.9, speci
     return c.join(F.broadcast(b)).groupBy("lo", "hi").agg(F.sum("rows").alias("n"), (F.sum(F.when(F.col("s").between(F.col("lo"), F.col("hi")), F.col("rows")).otherwise(0)) / F.sum("rows")).alias("inside"))
 
 
+def replicate_counts(counts: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """Bootstrap replicates 1 to ``n`` of a score histogram: rep, s, pos, neg and rows; rows of one score are drawn together, as many as a Poisson number of the count says.
+
+    Rows of the source are never copied: a replicate has at most one row per distinct score.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start in range(0, len(b), max(1, 200_000 // n)):
+                part = b.iloc[start:start + max(1, 200_000 // n)]
+                pos, neg = poisson(part["key"].to_numpy(), part["pos"].to_numpy(), n, seed), poisson(part["key"].to_numpy(), part["neg"].to_numpy(), n, seed + 7)
+                row, rep = np.nonzero(pos + neg)
+                yield pd.DataFrame({"rep": rep + 1, "s": part["s"].to_numpy()[row], "pos": pos[row, rep], "neg": neg[row, rep], "rows": pos[row, rep] + neg[row, rep]})
+    return counts.select(F.xxhash64("s").alias("key"), "s", "pos", "neg").mapInPandas(run, "rep INT, s DOUBLE, pos DOUBLE, neg DOUBLE, rows DOUBLE")
+
+
+def gray_zone_limits(df: DataFrame, y: str, score: str, sensitivity: float = 0.9, specificity: float = 0.9, n: int = 500, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """The bounds of `gray_zone` with percentile limits of each: lo, lo_low, lo_high, hi, hi_low, hi_high, and the replicates with both classes that they rest on.
+
+    All replicates pass one cumulative count, keyed by replicate; a bound is the order statistic of the drawn histogram.
+    """
+    r = replicate_counts(score_counts(df, y, score), n, seed)
+    d = _both(_from_top(r, ["rep"]), r.groupBy("rep").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).filter("P > 0 AND N > 0"), ["rep"])
+    lo = F.coalesce(F.max(F.when(F.col("tp") >= (sensitivity - 1e-12) * F.col("P"), F.col("s"))), F.min("s"))
+    hi = F.coalesce(F.min(F.when(F.col("N") - F.col("fp") >= (specificity - 1e-12) * F.col("N"), F.col("s"))), F.max("s"))
+    per = d.groupBy("rep").agg(lo.alias("_a"), hi.alias("_b")).select(F.lit(1).alias("one"), F.least("_a", "_b").alias("lo"), F.greatest("_a", "_b").alias("hi"))
+    low, high = (quantiles(per, ["one"], c, {f"{c}_low": alpha / 2, f"{c}_high": 1 - alpha / 2}) for c in ("lo", "hi"))
+    point = gray_zone(df, y, score, sensitivity, specificity).select(F.lit(1).alias("one"), "lo", "hi")
+    used = per.groupBy("one").agg(F.count("*").alias("replicates"))
+    return point.join(low, "one").join(high, "one").join(used, "one").select("lo", "lo_low", "lo_high", "hi", "hi_low", "hi_high", "replicates")
+
+
+def matched_triage(df: DataFrame, y: str, score: str, rater: str, group: str) -> DataFrame:
+    """Missed cases of a yes/no rater and of a score per subgroup, at the score threshold that flags as many non-cases as the rater does (over-triage held equal).
+
+    One row per subgroup with a case: n_cases, threshold, rater_missed, model_missed.  A rater that flags no non-case puts the
+    threshold just above the highest score of one; a table without non-cases, at 1.
+    """
+    d = df.filter(F.col(y).isNotNull() & F.col(score).isNotNull() & F.col(rater).isNotNull())
+    case, on = F.col(y) == 1, F.col(rater) == 1
+    wanted = d.agg(F.count_if(~case & on).alias("k"))
+    falls = _from_top(score_counts(d, y, score), []).filter("neg > 0")
+    cut_ = falls.join(F.broadcast(wanted)).agg(F.max(F.when(F.col("fp") >= F.col("k"), F.col("s"))).alias("t"), F.max("s").alias("top"), F.max("k").alias("k"))
+    threshold = F.when(F.col("top").isNull(), 1.0).when(F.col("k") == 0, F.col("top") + 1e-9).otherwise(F.col("t"))
+    rows = d.filter(case).join(F.broadcast(cut_.select(threshold.alias("threshold"))))
+    missed = lambda c: F.avg((~c).cast("double"))
+    return rows.groupBy(group).agg(F.count("*").alias("n_cases"), F.max("threshold").alias("threshold"), missed(on).alias("rater_missed"), missed(F.col(score) >= F.col("threshold")).alias("model_missed"))
+
+
 def subgroup_metrics(df: DataFrame, y: str, p: str, group: str, threshold: float, min_n: int = 1) -> DataFrame:
     """n, prevalence, TPR, FPR, PPV, alert rate and AUROC per subgroup."""
     on = F.col(p) >= threshold

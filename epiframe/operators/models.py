@@ -7,10 +7,12 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.draws import normals, poisson
 from ..functions.stats import Z975, gammainc, norm_cdf, t_two_sided, two_sided_p
 from ..plans.lineage import cut
 from ..plans.ordered import quantiles, scan
@@ -31,6 +33,31 @@ def moments_by(df: DataFrame, by: Sequence[str], cols: Sequence[Column], w: Colu
     return named.groupBy(*by).agg(sums.alias("m"), F.count("*").alias("n"))
 
 
+def replicate_moments(df: DataFrame, cols: Sequence[Column], n: int, seed: int = 0) -> DataFrame:
+    """rep (0: all rows once) and array ``m`` as in `moments_by`, for ``n`` bootstrap replicates of rows.
+
+    Equal rows are counted first and drawn as a Poisson number of their count.  A task multiplies its rows' weights in all replicates
+    by their products, so rows are never copied; what it hands on is one row of sums per replicate and product.
+    """
+    names, pairs = [f"c{i}" for i in range(len(cols))], _pairs(len(cols))
+    cells = df.select(*[c.cast("double").alias(a) for a, c in zip(names, cols, strict=True)]).dropna().groupBy(*names).agg(F.count("*").alias("n"))
+    cells = cells.withColumn("key", F.xxhash64(*names))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n + 1, len(pairs)))
+        for b in batches:
+            v, count = b[names].to_numpy(float), b["n"].to_numpy(float)
+            for i in range(0, len(b), max(1, 400_000 // (n + 1))):
+                part = slice(i, i + max(1, 400_000 // (n + 1)))
+                weights = np.column_stack([count[part], poisson(b["key"].to_numpy()[part], count[part], n, seed)])
+                total += weights.T @ np.column_stack([v[part, j] * v[part, k] for j, k in pairs])
+        rep, place = np.indices(total.shape)
+        yield pd.DataFrame({"rep": rep.ravel(), "place": place.ravel(), "v": total.ravel()})
+    sums = cells.mapInPandas(run, "rep INT, place INT, v DOUBLE").groupBy("rep", "place").agg(F.sum("v").alias("v"))
+    # one product per place: a list of fixed length
+    return sums.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda r: r["v"]).alias("m"))
+
+
 def square(m, k: int) -> np.ndarray:
     out = np.zeros((k, k))
     for v, (i, j) in zip(m, _pairs(k)):
@@ -567,11 +594,11 @@ def extreme_counts(df: DataFrame, by: Sequence[str], z: str, limit: float = 1.96
 
 # --- text and clusters ------------------------------------------------------------------------------
 
-def tfidf(df: DataFrame, row_id: str, text: str, fit: Column, min_df: int = 2, n: int = 2):
-    """Sublinear TF-IDF vectors of 1..n word grams; vocabulary and document frequencies come from the masked rows.
+def tfidf_rows(df: DataFrame, row_id: str, text: str, fit: Column, min_df: int = 2, n: int = 2, max_features: int | None = None):
+    """row_id, ix and v: numbers and sublinear TF-IDF weights (of length one) of the 1..n word grams of each text that has any, and the vocabulary size.
 
-    Returns the rows with a sparse ``features`` column and the vocabulary size.  Terms are numbered by rank, so only
-    their count reaches the driver.
+    Vocabulary and document frequencies come from the masked rows; ``max_features`` keeps the terms in most documents (ties by term).  Terms are
+    numbered by rank, so only their count reaches the driver.
     """
     words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 2)
     d = df.select(row_id, fit.alias("_fit"), words.alias("_w"))
@@ -582,29 +609,111 @@ def tfidf(df: DataFrame, row_id: str, text: str, fit: Column, min_df: int = 2, n
     tf = d.select(row_id, "_fit", F.explode(grams).alias("term")).groupBy(row_id, "_fit", "term").agg(F.count("*").alias("c"))
     docs = df.filter(fit).count()
     vocab = tf.filter("_fit").groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
+    if max_features:
+        vocab = vocab.orderBy(F.desc("df"), "term").limit(max_features)
     vocab = scan(vocab, [], "df", {"ix": ("row_number", None)}, None, ["term"]).persist()
     size = vocab.count()
     w = (1 + F.log("c")) * (F.log((1.0 + docs) / (1.0 + F.col("df"))) + 1)
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    pairs = tf.join(vocab, "term").groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct((F.col("ix") - 1).cast("int").alias("i"), w.alias("v")))).alias("_p"))
+    raw = F.transform("_p", lambda r: r["v"])
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, v: a + v * v))
+    rows = pairs.select(row_id, F.transform("_p", lambda r: r["i"]).alias("ix"), raw.alias("v"), norm.alias("_norm"))
+    return rows.select(row_id, "ix", F.transform("v", lambda v: v / F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(1.0)).alias("v")), size
 
-    @F.udf(VectorUDT())
-    def sparse(ix, v):
-        norm = math.sqrt(sum(x * x for x in v)) or 1.0
-        return SparseVector(size, ix, [x / norm for x in v])
 
-    pairs = tf.join(vocab, "term").groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct((F.col("ix") - 1).cast("int").alias("i"), w.alias("v")))).alias("_p"))
-    vec = pairs.select(row_id, sparse(F.transform("_p", lambda r: r["i"]), F.transform("_p", lambda r: r["v"])).alias("features"))
-    return df.join(vec, row_id), size
+def tfidf(df: DataFrame, row_id: str, text: str, fit: Column, min_df: int = 2, n: int = 2):
+    """The rows with a sparse vector column ``features`` of `tfidf_rows`, and the vocabulary size."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+    rows, size = tfidf_rows(df, row_id, text, fit, min_df, n)
+    sparse = F.udf(lambda ix, v: SparseVector(size, ix, v), VectorUDT())
+    return df.join(rows.select(row_id, sparse("ix", "v").alias("features")), row_id), size
+
 
+def truncated_svd(rows: DataFrame, size: int, k: int, fit: Column | None = None, extra: int = 10, tol: float = 1e-6, most: int = 60, seed: int = 0) -> tuple[DataFrame, np.ndarray, bool]:
+    """(scores, values, converged) of sparse rows with arrays ``ix`` and ``v`` over ``size`` columns: every row with ``k`` scores, the singular values, and
+    whether they stood still.
 
-def text_classifier(df: DataFrame, row_id: str, text: str, labels: Sequence[str], fit: Column, min_pos: int = 5, reg: float = 0.01) -> DataFrame:
+    A randomised range finder: ``k + extra`` directions start from hashes of the column numbers, and each pass multiplies them by X'X in tasks (a
+    row's part is the outer product of its few entries) and makes them orthonormal again, until no singular value moves by more than ``tol``.  Only the
+    directions, ``size`` x (k + extra), reach the driver and the tasks, so bound ``size`` by a vocabulary limit.  A component's
+    largest loading is positive.
+    """
+    rank = min(size, k + extra)
+    k = min(k, rank)
+    source = (rows if fit is None else rows.filter(fit)).select("ix", "v")
+    spark = rows.sparkSession
+    basis = np.linalg.qr(normals(np.arange(size), rank, seed))[0] if size else np.zeros((0, 0))
+    values, converged = np.zeros(rank), size == 0
+
+    def multiplied(basis):
+        held = spark.sparkContext.broadcast(basis)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, total = held.value, np.zeros((size, rank))
+            for b in batches:
+                ix, v = b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
+                row = np.repeat(np.arange(b.num_rows), b.column(0).value_lengths().to_numpy(zero_copy_only=False))
+                for i in range(rank):
+                    own = np.bincount(row, v * w[ix, i], b.num_rows)
+                    total[:, i] += np.bincount(ix, v * own[row], size)
+            some = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["i", "t"])
+        parts = source.mapInArrow(run, "i INT, t ARRAY<DOUBLE>").groupBy("i").agg(*[F.sum(F.col("t")[j]).alias(f"t{j}") for j in range(rank)]).toArrow()
+        out = np.zeros((size, rank))
+        out[parts.column("i").to_numpy()] = np.column_stack([parts.column(f"t{j}").to_numpy() for j in range(rank)]) if parts.num_rows else 0.0
+        held.unpersist()
+        return out
+
+    for _ in range(most if size else 0):
+        image = multiplied(basis)
+        # within the directions X'X is a small matrix: its eigenvectors turn them to the singular ones
+        small, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
+        now, turn = np.sqrt(np.maximum(small[::-1], 0.0)), turn[:, ::-1]
+        converged = bool(np.all(np.abs(now[:k] - values[:k]) <= tol * max(now[0], 1e-300)))
+        values, loadings = now, basis @ turn
+        if converged:
+            break
+        basis = np.linalg.qr(image)[0]
+    loadings = loadings[:, :k] if size else np.zeros((0, k))
+    if size:
+        loadings = loadings * np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
+    told = spark.sparkContext.broadcast(loadings)
+    names = [c for c in rows.columns if c not in ("ix", "v")]
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = len(names)
+            ix, v = b.column(n).flatten().to_numpy(), b.column(n + 1).flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), b.column(n).value_lengths().to_numpy(zero_copy_only=False))
+            scores = np.column_stack([np.bincount(row, v * told.value[ix, i], b.num_rows) for i in range(k)]) if k else np.zeros((b.num_rows, 0))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(list(scores), pa.list_(pa.float64()))], names=[*names, "scores"])
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.select(*names, "ix", "v").mapInArrow(project, f"{kinds}, scores ARRAY<DOUBLE>"), values[:k], converged
+
+
+def text_components(df: DataFrame, row_id: str, text: str, k: int, fit: Column | None = None, min_df: int = 2, n: int = 2, max_features: int = 20_000, seed: int = 0) -> tuple[DataFrame, np.ndarray, bool]:
+    """`truncated_svd` of TF-IDF: row_id and ``k`` scores of every row (zeros for a text without a known term), singular values, and whether they converged."""
+    fit = F.lit(True) if fit is None else fit
+    rows, size = tfidf_rows(df, row_id, text, fit, min_df, n, max_features)
+    rows = rows.join(df.select(row_id, fit.alias("_fit")), row_id).persist()
+    scores, values, converged = truncated_svd(rows, size, k, F.col("_fit"), seed=seed)
+    none = F.array_repeat(F.lit(0.0), len(values))
+    return df.select(row_id).join(scores.select(row_id, "scores"), row_id, "left").select(row_id, F.coalesce("scores", none).alias("scores")), values, converged
+
+
+def text_classifier(df: DataFrame, row_id: str, text: str, labels: Sequence[str], fit: Column, min_pos: int = 5, reg: float = 0.01, components: int | None = None) -> DataFrame:
     """One class-balanced logistic model per label on TF-IDF; labels with fewer than ``min_pos`` positives are dropped.
 
-    Gives a probability and a thresholded label per row and kept label; no row when no label is kept.
+    With ``components`` the models see that many scores of a truncated SVD in place of the terms.  Gives a probability and a thresholded label
+    per row and kept label; no row when no label is kept.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-    x, _ = tfidf(df, row_id, text, fit)
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    if components:
+        scores, _, _ = text_components(df, row_id, text, components, fit)
+        x = df.join(scores.select(row_id, array_to_vector("scores").alias("features")), row_id)
+    else:
+        x, _ = tfidf(df, row_id, text, fit)
     x = x.withColumn("_fit", fit).persist()
     counts = x.filter("_fit").agg(F.count("*").alias("n"), *[F.sum(F.col(c)).alias(c) for c in labels]).first()
     out = None
@@ -719,17 +828,17 @@ def transfer_matrix(df: DataFrame, domain: str, fold: str, y: str, vec: str, pen
 def mediation(df: DataFrame, x: str, m: str, y: str, covars: Sequence[str] = (), cluster: str | None = None, n_boot: int = 200, seed: int = 0) -> DataFrame:
     """Total, direct and indirect (a * b) effects with a percentile bootstrap of the indirect one.
 
-    Moments are summed per cluster (or per hash bucket of rows when there is none, which is a bucket bootstrap);
-    a replicate reweights those and solves two small systems.
+    With ``cluster`` whole clusters are drawn, by their summed moments; without it rows are (`replicate_moments`).
+    A replicate solves two small systems.
     """
     cols = [F.lit(1.0), F.col(x), *[F.col(c) for c in covars], F.col(m), F.col(y)]
     k = len(cols)
-    d = df if cluster else df.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(2000)))
-    key = cluster or "_bucket"
-    per = moments_by(d, [key], cols)
-    r = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot)))).withColumn("_w", F.when(F.col("rep") == 0, 1.0).otherwise(poisson_weight(n_boot, [key], seed)))
-    size = len(_pairs(k))
-    sums = r.groupBy("rep").agg(F.array(*[F.sum(F.col("_w") * F.col("m")[i]) for i in range(size)]).alias("m"))
+    if cluster:
+        per = moments_by(df, [cluster], cols)
+        r = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot)))).withColumn("_w", F.when(F.col("rep") == 0, 1.0).otherwise(poisson_weight(n_boot, [cluster], seed)))
+        sums = r.groupBy("rep").agg(F.array(*[F.sum(F.col("_w") * F.col("m")[i]) for i in range(len(_pairs(k)))]).alias("m"))
+    else:
+        sums = replicate_moments(df, cols, n_boot, seed)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import SLICE, axis, quantiles, scan
+from .evaluation import cluster_bootstrap
 from .joins import hash_order
 
 PIECES = 64
@@ -90,6 +91,21 @@ def leakage_audit(df: DataFrame, subject: str, record: Sequence[str], time: str,
     return out.withColumn("clean", (F.col("shared_subjects") == 0) & (F.col("shared_records") == 0) & (F.col("near_rows") == 0))
 
 
+def leakage_inflation(folds: DataFrame, fold: Sequence[str], metric: str, leaky: str, n_boot: int = 1000, seed: int = 0) -> DataFrame:
+    """How much a metric gains from a leaky split: mean over leaky folds less mean over clean ones (``absolute``), the same over the clean mean
+    (``relative``), and percentile limits with folds drawn anew.
+
+    ``folds`` has one metric per fold (or subject) and split kind, ``leaky`` tells the kind; null metrics are left out.
+    """
+    yes = F.col(leaky) & F.col(metric).isNotNull()
+    no = ~F.col(leaky) & F.col(metric).isNotNull()
+    d = folds.select(*fold, leaky, *[F.when(w, v).otherwise(0.0).alias(name) for name, w, v in (("sa", yes, F.col(metric)), ("na", yes, F.lit(1.0)), ("sb", no, F.col(metric)), ("nb", no, F.lit(1.0)))])
+    gain = F.col("sa") / F.nullif(F.col("na"), F.lit(0.0)) - F.col("sb") / F.nullif(F.col("nb"), F.lit(0.0))
+    out = cluster_bootstrap(d, [leaky, *fold], gain, ["sa", "na", "sb", "nb"], n_boot, seed)
+    clean = folds.filter(no).agg(F.avg(metric).alias("_m"))
+    return out.join(F.broadcast(clean)).select(F.col("estimate").alias("absolute"), (F.col("estimate") / F.greatest(F.abs("_m"), F.lit(1e-12))).alias("relative"), "low", "high")
+
+
 def stratified_sample(df: DataFrame, by: str, row_id: str, k: int | None = None, seed: int = 0) -> DataFrame:
     """``k`` rows of each class in hash order, or as many as the smallest class has (``k=None``)."""
     ranked = _hash_ranked(df, row_id, seed, [by])
