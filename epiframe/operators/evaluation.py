@@ -17,6 +17,7 @@ from ..functions.stats import t_p, two_sided_p
 from ..plans.lineage import cut
 from ..plans.ordered import quantiles, range_pairs, scan, value_ranks
 from .joins import closest_pairs
+from .permutations import permuted_means
 from .timeseries import merge_events, split_events
 
 
@@ -341,14 +342,13 @@ def cluster_bootstrap(sums: DataFrame, group: Sequence[str], stat: Column, parts
 def permutation_test(df: DataFrame, row_id: str, label: str, value: str, strata: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """Difference of means between labels 1 and 0 against shuffles of the label inside strata; p = (1 + #>=) / (1 + n), two-sided.
 
-    Each replicate re-ranks rows by hash inside the stratum and gives label 1 to as many as had it.
+    Labels are drawn over the counts of distinct values (`permuted_sums`); rows with a null label take no part.
     """
-    ones = df.groupBy(*strata).agg(F.sum(label).alias("_ones"))
-    r = df.select(row_id, label, value, *strata).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    r = r.withColumn("_h", F.xxhash64(F.lit(seed), "rep", row_id))
-    r = _both(scan(r, ["rep", *strata], "_h", {"_rk": ("row_number", None)}, 2.0 ** 61, [row_id]), ones, strata)
-    lab = F.when(F.col("rep") == 0, F.col(label)).otherwise((F.col("_rk") <= F.col("_ones")).cast("int"))
-    per = r.groupBy("rep").agg((F.avg(F.when(lab == 1, F.col(value))) - F.avg(F.when(lab == 0, F.col(value)))).alias("d"))
+    d = df.filter(F.col(label).isNotNull())
+    per = permuted_means(d, strata, label, value, n, seed)
+    whole = d.agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count(value).alias("_c"))
+    rest = F.col("_c") - F.col("count")
+    per = per.join(F.broadcast(whole)).select("rep", (F.col("sum") / F.when(F.col("count") > 0, F.col("count")) - (F.col("_s") - F.col("sum")) / F.when(rest > 0, rest)).alias("d"))
     seen = per.filter("rep = 0").select(F.col("d").alias("observed"))
     return per.filter("rep > 0").join(F.broadcast(seen)).groupBy("observed").agg(
         F.count("*").alias("n"), ((1 + F.sum((F.abs("d") >= F.abs("observed") - 1e-12).cast("int"))) / (1 + F.count("*"))).alias("p"))

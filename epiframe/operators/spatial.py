@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..plans.ordered import quantiles, scan, value_ranks
+from .permutations import permuted_means
 
 BLOCK_ROWS = 2048
 
@@ -164,16 +165,14 @@ def morans_i_distance(points: DataFrame, value: str, coords: Sequence[str]) -> D
 def matched_set_enrichment(scores: DataFrame, item: str, score: str, member: str, match_on: str, bins: int, n: int, seed: int = 0) -> DataFrame:
     """Mean score of the set against random sets with the same number of items per quantile bin of ``match_on``.
 
-    z and p = (1 + #>=) / (1 + n).  A replicate ranks items by hash inside the bin and takes as many as the set has there.
+    z and p = (1 + #>=) / (1 + n).  A random set is drawn over the counts of distinct scores in each bin (`permuted_sums`).
     """
     r = value_ranks(scores, [], match_on).select(F.col(match_on).cast("double").alias("_m"), "below")
     total = scores.filter(F.col(match_on).isNotNull()).agg(F.count("*").alias("_t"))
     d = scores.withColumn("_m", F.col(match_on).cast("double")).join(r, "_m").join(F.broadcast(total))
-    d = d.select(item, score, F.col(member).cast("int").alias("_in"), F.least(F.floor(F.col("below") * bins / F.col("_t")), F.lit(bins - 1)).cast("int").alias("_bin"))
-    size = d.groupBy("_bin").agg(F.sum("_in").alias("_k"))
-    reps = d.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_h", F.xxhash64(F.lit(seed), "rep", item))
-    ranked = scan(reps, ["rep", "_bin"], "_h", {"_rk": ("row_number", None)}, 2.0 ** 61, [item]).join(F.broadcast(size), "_bin").filter(F.col("_rk") <= F.col("_k"))
-    null = ranked.groupBy("rep").agg(F.avg(score).alias("v"))
-    seen = d.filter("_in = 1").agg(F.avg(score).alias("observed"), F.count("*").alias("set_size"))
+    d = d.select(F.col(score).alias("_v"), F.coalesce(F.col(member).cast("int"), F.lit(0)).alias("_in"), F.least(F.floor(F.col("below") * bins / F.col("_t")), F.lit(bins - 1)).cast("int").alias("_bin"))
+    sums = permuted_means(d, ["_bin"], "_in", "_v", n, seed)
+    null = sums.filter("rep > 0").select((F.col("sum") / F.when(F.col("count") > 0, F.col("count"))).alias("v"))
+    seen = d.filter("_in = 1").agg(F.avg("_v").alias("observed"), F.count("*").alias("set_size"))
     j = null.join(F.broadcast(seen)).groupBy("observed", "set_size").agg(F.avg("v").alias("null_mean"), F.stddev_samp("v").alias("_sd"), ((1 + F.sum((F.col("v") >= F.col("observed")).cast("int"))) / (1 + F.count("*"))).alias("p"))
     return j.select("set_size", "observed", "null_mean", ((F.col("observed") - F.col("null_mean")) / F.col("_sd")).alias("z"), "p")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.stats import Z975, gamma_ppf, gammainc, t_p, t_ppf, two_sided_p
 from ..plans.ordered import ordered_pairs, quantiles, scan, value_ranks
+from .permutations import permuted_sums
 
 
 def adjust_pvalues(df: DataFrame, p: str, row_id: Sequence[str], group: Sequence[str] = (), method: str = "bh", alpha: float | None = None) -> DataFrame:
@@ -123,19 +124,29 @@ def profile_divergence(items: DataFrame, group: str, a: str, b: str, item: str,
 def profile_permutation(reports: DataFrame, report: str, group: str, a: str, b: str, item: str, top_k: int, n: int, seed: int = 0) -> DataFrame:
     """Observed divergence and p: the share of report-level relabelings with at least that divergence.
 
-    The vocabulary is fixed by the pooled reports.  Labels are shuffled between reports in
-    hash order per replicate, so both groups keep their sizes.
+    The vocabulary is fixed by the pooled reports.  A replicate draws as many reports as group ``a`` has, without replacement, so both
+    groups keep their sizes (`permuted_sums`: reports with the same items are one cell, items a few sums).
     """
     d = reports.filter(F.col(group).isin(a, b))
-    who = d.groupBy(report).agg(F.max((F.col(group) == a).cast("int")).alias("_a"))
-    size = who.agg(F.sum("_a").alias("_na"))
-    vocab = d.groupBy(item).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), item).limit(top_k).select(item)
-    reps = who.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    reps = reps.withColumn("_h", F.xxhash64(F.lit(seed), "_rep", report))
-    ranked = scan(reps, ["_rep"], "_h", {"_rk": ("row_number", None)}, 2.0 ** 58, [report])
-    lab = ranked.join(F.broadcast(size)).select(report, "_rep", F.when(F.col("_rep") == 0, F.col("_a")).otherwise((F.col("_rk") <= F.col("_na")).cast("int")).alias("_l"))
-    x = d.select(report, item).join(F.broadcast(vocab), item, "left_semi").join(lab, report)
-    c = x.groupBy("_rep", item).agg(F.sum("_l").alias("_p"), F.sum(1 - F.col("_l")).alias("_q"))
+    vocab = d.groupBy(item).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), item).limit(top_k)
+    # numbers 0 to top_k - 1: one row for each item kept
+    places = vocab.agg(F.array_sort(F.collect_list(item)).alias("_i")).select(F.posexplode("_i").alias("_at", item))
+    who = d.groupBy(report).agg(F.max((F.col(group) == a).cast("int")).alias("k"))
+    held = d.join(F.broadcast(places), item).groupBy(report, "_at").agg(F.count("*").alias("_c"))
+    held = held.groupBy(report).agg(F.array_sort(F.collect_list(F.struct("_at", "_c"))).alias("held"))
+    cells = who.join(held, report, "left").groupBy("held").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+    cells = cells.select("n", "k", F.xxhash64("held").alias("key"), F.transform("held", lambda x: x["_at"]).alias("at"), F.transform("held", lambda x: x["_c"]).alias("c"))
+
+    def prepare(rows: pd.DataFrame):
+        filled = [x if x is not None else [] for x in rows["at"]]
+        at = np.concatenate([np.asarray(x, np.int64) for x in filled]) if len(filled) else np.zeros(0, np.int64)
+        c = np.concatenate([np.asarray(x if x is not None else [], float) for x in rows["c"]])
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in filled])
+        return lambda x: np.bincount(at, c * x[row], top_k)
+    sums = permuted_sums(cells, [], prepare, n, seed)
+    all_ = d.join(F.broadcast(places), item).groupBy("_at").agg(F.count("*").alias("_n"))
+    reps = all_.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n))))          # top_k rows each
+    c = reps.join(sums.withColumnRenamed("place", "_at"), ["rep", "_at"], "left").select(F.col("rep").alias("_rep"), F.coalesce("v", F.lit(0.0)).alias("_p"), (F.col("_n") - F.coalesce("v", F.lit(0.0))).alias("_q"))
     t = c.groupBy("_rep").agg(F.sum("_p").alias("_tp"), F.sum("_q").alias("_tq"))
     s = c.join(F.broadcast(t), "_rep").select("_rep", (F.col("_p") / F.col("_tp")).alias("p"), (F.col("_q") / F.col("_tq")).alias("q"))
     m = (F.col("p") + F.col("q")) / 2
