@@ -26,8 +26,8 @@ def cut(df: DataFrame, **options: int) -> DataFrame:
 
 
 def crc_remainder(doc_id: str, divisor: int) -> Column:
-    """crc32 of the identifier as text, modulo ``divisor``."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(divisor)).cast("int")
+    """crc32 of the identifier as text, modulo ``divisor``; a null identifier counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(divisor)).cast("int")
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

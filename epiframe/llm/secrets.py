@@ -154,14 +154,14 @@ def _generated(rng: random.Random) -> tuple[str, int]:
 
 
 def planted_findings(docs: DataFrame, text: str = "text", path: str | None = None, sample: int = SAMPLE) -> DataFrame:
-    """Labelled findings (body, begin, stop, path, label) from about ``sample`` documents, drawn by hash of their text.
+    """Labelled findings (body, begin, stop, path, label) from about ``sample`` different texts, drawn by hash.
 
-    Secrets and look-alikes are planted between words; their spans carry their labels.  Candidates of the document itself that are
-    letters throughout and unassigned are labelled 0, the others stay out, since they may be secrets.
+    Secrets and look-alikes are planted between words; their spans carry their labels.  The first three candidates of the document itself that are
+    letters throughout and unassigned are labelled 0 (more would only weigh long documents); the others stay out, since they may be secrets.
     """
     rows = docs.select(F.col(f"`{text}`").alias("body"), (F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path else F.lit("")).alias("path")).filter("body IS NOT NULL")
-    total = rows.count()
-    drawn = rows.filter(F.pmod(F.xxhash64("body", F.lit(7)), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / max(1, total)) * (1 << 20)))).limit(2 * sample)
+    total = rows.agg(F.approx_count_distinct(F.xxhash64("body", F.lit(7)))).first()[0]
+    drawn = rows.filter(F.pmod(F.xxhash64("body", F.lit(7)), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / max(1, total)) * (1 << 20)))).dropDuplicates(["body", "path"])
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -154,3 +154,25 @@ def test_transcripts(spark):
     assert len(out) == 6 and all(r.rendered.startswith("<|") for r in out if r.turn_begin)
     empty = chat.observed(chat.transcript_lines(df.filter("false")), "conv_id", "line_no", "line")
     assert chat.recover_roles(empty, chat.fit(empty, "role", "begins", "previous")).collect() == []
+
+
+def test_copies_of_one_text_are_one_in_the_language_sample(spark):
+    """A hot group of copies neither crowds out other languages nor other texts, and a rerun fits the same."""
+    import random
+
+    from epiframe.llm import langid
+    rng = random.Random(11)
+    words = {"de": ["und", "schön", "straße", "nicht"], "en": ["the", "with", "house", "away"], "fr": ["très", "où", "garçon", "voilà"], "es": ["año", "niño", "qué", "está"]}
+    text = {k: lambda k=k: " ".join(rng.choice(words[k]) for _ in range(12)) for k in words}
+    rows = [("de", "und nicht straße")] * 2000 + [(k, text[k]()) for k in words for _ in range(40)] + [("en", None), (None, "the house")]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(6)
+    model, again = (langid.fit(d, "text", "lang", 80) for d in (df, df.repartition(3)))
+    assert sorted(x for f in model.families for x in f) == sorted(words) and (model.weights == again.weights).all()
+    held = spark.createDataFrame([(k, text[k]()) for k in words for _ in range(20)], "lang string, text string")
+    assert langid.identify(held, model).filter("lang <> lang_pred").count() == 0
+
+
+def test_null_identifiers_are_not_held_out_by_accident(spark):
+    from epiframe.llm.common import crc_remainder
+    df = spark.createDataFrame([(None,), (1,)], "doc_id long")
+    assert all(r[0] in range(4) for r in df.select(crc_remainder("doc_id", 4)).collect())
