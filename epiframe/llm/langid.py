@@ -38,7 +38,7 @@ def family_of(language: str, families=FAMILIES) -> str:
 
 def histograms(texts: list[bytes]) -> np.ndarray:
     """Shares of the hashed letter trigrams of each text, one row a text; rows of texts without any are zero."""
-    letters = _LETTER[np.frombuffer(b"  ".join(texts) + b"  ", np.uint8)].astype(np.uint32)
+    letters = _LETTER[np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)].astype(np.uint32)       # a trigram belongs to the text of its middle letter
     codes = (letters[:-2] * np.uint32(2654435761) + letters[1:-1] * np.uint32(2246822519) + letters[2:] * np.uint32(3266489917)) >> np.uint32(20)
     real = (letters[1:-1] != 32)
     owner = np.repeat(np.arange(len(texts)), [len(x) + 2 for x in texts])[:-2]
