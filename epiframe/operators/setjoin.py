@@ -1,8 +1,7 @@
 """Exact similarity search over sets of shingles: prefix filter on the rarest shingles, length and position bounds, blocks of split groups.
 
 Two sets of Jaccard similarity t or more must share a shingle among the first n - ceil(t n) + 1 of each, in any order of all shingles; with the
-rarest first, few other sets do.  Sets whose prefix by hash meets no other leave first, unread; then those that share fewer shingles with anyone
-than t asks for.  The rest is dealt
+rarest first, few other sets do.  Sets that share fewer shingles with anyone than t asks for leave at once.  The rest is dealt
 into blocks by the first shingle that they share, a hot one into several, so that like sets lie together.  Prefix shingles
 link blocks, not sets: a block tells its shortest and longest set and how much can follow the shingle, and two blocks whose bounds allow
 no pair are not linked.  Linked blocks meet in one task, where every pair is decided on whole sets.  Neither a shingle's sets nor
@@ -33,33 +32,13 @@ def _mark(hashes: str) -> Column:
     return F.concat(F.hex(F.xxhash64(F.lit(1), hashes)), F.lit("-"), F.hex(F.xxhash64(F.lit(2), hashes)))
 
 
-def near_classes(docs: DataFrame, row_id: str, shingles: Column, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, near): as `set_classes`, classes without their sets, and in ``near`` those with their sets that can have a partner.
-
-    Any order of the shingles will do for a prefix; the hashes give one without counting them.  Only the prefixes of all classes are dealt
-    out, and a class none of whose prefix shingles stands in another prefix has no partner; texts of the others are read again.
-    """
-    d = docs.select(F.col(row_id).alias("row_id"), _hashed(shingles).alias("set"))
-    n = F.size("set")
-    d = written(d.select("row_id", _mark("set").alias("mark"), n.alias("n"), F.slice("set", F.lit(1), F.when(n > 0, n - _needed(t, n) + 1).otherwise(0)).alias("prefix")))
-    classes = written(d.groupBy("mark").agg(F.min("row_id").alias("class_id"), F.count("*").alias("n_rows"), F.max("n").alias("n"), F.min_by("prefix", "mark").alias("prefix")))
-    postings = classes.select("mark", F.explode("prefix").alias("h"))
-    met = postings.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    marks = written(postings.join(met, "h").select("mark").distinct())
-    asked = written(classes.join(marks, "mark").select("mark", "class_id", "n_rows", "n"))
-    again = docs.join(asked, docs[row_id].eqNullSafe(asked["class_id"])).select("mark", "class_id", "n_rows", "n", _hashed(shingles).alias("set"))
-    # a row_id may have several texts, a class several rows of its row_id
-    near = again.filter(_mark("set") == F.col("mark")).groupBy("mark", "class_id", "n_rows", "n").agg(F.first("set").alias("set"))
-    return d.select("row_id", "mark"), classes.drop("prefix"), written(near)
-
-
 def set_classes(docs: DataFrame, row_id: str, shingles: Column) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): row_id and mark of every row, and per class (rows of equal sets) its mark, class_id (smallest row_id), n_rows, n and the sorted set.
+    """(members, classes): row_id and mark of every row, and per class (rows of equal sets) its mark, a number cid, class_id (smallest row_id), n_rows, n and the sorted set.
 
     ``shingles`` is an array of strings; its distinct values become 64-bit hashes.  Empty sets are one class.
     """
     d = docs.select(F.col(row_id).alias("row_id"), _hashed(shingles).alias("set")).withColumn("mark", _mark("set"))
-    classes = written(d.groupBy("mark").agg(F.min("row_id").alias("class_id"), F.count("*").alias("n_rows"), F.min_by("set", "row_id").alias("set")).withColumn("n", F.size("set")))
+    classes = written(d.groupBy("mark").agg(F.min("row_id").alias("class_id"), F.count("*").alias("n_rows"), F.min_by("set", "row_id").alias("set")).withColumn("n", F.size("set")).withColumn("cid", F.monotonically_increasing_id()))
     return d.select("row_id", "mark"), classes
 
 
@@ -70,17 +49,17 @@ def _needed(t: float, n: Column) -> Column:
 
 def _blocks(classes: DataFrame, t: float, limit: int) -> DataFrame:
     """Classes that can have a partner: with their prefix (shingle, shingles from there on) and a block."""
-    rows = classes.select("mark", "n", F.explode("set").alias("h"))
+    rows = classes.select("cid", "n", F.explode("set").alias("h"))
     counts = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     # the shingles of one set, at most the set itself
-    shared = rows.join(counts, "h").groupBy("mark", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("shared"))
+    shared = rows.join(counts, "h").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("shared"))
     d = shared.filter(F.size("shared") >= _needed(t, F.col("n")))
     alone = F.col("n") - F.size("shared")
     left = F.col("n") - _needed(t, F.col("n")) + 1 - alone
     prefix = F.transform(F.slice("shared", F.lit(1), left), lambda x, i: F.struct(x["h"].alias("h"), (F.size("shared") - i).alias("rest")))
-    d = written(d.select("mark", "n", prefix.alias("prefix")).withColumn("lead", F.col("prefix")[0]["h"]))
+    d = written(d.select("cid", "n", prefix.alias("prefix")).withColumn("lead", F.col("prefix")[0]["h"]))
     parts = d.groupBy("lead").agg(F.ceil(F.sum("n") / limit).cast("int").alias("parts"))
-    return d.join(parts, "lead").withColumn("block", F.xxhash64("lead", F.pmod(F.xxhash64("mark"), F.col("parts")))).select("mark", "n", "prefix", "block")
+    return d.join(parts, "lead").withColumn("block", F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.col("parts")))).select("cid", "n", "prefix", "block")
 
 
 def _linked(blocks: DataFrame, t: float) -> DataFrame:
@@ -127,14 +106,14 @@ def _pairs(rows: pa.Table, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _cells(classes: DataFrame, t: float, limit: int) -> DataFrame:
-    """The rows of each pair of linked blocks: cell, side, mark, class_id, n_rows and set."""
+    """The rows of each pair of linked blocks: cell, side, cid, class_id, n_rows and set."""
     blocks = written(_blocks(classes.filter("n > 0"), t, limit))
     linked = _linked(blocks, t).withColumn("cell", F.xxhash64("a", "b"))
     # a block that meets itself is one side
     sides = linked.select("cell", F.inline(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side"))))
                                            .otherwise(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side"))))))
-    whole = blocks.select("mark", "block").join(classes, "mark")
-    return sides.join(whole, "block").select("cell", "side", "mark", "class_id", "n_rows", "set")
+    whole = blocks.select("cid", "block").join(classes, "cid")
+    return sides.join(whole, "block").select("cell", "side", "cid", "class_id", "n_rows", "set")
 
 
 def similar_pairs(classes: DataFrame, t: float, limit: int = BLOCK_SHINGLES) -> DataFrame:
@@ -157,8 +136,7 @@ def similar_documents(docs: DataFrame, row_id: str, text: str, k: int = 5, thres
     repeated rows are rows of their own, and one row_id with two texts is in two classes.  Links of one task are summed there, so a group of like texts costs its comparisons, not its pairs as rows.
     """
     words = F.when(F.col(text).rlike(r"[\p{L}\p{N}]"), word_shingles(F.col(text), k))
-    docs = docs.select(row_id, text)
-    members, classes, near = near_classes(docs, row_id, words, threshold)
+    members, classes = set_classes(docs, row_id, words)
     kind = classes.schema["class_id"].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
@@ -170,10 +148,10 @@ def similar_documents(docs: DataFrame, row_id: str, text: str, k: int = 5, thres
         order = np.lexsort([rank[other], -value, own])
         some, first = np.unique(own[order], return_index=True)
         best = order[first]
-        return pa.table([rows.column("mark").combine_chunks().take(pa.array(some)), pa.array(links[some]), ids.take(pa.array(other[best])), pa.array(value[best])], names=["mark", "links", "best_id", "best_similarity"])
-    cells = _cells(near, threshold, limit).groupBy("cell").applyInArrow(run, f"mark string, links long, best_id {kind}, best_similarity double")
+        return pa.table([rows.column("cid").combine_chunks().take(pa.array(some)), pa.array(links[some]), ids.take(pa.array(other[best])), pa.array(value[best])], names=["cid", "links", "best_id", "best_similarity"])
+    cells = _cells(classes, threshold, limit).groupBy("cell").applyInArrow(run, f"cid long, links long, best_id {kind}, best_similarity double")
     # the most similar first, of equal ones the smallest: a negated similarity puts both in one minimum
-    told = cells.groupBy("mark").agg(F.sum("links").alias("links"), F.min(F.struct((-F.col("best_similarity")).alias("s"), F.col("best_id").alias("id"))).alias("best"))
-    per_class = classes.select("mark", "class_id", "n_rows", "n").join(told, "mark", "left")
+    told = cells.groupBy("cid").agg(F.sum("links").alias("links"), F.min(F.struct((-F.col("best_similarity")).alias("s"), F.col("best_id").alias("id"))).alias("best"))
+    per_class = classes.select("cid", "mark", "class_id", "n_rows", "n").join(told, "cid", "left")
     return members.join(per_class, "mark").select(F.col("row_id").alias(row_id), F.col("n").cast("long").alias("n_shingles"), "class_id", F.col("n_rows").alias("class_rows"), F.coalesce("links", F.lit(0).cast("long")).alias("links"),
                                                       F.col("best.id").alias("best_id"), (-F.col("best.s")).alias("best_similarity"))
