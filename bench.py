@@ -8,8 +8,8 @@ import time
 
 HEADLINE = ["rel06_group_aggregate", "rel07_distinct", "rel12_row_number", "src04_explode_pairs", "nrm06_code_flags", "jon01_interval_join", "jon02_nearest_join", "jon03_asof_join", "jon09_pairs_within",
             "tim01_to_grid", "tim02_calendar_counts", "tim09_sessionize", "tim17_cusum", "tim24_transitions", "agg01_two_by_two", "agg02_disproportionality", "agg06_three_way", "agg08_cumulative_tables", "agg15_group_quantiles",
-            "agg18_set_overlap", "agg27_rank_agreement", "srv02_kaplan_meier", "srv05_concordance", "srv07_landmark_dataset", "mod02_att_group_time", "mod08_ols", "evl01_auroc", "evl05_net_benefit", "evl13_delong",
-            "spl04_leakage_audit", "mul02_run_specs", "cln01_visit_cohort", "cln03_sofa", "cln05_kdigo", "rlt01_trajectories", "txt01_document_hits", "txt08_coverage_scores", "grf02_depth", "grf05_tree_metrics", "spt03_morans_i"]
+            "agg18_set_overlap", "agg27_rank_agreement", "srv02_kaplan_meier", "srv05_concordance", "srv07_landmark_dataset", "mod02_att_group_time", "mod08_ols", "evl01_auroc", "evl05_net_benefit", "evl12_permutation_test", "evl13_delong",
+            "spl04_leakage_audit", "mul02_run_specs", "cln01_visit_cohort", "cln03_sofa", "cln05_kdigo", "rlt01_trajectories", "txt01_document_hits", "txt07_similar_documents", "txt08_coverage_scores", "grf02_depth", "grf05_tree_metrics", "spt03_morans_i", "spt05_matched_enrichment"]
 
 
 def main() -> None:
