@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordered import scan
 from .common import cut
 
-#: Line numbers of a chunk; a turn's lines follow each other from turn * 2^20 on.
-CHUNK_TURNS, TURN_LINES = 256, 1 << 20
+#: Lines of a chunk, whatever their numbers; a turn's lines follow each other from turn * 2^31 on, more than an array can hold.
+CHUNK_LINES, TURN_LINES = 4096, 1 << 31
+#: Columns made here; extra columns of these names come back with ``_in`` behind the name.
+OWN = ("conv", "line_no", "text", "m", "o", "chunk", "role_pred", "turn_begin", "turn_no", "rendered")
 #: Speaker markers at the begin of a line, by the group they fall in.
 MARKERS = {"system": r"(?:system|instructions?)", "user": r"(?:user|human|prompter|customer|q|question|me)", "assistant": r"(?:assistant|bot|ai|model|agent|a|answer|gpt)", "other": r"[A-Z][\w .-]{0,20}"}
 _LEAD, _TAIL = r"^[\s>#*\[<|]{0,6}", r"[\]>|*]{0,3}\s*:[\s*]*"
@@ -39,17 +42,44 @@ def without_marker(line: Column, group: Column) -> Column:
     return F.when((group > 0) & (group < len(MARKERS)), plain).otherwise(line)
 
 
+def _extra(names: list[str], used: tuple[str, ...]) -> list[Column]:
+    """The columns not ``used``; a name that is made here, in any case, gets ``_in`` until it is free."""
+    taken, out = {*OWN, *(n.lower() for n in names if n not in used)}, []
+    for name in names:
+        if name in used:
+            continue
+        new = name
+        while new.lower() in OWN or (new != name and new.lower() in taken):
+            new += "_in"
+        taken.add(new.lower())
+        out.append(F.col(f"`{name}`").alias(new))
+    return out
+
+
 def observed(lines: DataFrame, conversation: str, number: str, line: str, first_number: int = 0) -> DataFrame:
-    """(conv, line_no, chunk, text, m, o): lines with marker group and combined symbol; a null line counts as empty, null numbers as 0."""
-    x = F.coalesce(F.col(line), F.lit(""))
-    rows = lines.select(F.col(conversation).alias("conv"), F.coalesce(F.col(number).cast("long"), F.lit(0)).alias("line_no"), x.alias("text"), *[c for c in lines.columns if c not in (conversation, number, line)])
+    """(conv, line_no, text, m, o) and the other columns: lines with marker group and combined symbol.
+
+    A null line counts as empty, null numbers as 0; repeated rows stay.  Other columns whose name is in ``OWN`` come back with
+    ``_in`` behind it.
+    """
+    col = lambda c: F.col(f"`{c}`")
+    rows = lines.select(col(conversation).alias("conv"), F.coalesce(col(number).cast("long"), F.lit(0)).alias("line_no"), F.coalesce(col(line), F.lit("")).alias("text"), *_extra(lines.columns, (conversation, number, line)))
     n = F.length("text")
     size = F.when(n == 0, 0).when(n < 60, 1).when(n < 200, 2).when(n < 500, 3).otherwise(4)
-    rows = rows.withColumn("m", marker(F.col("text"))).withColumn("chunk", F.floor(F.col("line_no") / (CHUNK_TURNS * TURN_LINES)).cast("long"))
+    rows = rows.withColumn("m", marker(F.col("text")))
     asks = F.col("text").rlike(r"\?\s*$").cast("int")
     return rows.withColumn("o", ((F.col("m") * LENGTHS + size) * 2 + asks) * 2 + (F.col("line_no") == first_number).cast("int"))
 
 
+def numbered(seen: DataFrame) -> DataFrame:
+    """``observed`` lines with their chunk: ``CHUNK_LINES`` lines that follow each other by number, then text.
+
+    Lines are counted in slices, so neither a long conversation nor lines that share a number meet in one chunk.
+    """
+    counted = scan(seen, ["conv"], "line_no", {"chunk": ("row_number", None)}, tie=["text"])
+    return counted.withColumn("chunk", F.floor((F.col("chunk") - 1) / CHUNK_LINES).cast("long")).select(*[F.col(f"`{c}`") for c in seen.columns], "chunk")
+
+
 SYMBOLS = (len(MARKERS) + 1) * LENGTHS * 4
 
 
@@ -124,7 +154,7 @@ def recover_roles(seen: DataFrame, model: RoleModel) -> DataFrame:
     Ties go to the smaller state; lines of equal number follow each other by text.  Turns are counted from 1.  An empty table
     gives no rows; a null conversation is one conversation.
     """
-    seen = cut(seen)
+    seen = cut(numbered(seen))
     kind = seen.schema["conv"].dataType.simpleString()
     s = len(model.roles) * 2
     order = lambda d: d.repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", "line_no", "text")
@@ -195,7 +225,8 @@ def rendered(parsed: DataFrame) -> DataFrame:
 def transcript_lines(conversations: DataFrame, marked: float = 0.7) -> DataFrame:
     """Raw transcripts from conversations (conv_id, turn, role, text): lines with some speaker markers of changing form.
 
-    About ``marked`` of the turns, by hash, begin with a marker of their role; role, begins and previous are the truth.
+    About ``marked`` of the turns, by hash, begin with a marker of their role; role, begins and previous are the truth.  A line's
+    number is turn * 2^31 plus its place, for turns below 2^32; a null turn counts as 0, extra columns are left out.
     """
     h = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(1000))
     forms = {"user": ["User: ", "Human: ", "### User: ", "Q: "], "assistant": ["Assistant: ", "AI: ", "**Bot**: ", "A: "], "system": ["System: ", "[System]: ", "Instructions: ", "System: "]}
@@ -204,4 +235,4 @@ def transcript_lines(conversations: DataFrame, marked: float = 0.7) -> DataFrame
     last = rows.groupBy("conv_id", "turn").agg(F.max("role").alias("previous")).select(F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("t"), "previous")
     rows = rows.join(last, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")), "left").drop("c", "t")
     lines = rows.select("conv_id", "turn", "role", "previous", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("conv_id", (F.col("turn") * TURN_LINES + F.least("pos", F.lit(TURN_LINES - 1))).alias("line_no"), "line", "role", (F.col("pos") == 0).alias("begins"), "previous")
+    return lines.select("conv_id", (F.col("turn").cast("long") * TURN_LINES + F.col("pos")).alias("line_no"), "line", "role", (F.col("pos") == 0).alias("begins"), "previous")

@@ -129,9 +129,10 @@ def _plain_viterbi(model, symbols):
     return path[::-1]
 
 
-def test_chunked_viterbi_is_viterbi(spark):
+def test_chunked_viterbi_is_viterbi(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK_LINES", 7)
     rng = random.Random(6)
-    lines = [(c, i * chat.TURN_LINES * 40, rng.choice(["User: hi", "yes", "Assistant: " + "word " * 60, "why?", "", "long " * 90])) for c in (1, 2, 3) for i in range(rng.randrange(30, 60))]
+    lines = [(c, i, rng.choice(["User: hi", "yes", "Assistant: " + "word " * 60, "why?", "", "long " * 90])) for c in (1, 2, 3) for i in range(rng.randrange(30, 60))]
     labelled = spark.createDataFrame([(1, 0, "User: a", "user", True, None), (1, 1, "b", "user", False, None), (1, 2, "Assistant: c", "assistant", True, "user")], "c int, n long, line string, role string, begins boolean, previous string")
     model = chat.fit(chat.observed(labelled, "c", "n", "line"), "role", "begins", "previous")
     seen = chat.observed(spark.createDataFrame(lines, "c int, n long, line string"), "c", "n", "line")
@@ -145,6 +146,32 @@ def test_chunked_viterbi_is_viterbi(spark):
         assert [r.turn_begin for r in own] == begins and [r.turn_no for r in own] == np.cumsum(begins).tolist()
 
 
+def test_lines_of_one_number_are_cut_into_chunks_too(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK_LINES", 5)
+    rows = [("a", None, f"User: {i:03d}?") for i in range(33)] + [("b", 4, "same")] * 12 + [(None, i // 3, None) for i in range(9)]
+    df = spark.createDataFrame(rows, "conv string, n long, line string")
+    got = chat.numbered(chat.observed(df, "conv", "n", "line")).collect()
+    for conv, n in (("a", 33), ("b", 12), (None, 9)):
+        own = sorted((r.line_no, r.text, r.chunk) for r in got if r.conv == conv)
+        assert sorted(r[2] for r in own) == [i // 5 for i in range(n)]
+        assert [r[2] for r in own] == sorted(r[2] for r in own)
+
+
+def test_every_line_of_a_long_turn_has_its_own_number(spark):
+    df = spark.createDataFrame([("c", 0, "user", "\n".join(str(i % 7) for i in range((1 << 20) + 50))), ("c", 1, "assistant", "end")], "conv_id string, turn int, role string, text string")
+    got = chat.transcript_lines(df, 0.0).selectExpr("count(*) n", "count(DISTINCT line_no) d", "max(CASE WHEN role = 'user' THEN line_no END) u", "max(line_no) t").first()
+    assert (got.n, got.d, got.u, got.t) == ((1 << 20) + 51, (1 << 20) + 51, (1 << 20) + 49, chat.TURN_LINES)
+
+
+def test_clashing_columns_of_lines(spark):
+    df = spark.createDataFrame([(1, 0, "User: hi", "x", 5, "k", 7, True, "u"), (1, 1, "Bot: yes", "y", 6, "l", 8, False, "v")], "c int, n int, line string, text string, M int, conv string, chunk int, turn_begin boolean, text_in string")
+    seen = chat.observed(df, "c", "n", "line")
+    assert seen.columns == ["conv", "line_no", "text", "text_in_in", "M_in", "conv_in", "chunk_in", "turn_begin_in", "text_in", "m", "o"]
+    labelled = seen.selectExpr("*", "CASE WHEN m = 2 THEN 'user' ELSE 'assistant' END role", "TRUE begins", "CAST(NULL AS STRING) previous")
+    out = sorted(chat.rendered(chat.recover_roles(seen, chat.fit(labelled, "role", "begins", "previous"))).collect(), key=lambda r: r.line_no)
+    assert [(r.text, r.text_in, r.text_in_in, r.M_in, r.chunk_in, r.turn_begin_in) for r in out] == [("User: hi", "u", "x", 5, 7, True), ("Bot: yes", "v", "y", 6, 8, False)]
+
+
 def test_transcripts(spark):
     rows = QUERIES["op8_chat_roles"](spark, SF).collect()
     assert sum(r.role_pred == r.role_true for r in rows) / len(rows) > 0.8
