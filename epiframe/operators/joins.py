@@ -237,31 +237,83 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(blend)
 
 
+#: Names of a block that hold a word before the word's names are told apart by letter pairs too.
+HOT_NAMES = 256
+
+
 def name_candidates(left: DataFrame, right: DataFrame, block: str, lname: str, rname: str, threshold: float) -> DataFrame:
-    """Distinct (block, left name, right name) that can still reach ``threshold``.
+    """Distinct (block, left name, right name) that can still reach ``threshold``; no pair that reaches it is lost.
+
+    The blend needs a token Jaccard of ``2 * threshold - 1`` or the prefix rule, so names meet in two ways:
 
-    The blend needs a token Jaccard of ``2 * threshold - 1`` or the 5-character
-    prefix rule.  So names meet on the rarest tokens that such a Jaccard forces them
-    to share, or on their first five characters, never block against block.
+    * On the rarest words that such a Jaccard forces them to share.  A word of more than ``HOT_NAMES`` names is not
+      enough there: a pair whose first shared word stands late in a name shares few words, so its characters must agree
+      the more, and the names also have to meet on the rarest letter pairs that the number of edits left leaves whole.
+      Names too short for that rule meet all names of the word.
+    * For the prefix rule, the beginnings of a name meet the names that equal one of them: those pairs are results.
+
+    Empty and null names, and names of a null block, meet nothing.
     """
     floor = 2 * threshold - 1
     if floor <= 0:
         raise ValueError("the threshold must be above 0.5, below it any pair of names could match")
-    names = (left.select(block, F.col(lname).alias("name"), F.lit(0).alias("side"))
-             .unionByName(right.select(block, F.col(rname).alias("name"), F.lit(1).alias("side")))
-             .filter(F.col("name") != "").distinct())
-    words = names.select(block, "name", "side", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    freq = words.groupBy(block, "word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (words.join(freq, [block, "word"]).groupBy(block, "name", "side")
+    names = (left.select(F.col(block).alias("block"), F.col(lname).alias("name"), F.lit(0).alias("side"))
+             .unionByName(right.select(F.col(block).alias("block"), F.col(rname).alias("name"), F.lit(1).alias("side")))
+             .filter((F.col("name") != "") & F.col("block").isNotNull()).distinct())
+    words = names.select("block", "name", "side", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    freq = words.groupBy("block", "word").agg(F.count(F.lit(1)).alias("df"))
+    ranked = (words.join(freq, ["block", "word"]).groupBy("block", "name", "side")
               .agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ws")))
-    n_keys = (F.size("ws") - F.ceil(floor * F.size("ws") - 1e-9) + 1).cast("int")
-    keys = F.concat(
-        F.transform(F.slice("ws", F.lit(1), n_keys), lambda w: F.concat(F.lit("w:"), w["word"])),
-        F.when(F.length("name") >= 5, F.array(F.concat(F.lit("p:"), F.substring("name", 1, 5)))).otherwise(F.array()))
-    keyed = ranked.select(block, "name", "side", F.explode(keys).alias("k"))
-    l = keyed.filter("side = 0").select(block, "k", F.col("name").alias("l_name"))
-    r = keyed.filter("side = 1").select(block, "k", F.col("name").alias("r_name"))
-    return l.join(r, [block, "k"]).select(block, "l_name", "r_name").distinct()
+    n_words = F.size("ws")
+    n_keys = (n_words - F.ceil(floor * n_words - 1e-9) + 1).cast("int")
+    keyed = ranked.select("block", "name", "side", n_words.alias("n"), F.posexplode(F.slice("ws", F.lit(1), n_keys)).alias("before", "_w"))
+    keyed = keyed.select("block", "name", "side", "n", "before", F.col("_w.word").alias("word"), F.col("_w.df").alias("df"))
+    both = _meet(keyed.filter(F.col("df") <= HOT_NAMES), ["word"]).unionByName(_meet_hot(keyed.filter(F.col("df") > HOT_NAMES), threshold))
+    if threshold <= 0.9:
+        both = both.unionByName(_meet_prefixes(names))
+    return both.distinct().select(F.col("block").alias(block), "l_name", "r_name")
+
+
+def _meet(keyed: DataFrame, on: Sequence[str], right: DataFrame | None = None) -> DataFrame:
+    l = keyed.filter("side = 0").select("block", *on, F.col("name").alias("l_name"))
+    r = (keyed if right is None else right).filter("side = 1").select("block", *on, F.col("name").alias("r_name"))
+    return l.join(r, ["block", *on]).select("block", "l_name", "r_name")
+
+
+def _meet_prefixes(names: DataFrame) -> DataFrame:
+    """Pairs where one name of five characters and more begins the other."""
+    long = names.filter(F.length("name") >= 5)
+    opening = F.explode(F.transform(F.sequence(F.lit(5), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n)))
+    begins = long.select("block", "name", "side", opening.alias("opening"))
+    whole = long.select("block", "name", "side", F.col("name").alias("opening"))
+    return _meet(begins, ["opening"], whole).unionByName(_meet(whole, ["opening"], begins))
+
+
+def _meet_hot(keyed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of names whose first shared word is a hot one.
+
+    With ``before`` of n words not shared, the Jaccard is at most (n - before) / n, so the character similarity is at least
+    s = 2 * threshold - that.  Names of lengths a <= b then differ by at most (1 - s) * b edits, where b <= a / s.  One
+    edit changes two letter pairs at most, so of any 2 * edits + 1 pairs of a name one is left, and as both names order
+    their pairs alike, the first so many of each share one.
+    """
+    least = 2 * threshold - (F.col("n") - F.col("before")) / F.col("n")
+    chars = F.length("name")
+    edits = F.when(least > 0, F.floor((1 - least) * chars / least + 1e-9)).otherwise(chars).cast("int")
+    need = 2 * edits + 1
+    d = keyed.filter(least <= 1 + 1e-9).select("block", "word", "name", "side", need.alias("need"))
+    # the k-th occurrence of a letter pair is a pair of its own
+    pairs = F.when(chars >= 2, F.transform(F.sequence(F.lit(1), chars - 1), lambda i: F.substring(F.col("name"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    letters = d.select("block", "word", "name", "side", "need", F.explode(pairs).alias("pair"))
+    letters = letters.groupBy("block", "word", "name", "side", "need", "pair").agg(F.count(F.lit(1)).alias("k"))
+    letters = letters.select("block", "word", "name", "side", "need", "pair", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("k"))
+    often = letters.groupBy("block", "word", "pair", "k").agg(F.count(F.lit(1)).alias("df"))
+    ordered = (letters.join(often, ["block", "word", "pair", "k"]).groupBy("block", "word", "name", "side", "need")
+               .agg(F.array_sort(F.collect_list(F.struct("df", "pair", "k"))).alias("ps")))
+    strong = F.col("need") <= F.greatest(chars - 1, F.lit(0))
+    firm = ordered.filter(strong).select("block", "word", "name", "side", F.explode(F.slice("ps", F.lit(1), F.col("need"))).alias("p")).select("block", "word", "name", "side", "p.pair", "p.k")
+    loose = d.filter(~strong)
+    return (_meet(firm, ["word", "pair", "k"]).unionByName(_meet(loose, ["word"], d)).unionByName(_meet(d, ["word"], loose)))
 
 
 def fuzzy_block_join(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, lname: str,
