@@ -268,29 +268,25 @@ def name_candidates(left: DataFrame, right: DataFrame, block: str, lname: str, r
     n_keys = (n_words - F.ceil(floor * n_words - 1e-9) + 1).cast("int")
     keyed = ranked.select("block", "name", "side", n_words.alias("n"), F.posexplode(F.slice("ws", F.lit(1), n_keys)).alias("before", "_w"))
     keyed = keyed.select("block", "name", "side", "n", "before", F.col("_w.word").alias("word"), F.col("_w.df").alias("df"))
-    both = _meet(keyed.filter(F.col("df") <= HOT_NAMES), ["word"]).unionByName(_meet_hot(keyed.filter(F.col("df") > HOT_NAMES), threshold))
+    cold = keyed.filter(F.col("df") <= HOT_NAMES).select("block", "name", "side", F.lit("word").alias("by"), F.array("word").alias("k"))
+    keys = cold.unionByName(_hot_keys(keyed.filter(F.col("df") > HOT_NAMES), threshold))
     if threshold <= 0.9:
-        both = both.unionByName(_meet_prefixes(names))
-    return both.distinct().select(F.col("block").alias(block), "l_name", "r_name")
+        keys = keys.unionByName(_prefix_keys(names))
+    l = keys.filter("side = 0").select("block", "by", "k", F.col("name").alias("l_name"))
+    r = keys.filter("side = 1").select("block", "by", "k", F.col("name").alias("r_name"))
+    return l.join(r, ["block", "by", "k"]).select(F.col("block").alias(block), "l_name", "r_name").distinct()
 
 
-def _meet(keyed: DataFrame, on: Sequence[str], right: DataFrame | None = None) -> DataFrame:
-    l = keyed.filter("side = 0").select("block", *on, F.col("name").alias("l_name"))
-    r = (keyed if right is None else right).filter("side = 1").select("block", *on, F.col("name").alias("r_name"))
-    return l.join(r, ["block", *on]).select("block", "l_name", "r_name")
-
-
-def _meet_prefixes(names: DataFrame) -> DataFrame:
-    """Pairs where one name of five characters and more begins the other."""
+def _prefix_keys(names: DataFrame) -> DataFrame:
+    """Names of five characters and more: the openings of one side meet the whole names of the other."""
     long = names.filter(F.length("name") >= 5)
-    opening = F.explode(F.transform(F.sequence(F.lit(5), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n)))
-    begins = long.select("block", "name", "side", opening.alias("opening"))
-    whole = long.select("block", "name", "side", F.col("name").alias("opening"))
-    return _meet(begins, ["opening"], whole).unionByName(_meet(whole, ["opening"], begins))
+    opening = F.transform(F.sequence(F.lit(5), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))
+    one = lambda by, longer: F.transform(F.when(F.col("side") == longer, opening).otherwise(F.array("name")), lambda o: F.struct(F.lit(by).alias("by"), F.array(o).alias("k")))
+    return long.select("block", "name", "side", F.explode(F.concat(one("left opens", 0), one("right opens", 1))).alias("_k")).select("block", "name", "side", "_k.*")
 
 
-def _meet_hot(keyed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of names whose first shared word is a hot one.
+def _hot_keys(keyed: DataFrame, threshold: float) -> DataFrame:
+    """Keys of names whose first shared word is a hot one.
 
     With ``before`` of n words not shared, the Jaccard is at most (n - before) / n, so the character similarity is at least
     s = 2 * threshold - that.  Names of lengths a <= b then differ by at most (1 - s) * b edits, where b <= a / s.  One
@@ -300,20 +296,20 @@ def _meet_hot(keyed: DataFrame, threshold: float) -> DataFrame:
     least = 2 * threshold - (F.col("n") - F.col("before")) / F.col("n")
     chars = F.length("name")
     edits = F.when(least > 0, F.floor((1 - least) * chars / least + 1e-9)).otherwise(chars).cast("int")
-    need = 2 * edits + 1
-    d = keyed.filter(least <= 1 + 1e-9).select("block", "word", "name", "side", need.alias("need"))
+    d = keyed.filter(least <= 1 + 1e-9).withColumn("need", 2 * edits + 1).withColumn("short", F.col("need") > chars - 1)
+    d = d.select("block", "word", "name", "side", "need", "short")
+    # names too short for the rule meet every name of the word on the other side
+    meets = lambda by, side: F.when(F.col("short") | (F.col("side") != side), F.array(F.lit(by))).otherwise(F.array().cast("array<string>"))
+    wide = d.select("block", "name", "side", F.explode(F.concat(meets("left short", 0), meets("right short", 1))).alias("by"), F.array("word").alias("k"))
+    pairs = F.when(chars >= 2, F.transform(F.sequence(F.lit(1), chars - 1), lambda i: F.substring(F.col("name"), i, F.lit(2))))
     # the k-th occurrence of a letter pair is a pair of its own
-    pairs = F.when(chars >= 2, F.transform(F.sequence(F.lit(1), chars - 1), lambda i: F.substring(F.col("name"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    letters = d.select("block", "word", "name", "side", "need", F.explode(pairs).alias("pair"))
-    letters = letters.groupBy("block", "word", "name", "side", "need", "pair").agg(F.count(F.lit(1)).alias("k"))
-    letters = letters.select("block", "word", "name", "side", "need", "pair", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("k"))
-    often = letters.groupBy("block", "word", "pair", "k").agg(F.count(F.lit(1)).alias("df"))
-    ordered = (letters.join(often, ["block", "word", "pair", "k"]).groupBy("block", "word", "name", "side", "need")
-               .agg(F.array_sort(F.collect_list(F.struct("df", "pair", "k"))).alias("ps")))
-    strong = F.col("need") <= F.greatest(chars - 1, F.lit(0))
-    firm = ordered.filter(strong).select("block", "word", "name", "side", F.explode(F.slice("ps", F.lit(1), F.col("need"))).alias("p")).select("block", "word", "name", "side", "p.pair", "p.k")
-    loose = d.filter(~strong)
-    return (_meet(firm, ["word", "pair", "k"]).unionByName(_meet(loose, ["word"], d)).unionByName(_meet(d, ["word"], loose)))
+    letters = d.select("block", "word", "name", "side", "need", "short", F.explode(pairs).alias("pair")).groupBy("block", "word", "name", "side", "need", "short", "pair").agg(F.count(F.lit(1)).alias("k"))
+    letters = letters.select("block", "word", "name", "side", "need", "short", F.explode(F.transform(F.sequence(F.lit(1), F.col("k").cast("int")), lambda i: F.concat(F.col("pair"), i.cast("string")))).alias("pair"))
+    often = letters.groupBy("block", "word", "pair").agg(F.count(F.lit(1)).alias("df"))
+    ordered = (letters.filter("NOT short").join(often, ["block", "word", "pair"]).groupBy("block", "word", "name", "side", "need")
+               .agg(F.array_sort(F.collect_list(F.struct("df", "pair"))).alias("ps")))
+    firm = ordered.select("block", "name", "side", F.lit("letters").alias("by"), "word", F.explode(F.slice("ps", F.lit(1), F.col("need"))).alias("p"))
+    return wide.unionByName(firm.select("block", "name", "side", "by", F.array("word", "p.pair").alias("k")))
 
 
 def fuzzy_block_join(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, lname: str,
