@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import axis, near, range_pairs
-from .joins import next_within, semi_anti_filter
+from .joins import next_within
 
 HOUR = 3600.0
 
@@ -34,42 +34,55 @@ def visit_cohort(visits: DataFrame, persons: DataFrame, children: DataFrame, adm
 
 
 def cohort_from_spec(spec: Mapping, tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Cohort of a declarative definition, and the rows left after each criterion.
+    """Cohort of a declarative definition, and the rows left after each criterion; all are counted in one pass.
 
     ``spec``: ``unit`` (stay, visit or subject), ``criteria`` (list of dicts with ``kind``) and ``outcome``.  Tables: ``stays``
     (subject, visit, stay, start, end, age, unit, death), ``codes`` (visit, code), ``labs`` (stay, item, at).
     """
-    s = tables["stays"]
-    steps = [("start", s)]
+    stays = tables["stays"]
+    names, s = ["start"], stays.withColumn("_at", F.lit(0))
+
+    def passed(d: DataFrame, name: str, ok: Column) -> DataFrame:
+        """``_at`` counts the criteria that a row has passed one after the other."""
+        names.append(name)
+        n = len(names) - 1
+        return d.withColumn("_at", F.when((F.col("_at") == n - 1) & ok, n).otherwise(F.col("_at"))).select(*stays.columns, "_at")
+
+    def found(d: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+        return d.join(hits.filter(F.col(key).isNotNull()).select(F.col(key)).distinct().withColumn("_hit", F.lit(True)), key, "left")
+
+    def first_of(d: DataFrame, key: str) -> DataFrame:
+        """Marks the earliest of each key's stays that have passed all criteria so far."""
+        still = F.col("_at") == len(names) - 1
+        return found(d, d.filter(still).groupBy(key).agg(F.min(F.struct("start", "stay")).alias("_f")).select(F.col("_f.stay").alias("stay")), "stay")
+
     for c in spec["criteria"]:
         kind = c["kind"]
         if kind == "age":
-            s = s.filter(F.col("age").between(c.get("min", 0), c.get("max", 200)))
+            s = passed(s, kind, F.col("age").between(c.get("min", 0), c.get("max", 200)))
         elif kind == "first_stay":
-            first = s.groupBy("subject").agg(F.min(F.struct("start", "stay")).alias("_f")).select(F.col("_f.stay").alias("stay"))
-            s = s.join(first, "stay", "left_semi")
+            s = passed(first_of(s, "subject"), kind, F.col("_hit").isNotNull())
         elif kind == "length":
-            s = s.filter((axis(s, "end") - axis(s, "start")) / HOUR >= c["min_hours"])
+            s = passed(s, kind, (axis(s, "end") - axis(s, "start")) / HOUR >= c["min_hours"])
         elif kind == "unit":
-            s = s.filter(F.col("unit").isin(list(c["values"])))
+            s = passed(s, kind, F.col("unit").isin(list(c["values"])))
         elif kind in ("code_in", "code_out"):
-            hit = tables["codes"].filter(F.col("code").rlike("^(?:" + "|".join(c["prefixes"]) + ")"))
-            s = semi_anti_filter(s, **{"require" if kind == "code_in" else "exclude": [(hit, ["visit"])]})
+            hits = tables["codes"].filter(F.col("code").rlike("^(?:" + "|".join(c["prefixes"]) + ")"))
+            s = passed(found(s, hits, "visit"), kind, F.col("_hit").isNotNull() if kind == "code_in" else F.col("_hit").isNull())
         elif kind == "measured":
-            lab = tables["labs"].filter(F.col("item") == c["item"]).join(s.select("stay", F.col("start").alias("_s")), "stay")
+            lab = tables["labs"].filter(F.col("item") == c["item"]).join(stays.select("stay", F.col("start").alias("_s")), "stay")
             gap = (axis(lab, "at") - axis(lab, "_s")) / HOUR
-            s = semi_anti_filter(s, require=[(lab.filter(gap.between(c.get("from_hours", 0), c["to_hours"])), ["stay"])])
+            s = passed(found(s, lab.filter(gap.between(c.get("from_hours", 0), c["to_hours"])), "stay"), kind, F.col("_hit").isNotNull())
         elif kind == "survived":
-            alive = F.col("death").isNull() | ((axis(s, "death") - axis(s, "start")) / HOUR > c["hours"])
-            s = s.filter(alive)
+            s = passed(s, kind, F.col("death").isNull() | ((axis(s, "death") - axis(s, "start")) / HOUR > c["hours"]))
         else:
             raise ValueError(f"unknown criterion {kind!r}")
-        steps.append((kind, s))
     if spec.get("unit", "stay") != "stay":
         key = spec["unit"]
-        first = s.groupBy(key).agg(F.min(F.struct("start", "stay")).alias("_f")).select(F.col("_f.stay").alias("stay"))
-        s = s.join(first, "stay", "left_semi")
-        steps.append((f"first per {key}", s))
+        s = passed(first_of(s, key), f"first per {key}", F.col("_hit").isNotNull())
+    counts = s.agg(*[F.coalesce(F.sum((F.col("_at") >= i).cast("long")), F.lit(0)).alias(f"_n{i}") for i in range(len(names))])
+    counts = counts.select(F.inline(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(name).alias("criterion"), F.col(f"_n{i}").alias("n")) for i, name in enumerate(names)])))
+    s = s.filter(F.col("_at") == len(names) - 1).drop("_at")
     outcome = spec.get("outcome", {"kind": "death"})
     if outcome["kind"] == "death":
         s = s.withColumn("outcome", F.col("death").isNotNull().cast("int"))
@@ -79,10 +92,6 @@ def cohort_from_spec(spec: Mapping, tables: Mapping[str, DataFrame]) -> tuple[Da
         s = next_within(s, ["subject"], "start", "end", outcome["hours"], None, ["stay"]).withColumnRenamed("returned", "outcome")
     else:
         raise ValueError(f"unknown outcome {outcome['kind']!r}")
-    counts = None
-    for i, (name, d) in enumerate(steps):
-        one = d.agg(F.count("*").alias("n")).select(F.lit(i).alias("step"), F.lit(name).alias("criterion"), "n")
-        counts = one if counts is None else counts.unionByName(one)
     return s, counts
 
 

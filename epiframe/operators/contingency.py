@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import Z975, chi2_sf, digamma, gamma_ppf, gammainc, two_sided_p
+from ..plans.fits import stopped
 
 
 
@@ -290,6 +291,8 @@ def fit_gamma_poisson_prior(cells: DataFrame, observed: str = "a", expected: str
                 theta = tries[k]
             break
         theta = tries[k]
+    else:
+        stopped("fit_gamma_poisson_prior", steps)
     d.unpersist()
     return (*[float(x) for x in np.exp(theta[:4])], float(1 / (1 + np.exp(-theta[4]))))
 

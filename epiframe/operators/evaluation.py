@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import poisson
 from ..functions.stats import t_p, two_sided_p
+from ..plans.fits import stopped
 from ..plans.lineage import cut
 from ..plans.ordered import quantiles, range_pairs, scan, value_ranks
 from .joins import closest_pairs
@@ -107,6 +108,8 @@ def calibration(df: DataFrame, y: str, p: str, w: str | None = None, steps: int
         a, b0, b1 = a + da, b0 + float(db[0]), b1 + float(db[1])
         if max(abs(da), float(np.abs(db).max())) < 1e-8:
             break
+    else:
+        stopped("calibration", steps)
     d.unpersist()
     return df.sparkSession.createDataFrame([(float(a), float(b1), float(b0))], "intercept DOUBLE, slope DOUBLE, intercept_free DOUBLE")
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.draws import normals, poisson
 from ..functions.stats import Z975, gammainc, norm_cdf, t_two_sided, two_sided_p
+from ..plans.fits import stopped
 from ..plans.lineage import cut
 from ..plans.ordered import quantiles, scan
 from .evaluation import poisson_weight
@@ -211,7 +212,8 @@ def glm_fit(df: DataFrame, y: Column, x: Sequence[Column], family: str = "binomi
             ridge: float = 0.0, steps: int = 40) -> tuple[np.ndarray, np.ndarray, int]:
     """Newton fit of a logistic or Poisson model; a step is one aggregate of gradient and information.
 
-    Rows are reduced to distinct covariate patterns first where that pays (it never changes the fit).
+    Rows are reduced to distinct covariate patterns first where that pays (it never changes the fit).  Warns ``NotConverged``
+    where the steps do not suffice, as with groups that the covariates separate.
     """
     k = len(x)
     d = df.select(y.cast("double").alias("_y"), (w if w is not None else F.lit(1.0)).cast("double").alias("_w"), (offset if offset is not None else F.lit(0.0)).cast("double").alias("_o"),
@@ -235,6 +237,8 @@ def glm_fit(df: DataFrame, y: Column, x: Sequence[Column], family: str = "binomi
         beta = beta + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
+    else:
+        stopped("glm_fit", steps)
     d.unpersist()
     return beta, h, n
 
@@ -484,6 +488,8 @@ def event_study(panel: DataFrame, unit: str, t: str, y: str, rel: str, lo: int,
         beta = beta + np.clip(move, -3, 3)
         if np.abs(move).max() < 1e-8:
             break
+    else:
+        stopped("event_study", steps)
     units.unpersist()
     se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(h)), 0))
     at = len(place)
@@ -923,6 +929,8 @@ def cox_ph(df: DataFrame, time: str, event: str, x: Sequence[str], entry: str |
         beta = beta + np.clip(move, -3, 3)
         if np.abs(move).max() < 1e-8:
             break
+    else:
+        stopped("cox_ph", steps)
     v = np.linalg.pinv(h)
     if cluster:
         t = table(beta)
