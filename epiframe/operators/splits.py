@@ -11,13 +11,15 @@ from ..plans.ordered import SLICE, axis, quantiles, scan
 from .evaluation import cluster_bootstrap
 from .joins import hash_order
 
-PIECES = 64
+#: Rows of a slice of the hash range, about.
+SLICE_ROWS = 200_000
 
 
 def _hash_ranked(groups: DataFrame, name: str, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Rank rows by hash inside ``by``; the hash range is cut into slices, so no rank needs one task."""
+    """Rank rows by hash inside ``by``; the hash range is cut into as many slices as the rows ask for, so no rank needs one task."""
     d = groups.withColumn("_h", hash_order(name, seed=seed))
-    d = d.withColumn(SLICE, F.floor(F.col("_h").cast("double") / (2.0 ** 64 / PIECES)).cast("bigint"))
+    pieces = groups.select(F.ceil(F.greatest(F.count(F.lit(1)), F.lit(1)) / SLICE_ROWS).cast("double")).scalar()
+    d = d.withColumn(SLICE, F.floor(F.col("_h").cast("double") / F.lit(2.0 ** 64) * pieces).cast("bigint"))
     return scan(d, by, "_h", {"_rank": ("row_number", None)}, tie=[name]).drop("_h")
 
 

@@ -12,22 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import Z975, gamma_ppf, gammainc, t_p, t_ppf, two_sided_p
-from ..plans.ordered import ordered_pairs, quantiles, scan, value_ranks
+from ..plans.ordered import SLICE, add_slices, ordered_pairs, quantiles, scan, value_ranks
 from .permutations import permuted_sums
 
 
 def adjust_pvalues(df: DataFrame, p: str, row_id: Sequence[str], group: Sequence[str] = (), method: str = "bh", alpha: float | None = None) -> DataFrame:
-    """Add ``p_adjusted`` (Benjamini-Hochberg or Holm) inside each group; NULL p values stay NULL and are not counted."""
+    """Add ``p_adjusted`` (Benjamini-Hochberg or Holm) inside each group; NULL p values stay NULL and are not counted.
+
+    Equal p values have equal results, so the work is on distinct values with their counts; a NULL group is a group.
+    ``row_id`` names the rows and plays no part in the result.
+    """
     known = df.filter(F.col(p).isNotNull())
-    n = known.groupBy(*group).agg(F.count("*").alias("_n"))
-    d = scan(known, group, p, {"_rk": ("row_number", None)}, 1 / 64, row_id)
-    d = d.join(n, list(group)) if group else d.join(F.broadcast(n))
+    by = [f"_g{i}" for i in range(len(group))]
+    counts = known.groupBy(*[F.col(g).alias(b) for g, b in zip(group, by, strict=True)], F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
+    n = counts.groupBy(*[F.col(b).alias(f"_n{b}") for b in by]).agg(F.sum("_k").alias("_n"))
+    d = scan(add_slices(counts, "_p"), by, "_p", {"_cum": ("sum", "_k")}, keep_slice=True)
+    d = d.join(n, [F.col(b).eqNullSafe(F.col(f"_n{b}")) for b in by]) if by else d.join(F.broadcast(n))
     if method == "bh":
-        d = d.withColumn("_v", F.col(p) * F.col("_n") / F.col("_rk")).withColumn("_neg", -F.col(p)).withColumn("_nrk", -F.col("_rk"))
-        d = scan(d, group, "_neg", {"_q": ("min", "_v")}, 1 / 64, ["_nrk"])
+        d = d.withColumn("_v", F.col("_p") * F.col("_n") / F.col("_cum")).withColumn("_neg", -F.col("_p")).withColumn(SLICE, -F.col(SLICE))
+        d = scan(d, by, "_neg", {"_q": ("min", "_v")})
     else:
-        d = d.withColumn("_v", F.col(p) * (F.col("_n") - F.col("_rk") + 1))
-        d = scan(d, group, p, {"_q": ("max", "_v")}, 1 / 64, row_id)
+        d = scan(d.withColumn("_v", F.col("_p") * (F.col("_n") - F.col("_cum") + F.col("_k"))), by, "_p", {"_q": ("max", "_v")})
+    on = [F.col(g).eqNullSafe(F.col(b)) for g, b in zip(group, by, strict=True)] + [F.col(p) == F.col("_p")]
+    d = known.join(d.select(*by, "_p", "_q"), on)
     done = d.select(*df.columns, F.least("_q", F.lit(1.0)).alias("p_adjusted"))
     out = done.unionByName(df.filter(F.col(p).isNull()).withColumn("p_adjusted", F.lit(None).cast("double")))
     return out if alpha is None else out.withColumn("significant", F.coalesce(F.col("p_adjusted") <= alpha, F.lit(False)))
