@@ -7,13 +7,16 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.draws import poisson
 from ..functions.stats import t_p, two_sided_p
+from ..plans.blocks import met, packed
 from ..plans.fits import stopped
 from ..plans.lineage import cut
 from ..plans.ordered import quantiles, range_pairs, scan, value_ranks
@@ -482,31 +485,50 @@ def centroid_distance(df: DataFrame, vec: str, side: Column, dim: int) -> DataFr
     return g.select((1 - dot(0, 1) / F.sqrt(dot(0, 0) * dot(1, 1))).alias("cosine_distance"), F.sqrt(dot(0, 0) + dot(1, 1) - 2 * dot(0, 1)).alias("mean_shift"))
 
 
-def closest_record(train: DataFrame, synthetic: DataFrame, row_id: str, vec: str, dim: int, block_rows: int = 4096) -> DataFrame:
-    """Exact distance of each synthetic row to its nearest training row.
+def closest_record(train: DataFrame, synthetic: DataFrame, row_id: str, vec: str, dim: int) -> DataFrame:
+    """Exact distance of each synthetic row to its nearest training row (of equally near ones the smallest id).
 
-    Training rows are packed into blocks; every block meets every synthetic block once, and only the block
-    minimum per synthetic row leaves the task.  Block pairs, not row pairs, are shuffled.
+    Rows are packed into blocks of flat numbers; every training block meets every synthetic block once, a few pairs to a task, and only the
+    block minimum per synthetic row leaves it.  Block pairs, not row pairs, are shuffled.  A product of matrices finds the rows that
+    may be nearest, their differences tell which one is.
     """
-    def packed(df, name):
-        size = max(1, math.ceil(df.count() / block_rows))
-        part = F.pmod(F.xxhash64(row_id), F.lit(size))
-        return df.withColumn("_b", part).groupBy("_b").agg(F.collect_list(F.struct(F.col(row_id).alias("i"), F.col(vec).alias("v"))).alias(name)), size
-    t, nt = packed(train, "_t")
-    s, _ = packed(synthetic, "_q")
-    pairs = s.withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1)))).join(t.withColumnRenamed("_b", "_tb"), "_tb")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(df):
+        held, n = packed(df, df.count(), F.xxhash64(row_id), r=F.struct(F.col(row_id).alias("i"), F.col(vec).alias("v")))
+        return held.select("_b", F.transform("r", lambda r: r["i"]).alias("i"), F.flatten(F.transform("r", lambda r: r["v"])).alias("v")), n
+    (s, ns), (t, nt) = blocks(synthetic), blocks(train)
+    pairs = met(s.withColumnsRenamed({"i": "qi", "v": "qv"}), ns, t.withColumnsRenamed({"i": "ti", "v": "tv"}), nt)
+    kind = synthetic.schema[row_id].dataType
+    schema = T.StructType([T.StructField(row_id, kind), T.StructField("nearest", kind), T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q, tr in zip(b["_q"], b["_t"]):
-                x = np.vstack([r["v"] for r in q]).astype(float)
-                y = np.vstack([r["v"] for r in tr]).astype(float)
-                d2 = np.maximum((x ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None, :] - 2 * x @ y.T, 0)
-                j = d2.argmin(1)
-                yield pd.DataFrame({row_id: [r["i"] for r in q], "nearest": [tr[k]["i"] for k in j], "distance": np.sqrt(d2[np.arange(len(j)), j])})
-
-    kind = synthetic.schema[row_id].dataType.simpleString()
-    near = pairs.select("_q", "_t").mapInPandas(run, f"{row_id} {kind}, nearest {kind}, distance DOUBLE")
+            for at in range(b.num_rows):
+                x, y = (b.column(c)[at].values.to_numpy().astype(float).reshape(len(b.column(c - 1)[at]), dim) for c in (1, 3))
+                qi, ti = b.column(0)[at].values, b.column(2)[at].values
+                place = np.argsort(ti.to_numpy(zero_copy_only=False), kind="stable")
+                y, ti = y[place], ti.take(pa.array(place))
+                yy = (y ** 2).sum(1)
+                top = yy.max(initial=0.0, where=np.isfinite(yy))
+                for i in range(0, len(x), 256):
+                    part = x[i:i + 256]
+                    xx = (part ** 2).sum(1)
+                    d2 = xx[:, None] + yy - 2 * part @ y.T
+                    d2[np.isnan(d2)] = np.inf
+                    # what rounding may have put behind the nearest row
+                    row, col = np.nonzero(d2 <= (d2.min(1) + 1e-12 * (xx + top))[:, None])
+                    best, low = np.full(len(part), -1), np.full(len(part), np.inf)
+                    for c in range(0, len(row), 65_536):
+                        r, k = row[c:c + 65_536], col[c:c + 65_536]
+                        exact = np.sqrt(((part[r] - y[k]) ** 2).sum(1))
+                        order = np.lexsort((k, exact, r))
+                        first = order[np.flatnonzero(np.diff(r[order], prepend=-1))]
+                        better = first[exact[first] < low[r[first]]]
+                        low[r[better]], best[r[better]] = exact[better], k[better]
+                    # without a distance (not a number) any row stands for the nearest, behind all others
+                    low[best < 0], best[best < 0] = np.nan, 0
+                    yield pa.RecordBatch.from_arrays([qi.slice(i, len(part)), ti.take(pa.array(best)), pa.array(low)], names=[row_id, "nearest", "distance"])
+
+    near = pairs.select("qi", "qv", "ti", "tv").mapInArrow(run, schema)
     return near.groupBy(row_id).agg(F.min(F.struct("distance", "nearest")).alias("_m")).select(row_id, "_m.nearest", "_m.distance")
 
 
