@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..plans.blocks import met, packed
 from ..plans.lineage import cut
 from ..plans.ordered import quantiles, scan, value_ranks
 from .permutations import permuted_means
 
-BLOCK_ROWS = 2048
-
 
 def region_stats(points: DataFrame, label: str, value: str, min_n: int = 1, ignore=0, peak_share: float | None = None, coords: Sequence[str] = ()) -> DataFrame:
     """Mean, median, 5% and 95% points per region; optionally centroid and the share of rows above a fraction of the region's peak."""
@@ -97,31 +96,62 @@ def morans_i(points: DataFrame, row_id: str, value: str, coords: Sequence[str],
     return s.join(F.broadcast(m)).select("n", "w", (F.col("n") / F.col("w") * F.col("_x") / F.col("_ss")).alias("moran_i"))
 
 
-def block_pairs(points: DataFrame, cols: Sequence[str], fn: Callable, schema: str, block: int = BLOCK_ROWS) -> DataFrame:
+def block_pairs(points: DataFrame, cols: Sequence[str], fn: Callable, schema: T.StructType) -> DataFrame:
     """Apply ``fn(a, b, same)`` to every two blocks of rows and return its small results.
 
     For statistics that truly need all distances: rows are packed into blocks of bounded size, each pair of blocks is one
-    Arrow row, and only sums leave a task.  No row pairs are shuffled.
+    Arrow row, a task gets a few of them, and only sums leave it.  No row pairs are shuffled.
     """
-    n = max(1, math.ceil(points.count() / block))
-    d = points.select(*cols).dropna()
-    packed = d.withColumn("_b", F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")).groupBy("_b").agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).alias("rows"))
-    packed = cut(packed)
-    left = packed.select(F.col("_b").alias("a"), F.col("rows").alias("ra")).withColumn("b", F.explode(F.sequence("a", F.lit(n - 1))))
-    j = left.join(packed.select(F.col("_b").alias("b"), F.col("rows").alias("rb")), "b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a, b, ra, rb in zip(batch["a"], batch["b"], batch["ra"], batch["rb"]):
-                yield fn(np.vstack(ra), np.vstack(rb), a == b)
-
-    return j.select("a", "b", "ra", "rb").mapInPandas(run, schema)
-
+    d = points.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    held, n = packed(d, points.count(), F.xxhash64(*cols), rows=F.array(*cols))
+    held = held.withColumn("rows", F.flatten("rows"))
+    j = met(held.withColumnRenamed("rows", "ra"), n, held.withColumnRenamed("rows", "rb"), n, upper=True)
 
-def _distances(a: np.ndarray, b: np.ndarray, k: int, same: bool):
-    d = np.sqrt(np.maximum(((a[:, None, :k] - b[None, :, :k]) ** 2).sum(-1), 0))
-    keep = np.triu(np.ones_like(d, bool), 1) if same else np.ones_like(d, bool)
-    return d[keep], keep
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (batch.column(c)[i].values.to_numpy().reshape(-1, len(cols)) for c in (2, 3))
+                yield pa.RecordBatch.from_pydict(fn(a, b, batch.column(0)[i].as_py() == batch.column(1)[i].as_py()))
+
+    return j.select("a", "b", "ra", "rb").mapInArrow(run, schema)
+
+
+def _tiles(a: np.ndarray, b: np.ndarray, k: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(distances, values of a, values of b) of the row pairs of two blocks, each pair of one block once, in tiles that stay in the cache."""
+    bt = np.ascontiguousarray(b.T)
+    step = max(1, 65_536 // max(len(b), 1))
+    for at in range(0, len(a), step):
+        x, y = a[at:at + step], bt[:, at + 1:] if same else bt
+        d = np.zeros((len(x), y.shape[1]))
+        for c in range(k):
+            gap = x[:, c, None] - y[c]
+            d += gap * gap
+        np.sqrt(d, out=d)
+        va, vb = np.broadcast_to(x[:, k, None], d.shape), np.broadcast_to(y[k], d.shape)
+        if same:
+            later = np.arange(d.shape[1]) >= np.arange(len(x))[:, None]
+            yield d[later], va[later], vb[later]
+        else:
+            yield d.ravel(), va.ravel(), vb.ravel()
+
+
+def _rim(points: DataFrame, cols: Sequence[str], coords: Sequence[str]) -> DataFrame:
+    """The points that may be one of the two farthest.
+
+    Extreme points along some directions give a distance that the largest one reaches.  A point whose distance from the centre and the
+    farthest point's add up to less has no part in it.
+    """
+    d = points.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    centre = d.agg(*[F.avg(c).alias(c) for c in coords]).first()
+    if centre[0] is None:
+        return d
+    away = F.sqrt(sum(((F.col(c) - F.lit(centre[c])) * (F.col(c) - F.lit(centre[c])) for c in coords), F.lit(0.0)))
+    ways = [w for w in itertools.product((-1, 0, 1), repeat=len(coords)) if any(w)] if len(coords) <= 4 else [tuple(int(i == j) * s for j in range(len(coords))) for i in range(len(coords)) for s in (-1, 1)]
+    ends = d.agg(F.max(away).alias("_far"), *[F.max_by(F.array(*coords), sum((F.col(c) * m for c, m in zip(coords, w, strict=True)), F.lit(0.0))).alias(f"_e{i}") for i, w in enumerate(ways)]).first()
+    some = np.array([ends[f"_e{i}"] for i in range(len(ways))], float)
+    reached = max(float(np.sqrt(((x - some) ** 2).sum(-1)).max()) for x in some)
+    least = (reached - ends["_far"]) - 1e-9 * (abs(reached) + abs(ends["_far"]))
+    return d.filter(away >= F.lit(least)) if np.isfinite(least) else d
 
 
 def variogram(points: DataFrame, value: str, coords: Sequence[str], bins: int = 10, max_frac: float = 0.5) -> DataFrame:
@@ -129,20 +159,25 @@ def variogram(points: DataFrame, value: str, coords: Sequence[str], bins: int =
     k, cols = len(coords), [*coords, value]
 
     def widest(a, b, same):
-        d, _ = _distances(a, b, k, same)
-        return pd.DataFrame({"m": [float(d.max()) if len(d) else 0.0]})
+        return {"m": [max((float(d.max()) for d, _, _ in _tiles(a, b, k, same) if len(d)), default=0.0)]}
 
-    top = block_pairs(points, cols, widest, "m DOUBLE").agg(F.max("m")).first()[0]
-    edge = top * max_frac
+    rim = cut(_rim(points, cols, coords))
+    top = block_pairs(rim, cols, widest, T.StructType().add("m", "double")).agg(F.max("m")).first()[0]
+    edge = (top or 0.0) * max_frac
 
     def sums(a, b, same):
-        d, keep = _distances(a, b, k, same)
-        g = (0.5 * (a[:, None, k] - b[None, :, k]) ** 2)[keep]
-        on = d < edge
-        ix = np.minimum((d[on] / edge * bins).astype(int), bins - 1)
-        return pd.DataFrame({"bin": np.arange(bins), "n": np.bincount(ix, minlength=bins), "s": np.bincount(ix, g[on], bins), "sd": np.bincount(ix, d[on], bins)})
-
-    g = block_pairs(points, cols, sums, "bin INT, n BIGINT, s DOUBLE, sd DOUBLE").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("sd").alias("sd"))
+        total = np.zeros((3, bins + 1))
+        for d, va, vb in _tiles(a, b, k, same):
+            if not len(d) or not edge:
+                continue
+            ix = np.minimum((d / edge * bins).astype(np.intp), bins - 1)
+            ix[d >= edge] = bins       # a last bin for what lies too far
+            gap = va - vb
+            gap *= gap
+            total += [np.bincount(ix, minlength=bins + 1), np.bincount(ix, gap, bins + 1), np.bincount(ix, d, bins + 1)]
+        return {"bin": np.arange(bins, dtype=np.int32), "n": total[0, :bins].astype(np.int64), "s": 0.5 * total[1, :bins], "sd": total[2, :bins]}
+
+    g = block_pairs(points, cols, sums, T.StructType().add("bin", "integer").add("n", "long").add("s", "double").add("sd", "double")).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("sd").alias("sd"))
     return g.filter("n > 0").select("bin", "n", (F.col("sd") / F.col("n")).alias("mean_distance"), (F.col("s") / F.col("n")).alias("gamma"))
 
 
@@ -152,12 +187,16 @@ def morans_i_distance(points: DataFrame, value: str, coords: Sequence[str]) -> D
     m = points.agg(F.avg(value)).first()[0]
 
     def sums(a, b, same):
-        d, keep = _distances(a, b, k, same)
-        w = np.where(d > 0, 1 / np.where(d > 0, d, 1), 0)
-        zz = ((a[:, None, k] - m) * (b[None, :, k] - m))[keep]
-        return pd.DataFrame({"w": [w.sum() * 2], "x": [(w * zz).sum() * 2]})
-
-    s = block_pairs(points, cols, sums, "w DOUBLE, x DOUBLE").agg(F.sum("w").alias("w"), F.sum("x").alias("x"))
+        w = x = 0.0
+        for d, va, vb in _tiles(a, b, k, same):
+            with np.errstate(divide="ignore"):
+                near = 1 / d
+            near[d == 0] = 0
+            w += near.sum() * 2
+            x += (near * ((va - m) * (vb - m))).sum() * 2
+        return {"w": [w], "x": [x]}
+
+    s = block_pairs(points, cols, sums, T.StructType().add("w", "double").add("x", "double")).agg(F.sum("w").alias("w"), F.sum("x").alias("x"))
     t = points.agg(F.count(value).alias("n"), (F.var_pop(value) * F.count(value)).alias("_ss"))
     return s.join(F.broadcast(t)).select("n", (F.col("n") / F.col("w") * F.col("x") / F.col("_ss")).alias("moran_i"))
 
