@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,31 +58,92 @@ def region_counts(assigned: DataFrame, by: Sequence[str], region: str, lookup: D
 
 
 def nearest_neighbours(points: DataFrame, row_id: str, coords: Sequence[str], k: int, cell: float) -> DataFrame:
-    """Exact ``k`` nearest other points of every point (ties by id), through grid cells.
+    """Exact ``k`` nearest other points of every point (ties by id), through grid tiles.
 
-    A point looks into its own and the adjacent cells.  If its k-th distance is within one cell width nothing nearer can lie
-    outside; the other points go on with doubled cells.
+    Points of one place have the same neighbours but for themselves, so places look for their ``k + 1`` smallest (distance, id).  A tile is
+    compared inside a task with the places in it and within a reach of a quarter of its width around it; only the nearest leave the task.  If
+    the last distance is within reach nothing nearer can lie outside; the other places go on with doubled tiles.  The first width starts
+    from ``cell`` and follows how many places a place finds in its tile.  Points without a full set of coordinates have no neighbours.
     """
-    from pyspark.sql import Window
-    base = cut(points.select(F.col(row_id).alias("i"), F.array(*[F.col(c).cast("double") for c in coords]).alias("x")))
+    most = 20_000          # places of a tile that a task compares at once
+    axes = [f"_x{c}" for c in range(len(coords))]
+    base = points.select(F.col(row_id).alias("i"), *[F.col(c).cast("double").alias(a) for c, a in zip(coords, axes, strict=True)]).dropna()
+    base = cut(base.filter(" AND ".join(f"abs({a}) < double('infinity')" for a in axes)))
     n = base.count()
-    left, h, done = base, float(cell), None
-    moves = list(itertools.product((-1, 0, 1), repeat=len(coords)))
+    need = min(k + 1, n)
+    first = base.withColumn("_r", F.row_number().over(Window.partitionBy(*axes).orderBy("i"))).filter(F.col("_r") <= need)
+    places = cut(first.groupBy(*axes).agg(F.array_sort(F.collect_list("i")).alias("ids")).select(F.col("ids")[0].alias("p"), *axes, "ids"))
+
+    def home(h):
+        return [F.floor(F.col(a) / (4 * h)).alias(f"_t{c}") for c, a in enumerate(axes)]
+    tile = [f"_t{c}" for c in range(len(axes))]
+
+    def company(h):
+        c = places.groupBy(*home(h)).agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("s"), F.sum("c").alias("n"), F.count("*").alias("t")).first()
+        return (c.s / c.n if c.n else 0.0), c.t
+    h, left, done = float(cell), places.select("p", *axes), None
+    mean, tiles = company(h)
+    corners = 2 ** len(axes)           # tiles around the origin, which never become one
+    grown = mean < 200 and tiles > corners
+    for _ in range(40):
+        if not (mean < 200 and tiles > corners if grown else mean > 2000):
+            break
+        h = h * 2 if grown else h / 2
+        mean, tiles = company(h)
+    result = T.StructType([T.StructField("p", base.schema["i"].dataType), T.StructField("j", base.schema["i"].dataType), T.StructField("d", T.DoubleType())])
+
+    def compare(q: pa.Table, o: pa.Table) -> pa.Table:
+        x, y = (np.column_stack([t.column(a).to_numpy() for a in axes]) if t.num_rows else np.zeros((0, len(axes))) for t in (q, o))
+        ids = o.column("ids").combine_chunks()
+        names = ids.flatten()
+        start, many = np.asarray(ids.offsets)[:-1] - (np.asarray(ids.offsets)[0] if len(ids) else 0), np.diff(np.asarray(ids.offsets))
+        order = np.argsort(names.to_numpy(zero_copy_only=False), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        out = []
+        for at in range(0, len(x) if len(y) else 0, max(1, 2_000_000 // max(len(y), 1))):
+            part = x[at:at + max(1, 2_000_000 // max(len(y), 1))]
+            d = np.zeros((len(part), len(y)))
+            for c in range(len(axes)):
+                gap = part[:, c, None] - y[:, c]
+                d += gap * gap
+            np.sqrt(d, out=d)
+            last = np.partition(d, min(need, len(y)) - 1, axis=1)[:, min(need, len(y)) - 1]
+            row, col = np.nonzero(d <= last[:, None])
+            times = many[col]
+            own = np.repeat(start[col], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, far = np.repeat(row, times), np.repeat(d[row, col], times)
+            by = np.lexsort((rank[own], far, row))
+            row, far, own = row[by], far[by], own[by]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < need
+            out.append((q.column("p").take(pa.array(row[keep] + at)), names.take(pa.array(own[keep])), far[keep]))
+        kind = q.schema.field("p").type
+        if not out:
+            return pa.table({"p": pa.array([], kind), "j": pa.array([], kind), "d": pa.array([], pa.float64())})
+        return pa.table({"p": pa.chunked_array([c for o in out for c in o[0].chunks], kind), "j": pa.chunked_array([o[1] for o in out], kind), "d": np.concatenate([o[2] for o in out])})
+
     while True:
-        cells = F.transform("x", lambda v: F.floor(v / h))
-        around = F.array(*[F.array(*[F.element_at("_c", j + 1) + m[j] for j in range(len(coords))]) for m in moves])
-        q = left.withColumn("_c", cells).withColumn("_c", F.explode(around))
-        o = base.select(F.col("i").alias("j"), F.col("x").alias("y")).withColumn("_c", F.transform("y", lambda v: F.floor(v / h)))
-        d2 = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        near = q.join(o, "_c").filter("i <> j").select("i", "j", F.sqrt(d2).alias("d"))
-        top = near.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("r") <= k)
-        good = top.groupBy("i").agg(F.count("*").alias("_n"), F.max("d").alias("_m")).filter((F.col("_n") >= min(k, n - 1)) & (F.col("_m") <= h)).select("i")
-        part = cut(top.join(good, "i", "left_semi").select("i", "j", "d"))
+        q = left.select("*", *home(h))
+        o = places
+        for c, a in enumerate(axes):
+            side = lambda s: F.floor((F.col(a) + s * h * 1.000001) / (4 * h))  # noqa: E731, B023
+            o = o.withColumn(f"_t{c}", F.explode(F.sequence(side(-1), side(1))))
+        o = o.join(q.select(*tile).distinct(), tile, "left_semi")
+        parts = o.groupBy(*tile).agg(F.ceil(F.count("*") / most).alias("_n"))
+        q = q.join(parts, tile).withColumn("_q", F.pmod(F.xxhash64("p"), F.col("_n"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).drop("_n")
+        o = o.join(parts, tile).withColumn("_o", F.pmod(F.xxhash64("p"), F.col("_n"))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).drop("_n")
+        group = [*tile, "_q", "_o"]
+        q, o = (t.toDF(*t.columns) for t in (q, o))          # columns of their own for the two sides
+        near = q.groupBy(*group).cogroup(o.groupBy(*group)).applyInArrow(compare, result)
+        near = near.groupBy("p").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "j"))), 1, need).alias("near"))
+        part = cut(near.filter((F.size("near") >= need) & (F.element_at("near", need)["d"] <= h)))
         done = part if done is None else done.unionByName(part)
-        left = cut(left.join(part.select("i").distinct(), "i", "left_anti"))
-        if left.isEmpty():
-            return done
+        left = cut(left.join(part, "p", "left_anti"))
+        if not n or left.isEmpty():
+            break
         h *= 2
+    own = base.join(places.join(done, "p").select(*axes, "near"), axes).select("i", F.slice(F.filter("near", lambda r: r["j"] != F.col("i")), 1, max(min(k, n - 1), 0)).alias("near"))
+    return own.select("i", F.inline("near")).select("i", "j", "d")
 
 
 def morans_i(points: DataFrame, row_id: str, value: str, coords: Sequence[str], k: int = 8, cell: float = 1.0) -> DataFrame:

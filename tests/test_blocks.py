@@ -52,3 +52,29 @@ def test_nearest_of_copies_is_the_smallest_id(spark, monkeypatch):
     asked = spark.createDataFrame([(1000 + i, v) for i, v in rows], "i int, v array<float>")
     got = {r.i: (r.nearest, r.distance) for r in evaluation.closest_record(train, asked, "i", "v", 5).collect()}
     assert got == {1000 + i: (i if i < 100 else i - 100, 0.0) for i in range(150)}
+
+
+def test_neighbours_with_copies_clusters_and_ties(spark, monkeypatch):
+    rng = np.random.RandomState(6)
+    x = np.vstack([rng.randn(60, 2) * 0.001, rng.randint(0, 6, (80, 2)), np.full((30, 2), 2.0), [[500.0, 500.0]]])
+    df = spark.createDataFrame([(f"r{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(x)] + [("null", None, 1.0)], "i string, x double, y double")
+    got = {}
+    made = spatial.nearest_neighbours(df, "i", ["x", "y"], 4, 100.0)
+    for r in made.collect():
+        got.setdefault(r.i, []).append((r.d, r.j))
+    for i in range(len(x)):
+        d = np.sqrt((x[i, 0] - x[:, 0]) ** 2 + (x[i, 1] - x[:, 1]) ** 2)
+        want = sorted((float(v), f"r{j:03d}") for j, v in enumerate(d) if j != i)[:4]
+        assert sorted(got[f"r{i:03d}"]) == want
+    assert "null" not in got
+
+
+def test_no_row_pairs_are_shuffled_for_neighbours(spark, monkeypatch):
+    """The width follows the data, so a cell that holds all points makes no pairs of them."""
+    asked = []
+    real = spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda df: asked.append(real(df)) or asked[-1])
+    x = np.random.RandomState(8).rand(3000, 2)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "i int, x double, y double")
+    assert spatial.nearest_neighbours(df, "i", ["x", "y"], 3, 50.0).count() == 9000
+    assert not any({"i", "j"} <= set(d.columns) for d in asked) and max(d.count() for d in asked) == 3000
