@@ -48,3 +48,17 @@ def test_criteria_follow_each_other(spark):
     assert [(r.step, r.criterion, r.n) for r in sorted(counts.collect())] == [(0, "start", 6), (1, "age", 5), (2, "first_stay", 4), (3, "code_out", 3), (4, "code_in", 2), (5, "unit", 1), (6, "measured", 1), (7, "survived", 1)]
     none, zero = cohorts.cohort_from_spec(spec, {"stays": stays.filter("false"), "codes": codes, "labs": labs})
     assert none.collect() == [] and {r.n for r in zero.collect()} == {0}
+
+
+def test_rows_of_a_cutoff_are_not_gathered(spark):
+    rng = np.random.RandomState(2)
+    x = rng.rand(500) * 20
+    df = spark.createDataFrame([(float(a), float(3 + 0.5 * a + 2 * (a >= 10) + e)) for a, e in zip(x, rng.randn(500) * 0.1)], "x double, y double")
+    d = models.local_linear_rd(df, "y", "x", [10.0, 5.0], 5.0)
+    got = {r.cutoff: r.estimate for r in d.collect()}
+    assert abs(got[10.0] - 2) < 0.1 and abs(got[5.0]) < 0.1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in models.local_linear_rd(df, "y", "x", [10.0, 5.0], 5.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
