@@ -9,6 +9,7 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` dealt out by a hash of ``columns``, by default all of them.
 
     A Parquet row group is read by one task, so a table of few row groups keeps few cores busy whatever is done to a row.  Pays where
-    the work on a text costs more than to shuffle it once.
+    the work on a text costs more than to shuffle it once.  The number of partitions is that of all shuffles and is said: adaptive
+    execution would join them to about as many as there are cores, by bytes, and one more than that takes twice the time.
     """
-    return df.repartition(*(columns or df.columns))
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(columns or df.columns))
