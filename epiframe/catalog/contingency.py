@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import contingency as C
+from ..plans.spread import spread
 from .registry import query, rounded
 
 
@@ -77,8 +78,9 @@ cells AS (SELECT level, brand, flag, a, l - a AS b, r - a AS c, n - l - r + a AS
 
 
 def level_cells(t):
-    o = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("level"))
-    put = lambda d: d.join(o, F.col("o_orderkey") == F.col("l_orderkey"))
+    n = t.lineitem.count()
+    o = spread(t.orders.select("o_orderkey", F.col("o_orderpriority").alias("level")), "o_orderkey", rows=n)
+    put = lambda d: spread(d, "l_orderkey", rows=n).join(o, F.col("o_orderkey") == F.col("l_orderkey"))
     return C.two_by_two(put(brands(t)), put(returns(t)), "l_orderkey", "brand", "flag", 1, ["level"])
 
 
