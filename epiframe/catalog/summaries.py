@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import two_sided_p
 from ..operators import summaries as M
+from ..plans.spread import spread
 from .registry import query, rounded
 
 N = lambda name="n": F.count(F.lit(1)).alias(name)
@@ -103,8 +104,10 @@ def divergence(t):
 
 @query("agg14_profile_permutation")
 def permuted_profile(t):
-    o = t.orders.select("o_orderkey", "o_orderpriority")
-    d = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(o, F.col("o_orderkey") == F.col("l_orderkey"))
+    n = t.lineitem.count()
+    o = spread(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey", rows=n)
+    d = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_name")
+    d = spread(d, "l_orderkey", rows=n).join(o, F.col("o_orderkey") == F.col("l_orderkey"))
     return rounded(M.profile_permutation(d, "l_orderkey", "o_orderpriority", "1-URGENT", "5-LOW", "p_name", 30, 19, 1), 8)
 
 

@@ -30,3 +30,12 @@ def test_reports_are_dealt_out_before_the_joins(spark, monkeypatch):
     few = {tuple(r) for r in QUERIES["agg04_mantel_haenszel"](spark, FOLDER).collect()}
     monkeypatch.setattr(plans, "ROWS", 500_000)
     assert few == {tuple(r) for r in QUERIES["agg04_mantel_haenszel"](spark, FOLDER).collect()}
+
+
+def test_reports_of_a_permutation_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(plans, "ROWS", 500)
+    found = QUERIES["agg14_profile_permutation"](spark, FOLDER)
+    assert "RepartitionByExpression [l_orderkey" in plan(found) and "RepartitionByExpression [o_orderkey" in plan(found)
+    few = found.collect()
+    monkeypatch.setattr(plans, "ROWS", 500_000)
+    assert few == QUERIES["agg14_profile_permutation"](spark, FOLDER).collect()
