@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import survival as V
 from ..operators.models import logit
+from ..plans.spread import spread
 from .registry import query, rounded
 
 SPAN = 300.0     # days per slice of the time axis
@@ -17,16 +18,19 @@ tte AS (SELECT ent.*, CASE WHEN at_ <= TIMESTAMP '2000-12-31' THEN 1 ELSE 0 END
 
 
 def entities(t):
-    o = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    n = t.orders.count()
+    o = spread(t.orders.select("o_custkey", "o_orderdate"), "o_custkey", rows=n)
+    o = o.join(spread(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), "c_custkey", rows=n), F.col("c_custkey") == F.col("o_custkey"))
     return o.groupBy(F.col("o_custkey").alias("key")).agg(F.min("o_orderdate").alias("origin"), F.max("o_orderdate").alias("last"),
                                                           F.min("c_mktsegment").alias("segment"), F.min("c_acctbal").alias("balance"))
 
 
 def events(t):
-    o = t.orders.select("o_orderkey", F.col("o_custkey").alias("key"))
-    d = t.lineitem.filter("l_discount >= 0.1 AND l_tax >= 0.07").join(o, F.col("o_orderkey") == F.col("l_orderkey"))
+    n = t.orders.count()
+    o = spread(t.orders.select("o_orderkey", F.col("o_custkey").alias("key")), "o_orderkey", rows=n)
+    d = spread(t.lineitem.filter("l_discount >= 0.1 AND l_tax >= 0.07").select("l_orderkey", "l_returnflag", "l_shipdate"), "l_orderkey", rows=n).join(o, F.col("o_orderkey") == F.col("l_orderkey"))
     kind = F.when(F.col("l_returnflag") == "R", "progression").when(F.col("l_returnflag") == "A", "replacement").otherwise("death")
-    first = t.orders.groupBy(F.col("o_custkey").alias("key")).agg(F.min("o_orderdate").alias("o"))
+    first = spread(t.orders.select("o_custkey", "o_orderdate"), "o_custkey", rows=n).groupBy(F.col("o_custkey").alias("key")).agg(F.min("o_orderdate").alias("o"))
     return d.select("key", kind.alias("kind"), F.col("l_shipdate").alias("at")).join(first, "key").filter("at > o").drop("o")
 
 

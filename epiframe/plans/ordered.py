@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lineage import written
+from .spread import spread
 
 SLICE = "_slice"
 DAY = 86_400.0
@@ -248,15 +249,19 @@ def ordered_pairs(df: DataFrame, by: Sequence[str], x: str, y: str, first: Colum
     cells = df.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), first.cast("double").alias("_f"), second.cast("double").alias("_s"))
     cells = cells.dropna(subset=["_x", "_y"]).groupBy(*by, "_x", "_y").agg(F.sum("_f").alias("_f"), F.sum("_s").alias("_s"))
     cells = written(cells)         # ranks, levels and sums all read them: the input is read once
-    ranks = dense_rank(cells, by, "_x", "_rank")
+    n = cells.count()
+    xs = spread(add_slices(cells.select(*by, "_x"), "_x"), *by, SLICE, rows=n).distinct()
+    ranks = scan(xs, by, "_x", {"_rank": ("row_number", None)}).withColumn("_rank", F.col("_rank") - 1)
     bits = ranks.select(F.length(F.bin(F.coalesce(F.max("_rank"), F.lit(0)))).alias("_bits")).scalar()
     on = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in by] + [F.col("_x") == F.col("_bx")]
-    d = cells.join(ranks.select(*[F.col(k).alias(f"_b_{k}") for k in by], F.col("_x").alias("_bx"), "_rank"), on)
-    d = d.withColumn("_bits", bits).select(*by, "_y", "_f", "_s", "_rank", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)).alias("_level"))
+    d = add_slices(cells, "_y").join(ranks.select(*[F.col(k).alias(f"_b_{k}") for k in by], F.col("_x").alias("_bx"), "_rank"), on)
+    d = d.withColumn("_bits", bits).select(*by, "_y", "_f", "_s", "_rank", SLICE, F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)).alias("_level"))
     one = F.expr("(shiftright(_rank, _level) & 1) = 1")
-    g = d.groupBy(*by, "_level", F.expr("shiftright(_rank, _level + 1)").alias("_head"), "_y").agg(
-        F.sum(F.when(~one, F.col("_f")).otherwise(0.0)).alias("_n0"), F.sum(F.when(one, F.col("_s")).otherwise(0.0)).alias("_n1"))
     keys = [*by, "_level", "_head"]
+    # dealt out once by what sums, running sums and slice totals all ask for, into as many parts as there are rows for: a row for each cell and level
+    d = spread(d.withColumn("_head", F.expr("shiftright(_rank, _level + 1)")), *keys, SLICE, rows=n * max(n.bit_length(), 1))
+    g = d.groupBy(*keys, SLICE, "_y").agg(
+        F.sum(F.when(~one, F.col("_f")).otherwise(0.0)).alias("_n0"), F.sum(F.when(one, F.col("_s")).otherwise(0.0)).alias("_n1"))
     run = scan(g, keys, "_y", {"_prev": ("prev_sum", "_n0")})
     low = run.groupBy(*by).agg(F.sum(F.col("_n1") * F.coalesce("_prev", F.lit(0.0))).alias("below"), F.sum(F.col("_n1") * F.col("_n0")).alias("equal"))
     whole = g.groupBy(*keys).agg(F.sum("_n0").alias("_a"), F.sum("_n1").alias("_b")).groupBy(*by).agg(F.sum(F.col("_a") * F.col("_b")).alias("total"))

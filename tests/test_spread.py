@@ -39,3 +39,16 @@ def test_reports_of_a_permutation_are_dealt_out(spark, monkeypatch):
     few = found.collect()
     monkeypatch.setattr(plans, "ROWS", 500_000)
     assert few == QUERIES["agg14_profile_permutation"](spark, FOLDER).collect()
+
+
+def test_levels_of_pairs_are_dealt_out_once(spark, monkeypatch):
+    from epiframe.plans.ordered import ordered_pairs
+    rows = [(g, (i * 37 + g) % 41, (i * i + 3 * g) % 29, float(i % 3 == 0)) for g in range(2) for i in range(120)] + [(2, None, 1, 1.0), (3, 5, 5, 1.0)]
+    df = spark.createDataFrame(rows, "g int, x int, y int, f double")
+    monkeypatch.setattr(plans, "ROWS", 50)
+    d = ordered_pairs(df, ["g"], "x", "y", F.col("f"), F.lit(1.0))
+    for r in d.collect():
+        own = [x for x in rows if x[0] == r.g and x[1] is not None]
+        pairs = [(a[2], b[2]) for a in own for b in own if a[3] and a[1] < b[1]]
+        assert (r.below, r.equal, r.total) == (sum(a < b for a, b in pairs), sum(a == b for a, b in pairs), len(pairs))
+    assert "RepartitionByExpression [g" in plan(d)
