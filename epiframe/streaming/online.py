@@ -6,6 +6,7 @@ import math
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,36 +36,52 @@ def stream_dedupe(events: DataFrame, keys: Sequence[str], ts: str, watermark: st
 
 
 class _Cusum(StatefulProcessor):
-    """Open steps of a key (step -> sum) until the watermark closes them, then the statistic; the state of a key is its open steps and three numbers."""
+    """Open steps of a key and their sums until the watermark closes them, then the statistic; the state of a key is one value: its open steps and three numbers.
+
+    Every call of the state is a message to the JVM, so a key reads and writes its value once a batch and has one timer, that of its first open step.
+    """
 
     def __init__(self, key: str, ts: str, x: str | None, step: int, k: float, h: float):
         self.key, self.ts, self.x, self.step, self.k, self.h = key, ts, x, step, k, h
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "step long", "n double")
-        self.held = handle.getValueState("held", "s double, at long, done boolean")
+        self.held = handle.getValueState("held", "steps array<long>, sums array<double>, s double, at long, done boolean")
+
+    def _load(self) -> tuple[dict[int, float], float, int | None, bool]:
+        held = self.held.get()
+        return (dict(zip(held[0], held[1], strict=True)), *held[2:]) if held is not None else ({}, 0.0, None, False)
+
+    def _keep(self, steps: dict[int, float], s: float, last: int | None, done: bool) -> None:
+        self.held.update((list(steps), list(steps.values()), s, last, done))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         closed = timerValues.getCurrentWatermarkInMs()
-        if not (self.held.exists() and self.held.get()[2]):
-            for chunk in rows:
-                step = chunk[self.ts].astype("datetime64[ms]").astype("int64") // self.step
-                sums = (chunk[self.x] if self.x else step * 0 + 1.0).groupby(step).sum()
-                for at, n in sums.items():
-                    if (at + 1) * self.step > closed:
-                        old = self.open.getValue((int(at),))[0] if self.open.containsKey((int(at),)) else 0.0
-                        self.open.updateValue((int(at),), (old + float(n),))
-                        self.handle.registerTimer((int(at) + 1) * self.step)
+        steps, s, last, done = self._load()
+        first = min(steps, default=None)
+        added = False
+        for chunk in rows:
+            if done:
+                continue
+            step = chunk[self.ts].to_numpy().astype("datetime64[ms]").astype("int64") // self.step
+            at, where = np.unique(step, return_inverse=True)
+            sums = np.bincount(where, chunk[self.x].to_numpy(float, na_value=0.0) if self.x else None, len(at))
+            for i, n in zip(at.tolist(), sums.tolist(), strict=True):
+                if (i + 1) * self.step > closed:
+                    steps[i] = steps.get(i, 0.0) + float(n)
+                    added = True
+        if added:
+            if first is None or min(steps) < first:
+                self.handle.registerTimer((min(steps) + 1) * self.step)
+            self._keep(steps, s, last, done)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         closed = timerValues.getCurrentWatermarkInMs()
-        ready = sorted(at for (at,) in self.open.keys() if (at + 1) * self.step <= closed)
-        s, last, done = self.held.get() if self.held.exists() else (0.0, None, False)
+        steps, s, last, done = self._load()
+        ready = sorted(at for at in steps if (at + 1) * self.step <= closed)
         for at in ready:
-            n = self.open.getValue((at,))[0]
-            self.open.removeKey((at,))
+            n = steps.pop(at)
             if done:
                 continue
             quiet = 0 if last is None else at - last - 1
@@ -73,7 +90,11 @@ class _Cusum(StatefulProcessor):
                 done = True
                 yield pd.DataFrame({self.key: [key[0]], "signal_step": [pd.Timestamp(at * self.step, unit="ms", tz="UTC")], "statistic": [s]})
         if ready:
-            self.held.update((s, last, done))
+            # after its signal a key keeps no steps and needs no timer
+            steps = {} if done else steps
+            self._keep(steps, s, last, done)
+            if steps:
+                self.handle.registerTimer((min(steps) + 1) * self.step)
 
     def close(self) -> None:
         pass
