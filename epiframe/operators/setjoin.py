@@ -10,6 +10,9 @@ their pairs are ever listed.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +24,8 @@ from .text import word_shingles
 
 #: Shingles of the sets of one block, about; a single larger set is a block of its own.
 BLOCK_SHINGLES = 200_000
+#: Shingles of a bucket where shared ones are found, about; 2 to this power classes of neighbouring numbers are a chunk; the bits of a shingle that say its bucket.
+BUCKET_SHINGLES, CHUNK_BITS, LOW = 1_000_000, 11, (1 << 24) - 1
 
 
 def _hashed(shingles: Column) -> Column:
@@ -42,21 +47,90 @@ def set_classes(docs: DataFrame, row_id: str, shingles: Column) -> tuple[DataFra
     return d.select("row_id", "mark"), classes
 
 
-def _needed(t: float, n: Column) -> Column:
-    """Shared shingles without which no set of size ``n`` reaches ``t``."""
-    return F.ceil(F.lit(t) * n - F.lit(1e-9)).cast("int")
+def _dealt(buckets: int):
+    """Packs the shingles of each chunk of classes by bucket, as 40 bits and the place of the class in its chunk."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cid, sets = b.column(0).to_numpy(), b.column(1)
+            flat = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            owner = np.repeat(cid, sets.value_lengths().to_numpy(zero_copy_only=False))
+            bucket = (flat & np.uint64(LOW)) % np.uint64(buckets)
+            for chunk in np.unique(owner >> CHUNK_BITS):
+                here = np.flatnonzero(owner >> CHUNK_BITS == chunk)
+                here = here[np.argsort(bucket[here], kind="stable")]
+                some, first = np.unique(bucket[here], return_index=True)
+                places = (owner[here] & ((1 << CHUNK_BITS) - 1)).astype("<u2")
+                ends = [*first[1:].tolist(), len(here)]
+                keys = _bytes(flat[here] >> np.uint64(24))
+                pieces = list(zip(first.tolist(), ends, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), pa.array([keys[i:j].tobytes() for i, j in pieces], pa.binary()), pa.array([places[i:j].tobytes() for i, j in pieces], pa.binary())],
+                                                 names=["bucket", "chunk", "keys", "places"])
+    return run
+
+
+def _bytes(keys: np.ndarray) -> np.ndarray:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, place) of all entries of packed rows."""
+    raw = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint8).reshape(-1, 5)
+    keys = np.zeros((len(raw), 8), np.uint8)
+    keys[:, :5] = raw
+    places = np.frombuffer(b"".join(rows.column("places").to_pylist()), "<u2")
+    lengths = pc.binary_length(rows.column("places")).to_numpy() // 2
+    return np.repeat(np.arange(rows.num_rows), lengths), keys.view("<u8").ravel(), places
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """What of a bucket's shingles is in several sets, packed as it came, with the number of sets (65,535 for more)."""
+    row, keys, places = _unpacked(rows)
+    _, at, count = np.unique(keys, return_inverse=True, return_counts=True)
+    c = np.minimum(count[at], 65_535)
+    kept = np.flatnonzero(c > 1)
+    some, first = np.unique(row[kept], return_index=True)
+    pieces = list(zip(first.tolist(), [*first[1:].tolist(), len(kept)], strict=True))
+    packed, places, c = _bytes(keys[kept]), places[kept], c[kept].astype("<u2")
+    return pa.table([rows.column("bucket").take(pa.array(some)), rows.column("chunk").take(pa.array(some)), *[pa.array([x[i:j].tobytes() for i, j in pieces], pa.binary()) for x in (packed, places, c)]],
+                    names=["bucket", "chunk", "keys", "places", "counts"])
+
+
+def _prefixes(t: float):
+    """(cid, n, number of shared shingles, those of the prefix) of a chunk's classes that share enough."""
+    def run(rows: pa.Table, sizes: pa.Table) -> pa.Table:
+        row, keys, place = _unpacked(rows)
+        c = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u2")
+        h = (keys << np.uint64(24)) | rows.column("bucket").to_numpy().astype(np.uint64)[row]
+        order = np.lexsort([h, c, place])
+        h, place = h[order].view(np.int64), place[order].astype(np.int64)
+        cid, n = sizes.column("cid").to_numpy(), sizes.column("n").to_numpy().astype(np.int64)
+        at = cid & ((1 << CHUNK_BITS) - 1)
+        shared = np.bincount(place, minlength=1 << CHUNK_BITS)
+        needed = np.ceil(t * n - 1e-9).astype(np.int64)
+        good = np.flatnonzero((shared[at] >= needed) & (shared[at] > 0))
+        length = np.zeros(1 << CHUNK_BITS, np.int64)
+        length[at[good]] = np.minimum(shared[at] - needed + 1, shared[at])[good]
+        good = good[np.argsort(at[good])]
+        rank = np.arange(len(place)) - (np.cumsum(shared) - shared)[place]
+        flat = pa.array(h[rank < length[place]])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length[at[good]])]), pa.int32()), flat)
+        return pa.table([pa.array(cid[good]), pa.array(n[good], pa.int32()), pa.array(shared[at[good]], pa.int32()), lists], names=["cid", "n", "shared", "first"])
+    return run
 
 
 def _blocks(classes: DataFrame, t: float, limit: int) -> DataFrame:
-    """Classes that can have a partner: with their prefix (shingle, shingles from there on) and a block."""
-    rows = classes.select("cid", "n", F.explode("set").alias("h"))
-    counts = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
-    # the shingles of one set, at most the set itself
-    shared = rows.join(counts, "h").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("shared"))
-    d = shared.filter(F.size("shared") >= _needed(t, F.col("n")))
-    alone = F.col("n") - F.size("shared")
-    left = F.col("n") - _needed(t, F.col("n")) + 1 - alone
-    prefix = F.transform(F.slice("shared", F.lit(1), left), lambda x, i: F.struct(x["h"].alias("h"), (F.size("shared") - i).alias("rest")))
+    """Classes that can have a partner: with their prefix (shingle, shingles from there on) and a block.
+
+    All shingles are dealt out once, packed by chunk of classes: a shingle costs seven bytes, and what comes back are the shared ones.  A shingle
+    is known here by 40 bits and its bucket; two that agree in these count as one, which only lets more sets meet.  A task holds a bucket: about `BUCKET_SHINGLES`, and one entry of each class for a shingle that all have.
+    """
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = min(LOW, max(1, math.ceil(total / BUCKET_SHINGLES)))
+    packed = classes.select("cid", "set").mapInArrow(_dealt(buckets), "bucket int, chunk long, keys binary, places binary")
+    shared = packed.groupBy("bucket").applyInArrow(_counted, "bucket int, chunk long, keys binary, places binary, counts binary")
+    sizes = classes.select("cid", "n", F.shiftright("cid", CHUNK_BITS).alias("of"))
+    d = shared.groupBy("chunk").cogroup(sizes.groupBy("of")).applyInArrow(_prefixes(t), "cid long, n int, shared int, first array<long>")
+    prefix = F.transform("first", lambda h, i: F.struct(h.alias("h"), (F.col("shared") - i).alias("rest")))
     d = written(d.select("cid", "n", prefix.alias("prefix")).withColumn("lead", F.col("prefix")[0]["h"]))
     parts = d.groupBy("lead").agg(F.ceil(F.sum("n") / limit).cast("int").alias("parts"))
     return d.join(parts, "lead").withColumn("block", F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.col("parts")))).select("cid", "n", "prefix", "block")

@@ -87,3 +87,18 @@ def test_a_hot_group_is_split_and_listed_nowhere(spark):
     linked = S._linked(blocks, 0.8)
     assert linked.count() <= len(held) * (len(held) + 1) // 2 < 400
     assert S.similar_pairs(classes, 0.8, 1500).count() > 10_000
+
+
+def test_shingles_are_dealt_out_packed_and_once(spark, monkeypatch):
+    """No row per shingle in the search for shared ones, and the same rows with many buckets."""
+    plans, real = [], S.written
+    monkeypatch.setattr(S, "written", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or real(d))
+    rows = corpus(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, classes = S.set_classes(df, "doc_id", S.word_shingles(F.col("text"), 5))
+    plans.clear()
+    S._blocks(classes.filter("n > 0"), 0.8, 1500)
+    assert len(plans) == 1 and "explode(set" not in plans[0]
+    monkeypatch.setattr(S, "BUCKET_SHINGLES", 100)
+    got = S.similar_documents(df, "doc_id", "text", 5, 0.8, 1500).collect()
+    assert sorted([(*r[:6], None if r[6] is None else round(r[6], 9)) for r in got], key=str) == brute(rows, 5, Fraction(8, 10))
