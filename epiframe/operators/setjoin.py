@@ -4,8 +4,8 @@ Two sets of Jaccard similarity t or more must share a shingle among the first n
 rarest first, few other sets do.  Sets that share fewer shingles with anyone than t asks for leave at once.  The rest is dealt
 into blocks by the first shingle that they share, a hot one into several, so that like sets lie together.  Prefix shingles
 link blocks, not sets: a block tells its shortest and longest set and how much can follow the shingle, and two blocks whose bounds allow
-no pair are not linked.  Linked blocks meet in one task, where every pair is decided on whole sets.  Neither a shingle's sets nor
-their pairs are ever listed.
+no pair are not linked.  Linked blocks meet in one task, where every pair is decided on whole sets.  The sets of a
+shingle meet once, packed, to be counted; their pairs are never listed.
 """
 
 from __future__ import annotations
